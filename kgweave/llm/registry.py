@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("mixing", "sharding")
+MODULES = ("mixing", "simhash", "langid", "substrings", "sharding")
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _name in MODULES:
