@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("mixing", "simhash", "topk", "tokens", "materialise", "langid", "packing", "substrings", "sharding")
+MODULES = ("mixing", "simhash", "neighbours", "tokens", "topk", "materialise", "langid", "packing", "substrings", "sharding")
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _name in MODULES:
