@@ -19,3 +19,14 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+def load() -> None:
+    """Import every module that registers queries."""
+    import importlib
+
+    for name in MODULES:
+        importlib.import_module(f"kgweave.{name}")
+
+
+MODULES = ("operators.graph_tables",)
