@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 DOCS, SEGMENTS, LANGUAGES = 300, 12_000, 64
 HIDDEN, SEGMENT, STEPS, BATCH, RATE, SEED = 12, 24, 700, 384, 0.01, 5
-MEMO = 300_000
+MEMO = 200_000
 BLANK = 0x20
 RUNS = re.compile(rb"[a-z\x80-\xff]+|\n")
 

@@ -48,7 +48,7 @@ def _encode(tokenizer: str, eos: int):
                 z = min(i + 64, len(n))
                 seen[:] = False
                 seen[np.repeat(np.arange(z - i), n[i:z] + 1), all_ids[start[i] : end[z - 1]]] = True
-                df += seen.sum(0)
+                df += np.add.reduce(seen.view(np.uint8), 0, np.uint8)  # 64 at most
             raw = all_ids.astype("<u2" if enc.dtype == np.uint16 else "<u4")
             blobs = [raw[s:e].tobytes() for s, e in zip(start, end)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n + 1, pa.int64()), pa.array(sig), pa.array(blobs, pa.binary())], ["doc_id", "n", "sig", "ids"])
@@ -82,7 +82,10 @@ class ShardIndex:
         self.docs, self.n = docs, len(docs)
         size = np.array([len(d) for d in docs])
         flat = np.concatenate(docs).astype(np.int64)
-        key, tf = np.unique(flat * self.n + np.repeat(np.arange(self.n), size), return_counts=True)
+        key = flat * self.n + np.repeat(np.arange(self.n), size)
+        key = np.sort(key.astype(np.uint32) if len(key) and key.max() < 1 << 32 else key)
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        tf, key = np.diff(np.r_[new, len(key)]), key[new].astype(np.int64)
         term, self.doc = key // self.n, key % self.n
         use = idf[term] > 0  # terms in over half of all documents tell nothing
         term, self.doc, tf = term[use], self.doc[use], tf[use]

@@ -1,8 +1,8 @@
 """Token ids of whole texts, for tokenizers that drop white space, and token counts by section.
 
 ``encode`` gives the ids that the tokenizer gives for the whole text. As its pieces never reach across white
-space, every distinct word of a batch is looked at once, and every distinct piece of a word is encoded once
-and remembered by the worker, up to ``MEMO`` pieces.
+space, every distinct word of a slice is looked at once, and every distinct piece of a word (a run of letters, a
+digit, a run of other signs) is encoded once and remembered by the worker, up to ``MEMO`` pieces.
 
 ``count_tokens`` encodes each whole document once with a byte-level tokenizer. Token lengths give each token's
 span in the text; a merge of these spans with the (sorted) sections of the document attributes each token, and
@@ -15,6 +15,7 @@ import base64
 import os
 import re
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
-MEMO, SLICE_BYTES = 800_000, 3 << 20
-#: Words of these characters only: ASCII and the letters of Latin-1, which need no normal form.
-SIMPLE = "^[\x00-\x7fÀ-ÖØ-öø-ÿ]*$"
-#: The pieces of simple words (lower case) that the tokenizer's pattern gives; "\n" separates words here.
+MEMO, SLICE_BYTES = 400_000, 4 << 20
+#: Words of these characters only: ASCII (but NUL) and the letters of Latin-1, which need no normal form.
+SIMPLE = "^[\x01-\x7fÀ-ÖØ-öø-ÿ]*$"
+#: The pieces of simple words (lower case) that the tokenizer's pattern gives; "\n" ends a word here.
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^\na-z0-9ß-öø-ÿ]+")
+END, WHOLE = -2, -3  # places of the end of a word, and of a word that stands whole
 _loaded: dict[str, WordEncoder] = {}
 
 
@@ -69,67 +71,59 @@ class WordEncoder:
         return _loaded[name]
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at: dict[str, int] = {"\n": END, "\0": WHOLE}
         self.flat, self.start, self.count = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, new: list[str], simple: int) -> None:
-        """Encode new pieces; the first ``simple`` ones give tokens of which only the last ends a word."""
-        ids = np.array(self.tokenizer.encode(" ".join(new[:simple]), add_special_tokens=False).ids, self.dtype)
+        """Encode new pieces; the first ``simple`` ones give tokens of which only the last ends a word. Words that
+        stand whole are marked by a NUL in front."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new[:simple])], add_special_tokens=False)[0].ids, self.dtype)
         cut = np.flatnonzero(self.ends[ids]) + 1
         if len(cut) != simple:
             simple, ids, cut = 0, ids[:0], cut[:0]
         parts, sizes = [ids], np.diff(np.r_[0, cut])
         if simple < len(new):
-            got = [x.ids for x in self.tokenizer.encode_batch(new[simple:], add_special_tokens=False)]
+            got = [x.ids for x in self.tokenizer.encode_batch([p.removeprefix("\0") for p in new[simple:]], add_special_tokens=False)]
             parts += [np.array(x, self.dtype) for x in got]
             sizes = np.r_[sizes, [len(x) for x in got]]
-        self.at |= zip(new, range(len(self.at), len(self.at) + len(new)))
+        self.at |= zip(new, range(len(self.start), len(self.start) + len(new)))
         self.start = np.r_[self.start, len(self.flat) + np.cumsum(sizes) - sizes].astype(np.int64)
         self.count = np.r_[self.count, sizes].astype(np.int64)
         self.flat = np.concatenate([self.flat, *parts])
 
-    def pieces(self, simple: list[str], whole: list[str]) -> np.ndarray:
-        """Places in ``start`` and ``count`` of pieces of simple words, then of words that stand whole."""
-        if len(self.at) > MEMO:
-            self.clear()
-        new, odd = [p for p in simple if p not in self.at], [p for p in whole if p not in self.at]
-        if new or odd:
-            self._learn(new + odd, len(new))
-        return np.fromiter(map(self.at.__getitem__, simple + whole), np.int64, len(simple) + len(whole))
+    def _places(self, pieces: list[str], simple: bool) -> np.ndarray:
+        """Places in ``start`` and ``count`` of pieces, or of words that stand whole."""
+        pieces = pieces if simple else [f"\0{p}" for p in pieces]
+        place = np.fromiter(map(self.at.get, pieces, repeat(-1)), np.int64, len(pieces))
+        if len(miss := np.flatnonzero(place == -1)):
+            new = list(dict.fromkeys(pieces[i] for i in miss))
+            self._learn(new, len(new) if simple else 0)
+            place[miss] = np.fromiter((self.at[pieces[i]] for i in miss), np.int64, len(miss))
+        return place
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string array, one text after another, and how many each text has (a null one: 0)."""
+        if len(self.at) > MEMO:
+            self.clear()
         words = pc.ascii_split_whitespace(texts)
         per_text = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
         coded = words.flatten().dictionary_encode()
         distinct, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
-        # words that are not simple, or may hold a special token, are pieces of their own, after the others
         simple = pc.match_substring_regex(distinct, SIMPLE)
         if self.mark:
             simple = pc.and_(simple, pc.invert(pc.match_substring(distinct, self.mark)))
-        simple = simple.to_numpy(zero_copy_only=False)
-        odd = np.flatnonzero(~simple)
-        whole = distinct.take(pa.array(odd)).to_pylist()
-        joined = "\n".join(pc.if_else(pa.array(simple), distinct, "").to_pylist()) + "\n"
-        parts = pa.array(PIECES.findall(joined.lower()), pa.string()).dictionary_encode()
-        names, at = parts.dictionary.to_pylist(), parts.indices.to_numpy(zero_copy_only=False)
-        end = names.index("\n")
-        place = self.pieces(names[:end] + names[end + 1 :], whole)
-        k = len(names) - 1
-        of_name = np.zeros(len(names), np.int64)
-        of_name[:end], of_name[end + 1 :] = place[:end], place[end:k]
-        is_end = at == end
-        owner = np.r_[(np.cumsum(is_end) - is_end)[~is_end], odd]
-        piece = np.r_[of_name[at[~is_end]], place[k:]]
-        order = np.argsort(owner, kind="stable")
-        owner, piece = owner[order], piece[order]
-        ids = gather(self.flat, self.start[piece], self.count[piece])
-        size = np.bincount(owner, self.count[piece], len(distinct)).astype(np.int64)
+        whole = distinct.filter(pc.invert(simple)).to_pylist()
+        names = pc.if_else(simple, distinct, "\0").to_pylist() if whole else distinct.to_pylist()
+        place = self._places(PIECES.findall("\n".join([*names, ""]).lower()), True)
+        if whole:
+            place[place == WHOLE] = self._places(whole, False)
+        is_end = place == END
+        size = np.where(is_end, 0, self.count[np.maximum(place, 0)]) if len(self.count) else np.zeros(len(place), np.int64)
+        ids = gather(self.flat, self.start[place[~is_end]], size[~is_end])
+        size = np.diff(np.r_[0, np.cumsum(size)[is_end]])
         start = np.cumsum(size) - size
-        out = gather(ids, start[codes], size[codes])
         per_word = np.r_[0, np.cumsum(size[codes])]
-        edge = np.r_[0, np.cumsum(per_text)]
-        return out, np.diff(per_word[edge])
+        return gather(ids, start[codes], size[codes]), np.diff(per_word[np.r_[0, np.cumsum(per_text)]])
 
 
 def slices(batches, column: str, size: int = SLICE_BYTES):
@@ -141,6 +135,7 @@ def slices(batches, column: str, size: int = SLICE_BYTES):
             to = max(at + 1, int(np.searchsorted(lengths, (lengths[at - 1] if at else 0) + size, "right")))
             yield b.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()  # workers live on
 
 
 def paragraphs(text: str) -> list[tuple[int, int]]:
