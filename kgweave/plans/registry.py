@@ -29,4 +29,4 @@ def load() -> None:
         importlib.import_module(f"kgweave.{name}")
 
 
-MODULES = ("operators.graph_tables", "operators.merge", "operators.enrich", "operators.chunks", "operators.graph", "operators.search", "operators.resolve", "operators.evaluation", "sources.corpora")
+MODULES = ("operators.graph_tables", "operators.merge", "operators.enrich", "operators.chunks", "operators.graph", "operators.search", "operators.resolve", "operators.evaluation", "sources.corpora", "sources.benchmarks", "streaming.ingest", "functions.queries")
