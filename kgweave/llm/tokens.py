@@ -151,8 +151,10 @@ def attribute(token_ends: np.ndarray, section_starts: np.ndarray, section_ends:
     disjoint. A token that crosses a boundary goes by ``rule``: ``start`` (the section of its first byte), ``end``
     (of its last byte), ``majority`` (the section with most of its bytes, the earlier in a tie) or ``split``
     (to each section its share of the token's bytes). Tokens outside all sections count for none."""
-    starts = np.r_[0, token_ends[:-1]]
     n = len(section_starts)
+    if not len(token_ends):
+        return np.zeros(n)
+    starts = np.r_[0, token_ends[:-1]]
     if rule in ("start", "end"):
         at = starts if rule == "start" else token_ends - 1
         i = np.searchsorted(section_starts, at, "right") - 1

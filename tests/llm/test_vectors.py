@@ -11,7 +11,7 @@ def table(n=1500, dim=24, seed=1):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(12, dim))
     x = (centres[rng.integers(0, 12, n)] + 0.6 * rng.normal(size=(n, dim))).astype(np.float32)
-    x[40:60] = x[40]
+    x[40:60] = x[40:41]
     return x
 
 
