@@ -136,7 +136,8 @@ def read_gold_graph(spark: SparkSession, nodes: list[str], edges: list[str]) ->
                 keep = [c for c in kind.fieldNames() if not c.endswith("base64")]
                 df = df.withColumn("properties", F.to_json(F.struct(*[F.col(f"properties.`{c}`").alias(c) for c in keep])))
             else:
-                df = df.withColumn("properties", F.to_json(F.map_filter(F.from_json("properties", "map<string,string>"), lambda k, _: ~k.endswith("base64"))))
+                rest = F.regexp_replace("properties", r'"[^"]*base64"\s*:\s*(?:"[^"]*"|null)\s*,?\s*', "")
+                df = df.withColumn("properties", F.regexp_replace(rest, r",\s*\}$", "}"))
             out = df if out is None else out.unionByName(df, allowMissingColumns=True)
         return out
 
