@@ -253,26 +253,20 @@ def pack_context(hits: DataFrame, max_chars: int = 2500) -> DataFrame:
     """``hits(query_id, kind, rank, line)`` -> ``(query_id, context)``: per kind a heading and its lines, as many from the front as fit the budget; a
     later section goes on with what is left, and no heading stands alone. ``hits`` should hold a bounded list per query."""
     lists = hits.groupBy("query_id").agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("rank", "line")))), lambda x: F.concat(F.lit("- "), x["line"])).alias(k) for k, _ in SECTIONS])
-    done, used = F.array().cast("array<string>"), F.lit(0)
-    for k, title in SECTIONS:
-        head = F.lit(f"## {title}")
-        start = used + F.when(F.size(done) > 0, 1).otherwise(0) + F.length(head)
-        init = F.struct(F.array().cast("array<string>").alias("out"), start.cast("int").alias("len"), (start > max_chars).alias("stop"))
+    lists = lists.withColumn("_out", F.array().cast("array<string>")).withColumn("_n", F.lit(0))
 
-        def step(st, line):
-            n = st["len"] + 1 + F.length(line)
-            ok = ~st["stop"] & (n <= max_chars)
-            return F.struct(F.when(ok, F.concat(st["out"], F.array(line))).otherwise(st["out"]).alias("out"), F.when(ok, n).otherwise(st["len"]).cast("int").alias("len"), (~ok).alias("stop"))
+    def step(st: Column, line: Column) -> Column:
+        n = st["len"] + 1 + F.length(line)
+        ok = ~st["stop"] & (n <= max_chars)
+        return F.struct(F.when(ok, F.concat(st["out"], F.array(line))).otherwise(st["out"]).alias("out"), F.when(ok, n).otherwise(st["len"]).cast("int").alias("len"), (~ok).alias("stop"))
 
-        lists = lists.withColumn("_done", done).withColumn("_used", used.cast("int"))
-        done, used = F.col("_done"), F.col("_used")
-        start = used + F.when(F.size(done) > 0, 1).otherwise(0) + F.length(head)
+    for k, title in SECTIONS:
+        head = F.lit(f"## {title}")
+        start = F.col("_n") + F.when(F.size("_out") > 0, 1).otherwise(0) + F.length(head)
         init = F.struct(F.array().cast("array<string>").alias("out"), start.cast("int").alias("len"), (start > max_chars).alias("stop"))
         lists = lists.withColumn("_st", F.aggregate(k, init, step))
         some = F.size("_st.out") > 0
-        lists = lists.withColumn("_next", F.when(some, F.concat("_done", F.array(head), "_st.out")).otherwise(F.col("_done"))).withColumn("_len", F.when(some, F.col("_st.len")).otherwise(F.col("_used")))
-        lists = lists.drop("_done", "_used", "_st").withColumnRenamed("_next", "_out").withColumnRenamed("_len", "_n") if "_out" not in lists.columns else lists.drop("_done", "_used", "_st", "_out", "_n").withColumnRenamed("_next", "_out").withColumnRenamed("_len", "_n")
-        done, used = F.col("_out"), F.col("_n")
+        lists = lists.withColumn("_n", F.when(some, F.col("_st.len")).otherwise(F.col("_n"))).withColumn("_out", F.when(some, F.concat("_out", F.array(head), "_st.out")).otherwise(F.col("_out")))
     return lists.select("query_id", F.array_join("_out", "\n").alias("context"))
 
 
