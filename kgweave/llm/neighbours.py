@@ -181,7 +181,8 @@ def build_graph(nodes: DataFrame, work: Scratch, degree: int = DEGREE, rounds: i
     for r in range(rounds + 1):
         merged = offers.repartition("node").sortWithinPartitions("node").mapInArrow(_merge(degree), "node long, nbr long, d float, rank int")
         edges = work.write(merged, f"edges{r}")
-        work.drop(f"edges{r - 2}") if r > 1 else None
+        if r > 1:
+            work.drop(f"edges{r - 2}")
         now = edges.agg(F.sum(F.sqrt("d"))).first()[0] or 0.0
         if r == rounds or length is not None and now >= (1 - SETTLED) * length:
             break
