@@ -249,6 +249,15 @@ def t6(spark, d):
     return propose_relations(tagged, _allowed(spark)).select("chunk_id", "head_name", "type", "tail_name", "score")
 
 
+_ANSWER = """CASE WHEN o_orderkey % 9 = 0 THEN 'no json' ELSE '{"entities":[{"name":"' || o_orderpriority || '","label":"' || o_orderstatus || '","score":0.5},{"name":"other","label":"O","score":1.0}],"relations":[{"head":"other","type":"R","tail":"' || o_orderpriority || '","score":0.25}]}' END"""
+
+
+@query("T7_model_output", "SELECT o_orderkey AS chunk_id, 'other' AS head, 'R' AS type, o_orderpriority AS tail FROM orders WHERE o_orderkey % 9 <> 0 AND o_orderstatus IN ('O', 'F')")
+def t7(spark, d):
+    r = tg.table(spark, d, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.expr(_ANSWER).alias("response"))
+    return flatten_model_output(r, ["O", "F"], ["R"])[1].select("chunk_id", "head", "type", "tail")
+
+
 @query("T8_extract_graph")
 def t8(spark, d):
     return extract_graph(_docs(spark, d).select(F.col("doc_id").alias("chunk_id"), "text"), lexicon(spark), _allowed(spark))[1].select("chunk_id", "id", "head_id", "tail_id", "type", "score")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from kgweave.plans import testgraph as tg
 from kgweave.plans.registry import query
+from kgweave.plans.scratch import Scratch
+from kgweave.sources.formats import export_graph
 
 
 def _documents(raw: DataFrame, text: str, source: str, ext: Column, title: Column, **props: Column) -> DataFrame:
@@ -121,3 +123,10 @@ def s14(spark, d):
 @query("S14_pages")
 def s14_pages(spark, d):
     return pages_to_documents(tg.table(spark, d, "pages"))
+
+
+@query("S15_export", f"WITH {tg.SQL} SELECT label, count(*) AS n FROM edges GROUP BY 1")
+def s15(spark, d):
+    work = Scratch(spark, "export")
+    export_graph(tg.nodes(spark, d), tg.edges(spark, d), work.path)
+    return spark.read.parquet(f"{work.path}/edges").groupBy("label").agg(F.count("*").alias("n"))
