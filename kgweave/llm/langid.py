@@ -24,6 +24,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kgweave.llm.caches import cache_of, trim
+
 DOCS, SEGMENTS, LANGUAGES = 300, 12_000, 64
 HIDDEN, SEGMENT, STEPS, BATCH, RATE, SEED = 12, 24, 700, 384, 0.01, 5
 MEMO = 200_000
@@ -158,22 +160,20 @@ def train_model(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return ByteGru(langs).train([r.run.encode()[:SEGMENT] for r in got], np.array([langs.index(r.lang) for r in got]))
 
 
-_memo: dict[str, tuple[dict, list]] = {}
-
-
 def _run_votes(model: ByteGru, key: str, runs: list[bytes]) -> np.ndarray:
     """Summed votes of each run's segments; remembered within the worker, up to ``MEMO`` runs."""
-    if key not in _memo or len(_memo[key][0]) > MEMO:
-        _memo.clear()
-        _memo[key] = ({}, np.empty((0, len(model.langs))))
-    at, table = _memo[key]
+    memo = cache_of("language")
+    if key not in memo or len(memo[key][0]) > MEMO:
+        memo.clear()
+        memo[key] = ({}, np.empty((0, len(model.langs))))
+    at, table = memo[key]
     if new := [r for r in runs if r not in at]:
         pieces = [(i, r[j : j + SEGMENT]) for i, r in enumerate(new) for j in range(0, len(r), SEGMENT)]
         votes, owner = model.votes([p for _, p in pieces]), np.array([i for i, _ in pieces])
         sums = np.stack([np.bincount(owner, votes[:, c], len(new)) for c in range(len(model.langs))], 1)
         at |= zip(new, range(len(at), len(at) + len(new)))
         table = np.concatenate([table, sums])
-        _memo[key] = (at, table)
+        memo[key] = (at, table)
     return table[np.fromiter(map(at.__getitem__, runs), np.int64, len(runs))]
 
 
@@ -221,6 +221,7 @@ def identify_languages(docs: DataFrame, model: ByteGru | None, keep: list[str],
                     ok = [n > 0 and any(map(str.isalpha, texts[i].as_py())) for i, n in enumerate(count)]
                     pred[ok], score[ok] = np.array(model.langs, object)[best][ok], p[np.arange(len(p)), best][ok]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
+        trim()
 
     out = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.select(*keep, F.col(text).cast("string").alias("_text")).mapInArrow(run, out)

@@ -56,7 +56,7 @@ def feistel(x: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) -> np.n
 def _sequences(tokenizer: str, length: int, eos: int, pad: int):
     def run(batches):
         enc, part, number = WordEncoder.of(tokenizer), TaskContext.get().partitionId(), 0
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
         ids, owner, inside = np.zeros(0, enc.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
         known = np.zeros(0, bool)
 
@@ -159,7 +159,7 @@ def materialise(
 
     placed = seqs.withColumn("_p", place("part", "row")).select("first_doc_id", "first_start", "n_docs", "n_ids", "blob", "_p.number", "_p.slot")
     placed = placed.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
-    return placed.repartition(shards, "shard").sortWithinPartitions("shard", "slot").mapInArrow(_write(root, stride, per_shard), MANIFEST)
+    return placed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "slot").mapInArrow(_write(root, stride, per_shard), MANIFEST)
 
 
 def read_slots(root: str, first: int, n: int, length: int = LENGTH, dtype=np.uint16, shard_bytes: int = SHARD_BYTES) -> np.ndarray:

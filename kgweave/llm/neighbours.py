@@ -6,7 +6,7 @@ repeats joins of neighbours of neighbours: the nearest forward and reverse neigh
 that node and are compared with each other, and every node keeps its ``DEGREE`` nearest seen so far. It ends
 when a round hardly shortens the edges. Distances of the index use half-precision copies.
 
-Search. A query starts at the nearest of a bounded sample of nodes and holds the ``BEAM`` nearest nodes seen.
+Search. A query starts at the nearest of a bounded sample of nodes, and at its own node if its vector is indexed, and holds the ``BEAM`` nearest nodes seen.
 Each round expands its nearest unexpanded ones along forward and reverse edges; it ends when all are
 expanded. Distances here are exact, in doubles on the original vectors.
 
@@ -25,9 +25,9 @@ from pyspark.sql import Window as W
 from kgweave.llm.topk import _matrix, usable
 from kgweave.plans.scratch import Scratch
 
-DEGREE, FORWARD, REVERSE, OFFER = 24, 16, 12, 6
+DEGREE, FORWARD, REVERSE, OFFER = 32, 20, 16, 8
 TREES, CHUNK, SAMPLE, ENTRIES, SEED = 6, 160, 4096, 16, 3
-ROUNDS, SETTLED, BEAM, EXPAND, STEPS = 6, 0.002, 96, 16, 40
+ROUNDS, SETTLED, BEAM, EXPAND, STEPS = 6, 0.002, 320, 48, 40
 
 
 def _codes(scale: float, bits: int, centre: dict[int, np.ndarray], trees: int):
@@ -228,7 +228,9 @@ def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, work: Scratch
     q, x = queries.select("query_id", "q"), nodes.select("node", "x")
     square = F.aggregate(F.zip_with("q", "x", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
     measured = lambda found: found.join(q, "query_id").join(x, "node").select("query_id", "node", F.sqrt(square).alias("d"))
-    state = measured(queries.mapInArrow(_enter(entries, ENTRIES), "query_id long, node long")).withColumn("done", F.lit(False))
+    own = queries.join(nodes.select("node", F.col("x").alias("q")), "q").select("query_id", "node")
+    starts = queries.mapInArrow(_enter(entries, ENTRIES), "query_id long, node long").union(own).distinct()
+    state = measured(starts).withColumn("done", F.lit(False))
     state = work.write(state, "beam")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("d", "node"))
     for step in range(STEPS):

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kgweave.llm.caches import cache_of
 from kgweave.operators.components import connected_components
 from kgweave.plans.scratch import Scratch
 
@@ -46,6 +47,7 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", width: in
     """The columns ``keep`` and ``fp``, the fingerprint's 64 bits as a long. A null text has fingerprint 0."""
 
     def run(batches):
+        cache_of("simhash")
         for b in batches:
             fp = np.fromiter((fingerprint(x.as_py(), width) for x in b.column("_text")), np.uint64, b.num_rows).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(fp)], [*keep, "fp"])

@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgweave.llm.caches import cache_of, trim
 from kgweave.plans.scratch import Scratch
 
 WINDOW, ROUNDS, LONGEST = 13, 3, 6
@@ -137,6 +138,7 @@ class Batch:
 
 def _texts(batches, size: int = BATCH_WORDS * 6):
     """Rows of the batches in slices of about ``size`` bytes of text."""
+    cache_of("substrings")
     for b in batches:
         lengths = np.cumsum([len(x) if x is not None else 0 for x in b.column("text").to_pylist()]) if b.num_rows else []
         at = 0
@@ -145,6 +147,7 @@ def _texts(batches, size: int = BATCH_WORDS * 6):
             to = max(at + 1, int(np.searchsorted(lengths, base + size, "right")))
             yield b.slice(at, to - at)
             at = to
+    trim()
 
 
 def _ids(b) -> np.ndarray:

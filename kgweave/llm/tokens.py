@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kgweave.llm.caches import cache_of, trim
+
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
 MEMO, SLICE_BYTES = 400_000, 4 << 20
 #: Words of these characters only: ASCII (but NUL) and the letters of Latin-1, which need no normal form.
@@ -31,7 +33,6 @@ SIMPLE = "^[\x01-\x7fÀ-ÖØ-öø-ÿ]*$"
 #: The pieces of simple words (lower case) that the tokenizer's pattern gives; "\n" ends a word here.
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^\na-z0-9ß-öø-ÿ]+")
 END, WHOLE = -2, -3  # places of the end of a word, and of a word that stands whole
-_loaded: dict[str, WordEncoder] = {}
 
 
 def tokenizer_path(name: str) -> str:
@@ -66,9 +67,10 @@ class WordEncoder:
 
     @classmethod
     def of(cls, name: str) -> WordEncoder:
-        if name not in _loaded:
-            _loaded[name] = cls(name)
-        return _loaded[name]
+        held = cache_of("words")
+        if name not in held:
+            held[name] = cls(name)
+        return held[name]
 
     def clear(self) -> None:
         self.at: dict[str, int] = {"\n": END, "\0": WHOLE}
@@ -135,7 +137,7 @@ def slices(batches, column: str, size: int = SLICE_BYTES):
             to = max(at + 1, int(np.searchsorted(lengths, (lengths[at - 1] if at else 0) + size, "right")))
             yield b.slice(at, to - at)
             at = to
-    pa.default_memory_pool().release_unused()  # workers live on
+    trim()
 
 
 def paragraphs(text: str) -> list[tuple[int, int]]:
@@ -177,11 +179,9 @@ def attribute(token_ends: np.ndarray, section_starts: np.ndarray, section_ends:
     return np.bincount(section[best], minlength=n).astype(np.float64)
 
 
-_encodings: dict[str, tuple] = {}
-
-
 def _byte_encoding(name: str):
-    if name not in _encodings:
+    held = cache_of("bytes")
+    if name not in held:
         import public_tokenizers
         import tiktoken
 
@@ -190,8 +190,8 @@ def _byte_encoding(name: str):
         sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, i in ranks.items():
             sizes[i] = len(token)
-        _encodings[name] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes
-    return _encodings[name]
+        held[name] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes
+    return held[name]
 
 
 def count_tokens(
