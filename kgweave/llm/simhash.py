@@ -124,21 +124,22 @@ def near_links(fps: DataFrame, n: int, radius: int = RADIUS, chunk: int = CHUNK)
     return dealt.repartition(tasks, *by).sortWithinPartitions(*by).mapInArrow(_links(radius), "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``(doc_id, fp, component_id)`` for every row of ``docs``.
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, radius: int = RADIUS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, fp, group, component_id)`` and the columns ``carry`` for every row of ``docs``.
 
     Documents link when their fingerprints differ in at most ``radius`` bits (texts without words have
     fingerprint 0 and link like others). ``component_id`` is the smallest id reachable over links; it is null
-    only where all ids of a component are null. Equal rows get equal results; other columns are ignored.
+    only where all ids of a component are null. ``group`` names the component by one of its fingerprints, so it
+    tells such components apart. Equal rows get equal results; other columns are ignored.
     """
     work = Scratch(docs.sparkSession, "simhash")
-    seen = work.write(fingerprints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), ["doc_id"], width=width), "fps")
+    seen = work.write(fingerprints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *carry), ["doc_id", *carry], width=width), "fps")
     reps = work.write(seen.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     found = work.write(connected_components(work.write(near_links(reps.select("fp"), reps.count(), radius).distinct(), "links")), "components")
     least = found.join(reps, found.node == reps.fp).groupBy("component").agg(F.min("rep").alias("low"))
-    linked = found.join(least, "component").select(F.col("node").alias("fp"), "low")
-    final = reps.join(linked, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id"))
-    return seen.join(final, "fp").select("doc_id", "fp", "component_id")
+    linked = found.join(least, "component").select(F.col("node").alias("fp"), "low", "component")
+    final = reps.join(linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("group"), F.coalesce("low", "rep").alias("component_id"))
+    return seen.join(final, "fp").select("doc_id", *carry, "fp", "group", "component_id")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,3 +43,15 @@ def test_run(spark, sf, nothing):
     assert ordered(p.run(spark, d).collect()) == ordered(p.run(spark, d).collect())
     assert [f for _, f in p.STAGES] == [p.language, p.near_duplicate, p.substring, p.mix, p.pack]
     assert p.run(spark, sf(nothing)).count() == 0
+
+
+def test_near_duplicates_with_missing_and_shared_ids(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in ("ant", "bee", "cow"))
+    rows = [(None, one, "en", "s0", 1), (None, two, "en", "s0", 1), (None, two, "en", "s0", 1), (7, one, "en", "s1", 1), (8, three, "en", "s1", 1), (8, " ".join(f"dog{i}" for i in range(40)), "fr", None, None), (8, two, "en", "s2", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = p.near_duplicate(spark, docs, "")
+    assert got.columns == p.COLUMNS
+    assert ordered((r.doc_id, r.text) for r in got.collect()) == ordered((i, t) for i, t, *_ in (rows[3], rows[4], rows[5], rows[6]))
+    # without the row that gives one of them an id, both texts without ids stay, each once
+    got = p.near_duplicate(spark, docs.filter("doc_id is null"), "")
+    assert ordered((r.doc_id, r.text) for r in got.collect()) == ordered([(None, one), (None, two)])
