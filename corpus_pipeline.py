@@ -29,11 +29,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays (a row with a null id stays if its
-    group has no other id)."""
-    groups = near_duplicates(docs)
-    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(keep.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Of each group of near-duplicates one document stays: the one with the smallest id, null last. Rows that share an
+    id, or have none, are told apart by a hash of all their columns; wholly equal rows count as one."""
+    rows = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("_key"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("first")
+    keep = near_duplicates(rows, carry=("_key",)).groupBy("group").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first._key").alias("_kept"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_kept"))
+    return rows.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_key"]).select(*COLUMNS)
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
