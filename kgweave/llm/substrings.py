@@ -243,20 +243,20 @@ def _share(groups: int):
     return run
 
 
-def _with_payload(batches, kinds: int):
-    """Rows sorted by (g, kind): yields (g, one sorted array per kind below ``kinds``, a slice of texts)."""
+def _with_payload(batches, form):
+    """Rows sorted by (g, kind): yields (g, the payloads of kind 0 as one sorted array of ``form``, a slice of texts)."""
     g, got = None, None
     for b in _texts(batches):
         gs, kind = b.column("g").to_numpy(), b.column("kind").to_numpy()
         cut = np.flatnonzero(np.r_[True, (gs[1:] != gs[:-1]) | (kind[1:] != kind[:-1]), True])
         for a, z in zip(cut, cut[1:]):
             if gs[a] != g:
-                g, got = gs[a], [[] for _ in range(kinds)]
-            if kind[a] < kinds:
-                got[kind[a]] += b.column("payload").slice(a, z - a).to_pylist()
+                g, got = gs[a], []
+            if kind[a] == 0:
+                got += b.column("payload").slice(a, z - a).to_pylist()
             else:
-                if any(isinstance(x, list) for x in got):
-                    got = [np.unique(np.frombuffer(b"".join(x), U if k == 0 else PAIR)) if isinstance(x, list) else x for k, x in enumerate(got)]
+                if isinstance(got, list):
+                    got = np.unique(np.frombuffer(b"".join(got), form))
                 yield g, got, b.slice(a, z - a)
 
 
@@ -275,7 +275,7 @@ def _verify(groups: int):
     """Texts of a group after its shared keys -> (bucket, g, windows): candidate windows, each once for a batch."""
 
     def run(batches):
-        for g, (shared,), b in _with_payload(batches, 1):
+        for g, shared, b in _with_payload(batches, U):
             if not len(shared):
                 continue
             x = Batch(b.column("text").to_pylist())
@@ -298,8 +298,8 @@ def _verify(groups: int):
 
 
 def _answer(batches):
-    """Windows of a bucket -> (g, kind, payload). Kind 0: hashes of windows that a document smaller than all of the
-    group's batch holds. Kind 1: (hash, document) where the smallest one is in the batch itself."""
+    """Windows of a bucket -> (g, payload): (hash, smallest document that holds it) of each window that a document of the
+    group's batch must give up. A group has several batches, so only the document itself tells whose window stays."""
     for _, (gs, packed) in _by(batches, "bucket", ["g", "windows"]):
         rows = np.frombuffer(b"".join(packed), FULL)
         g = np.repeat(np.array(gs, np.int32), [len(p) // FULL.itemsize for p in packed])
@@ -307,35 +307,28 @@ def _answer(batches):
         rows, g = rows[order], g[order]
         new = np.r_[True, (rows["key"][1:] != rows["key"][:-1]) | (rows["low"][1:] != rows["low"][:-1])]
         least = rows["doc"][np.flatnonzero(new)][np.cumsum(new) - 1]
-        for kind, pick in ((0, least < rows["doc"]), (1, (least == rows["doc"]) & (rows["many"] == 1))):
-            at, part = g[pick], rows[pick]
-            order = np.argsort(at, kind="stable")
-            at, part = at[order], part[order]
-            out = part["key"] if kind == 0 else np.rec.fromarrays([part["key"], part["doc"]], PAIR)
-            cut = _cuts(at)
-            if len(at):
-                n = len(cut) - 1
-                yield pa.RecordBatch.from_arrays([pa.array(at[cut[:-1]]), pa.array(np.full(n, kind, np.int32)), pa.array([_bytes(out[a:z]) for a, z in zip(cut, cut[1:])], pa.binary())], ["g", "kind", "payload"])
+        pick = (least < rows["doc"]) | (rows["many"] == 1)
+        at, out = g[pick], np.rec.fromarrays([rows["key"][pick], least[pick]], PAIR)
+        order = np.argsort(at, kind="stable")
+        at, out = at[order], out[order]
+        cut = _cuts(at)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(at[cut[:-1]]), pa.array([_bytes(out[a:z]) for a, z in zip(cut, cut[1:])], pa.binary())], ["g", "payload"])
 
 
 def _remove(batches):
     """Texts of a group after its answers -> kept words of each document."""
-    for _, (smaller, own), b in _with_payload(batches, 2):
+    for _, least, b in _with_payload(batches, PAIR):
         texts, ids = b.column("text").to_pylist(), _ids(b)
         lists = [t.split() if t else [] for t in texts]
-        if len(smaller) or len(own):
+        if len(least):
             x = Batch.__new__(Batch)
             x.h, x.start = word_hashes(texts)
             doc = np.repeat(np.arange(len(texts)), np.diff(x.start))
             at = np.flatnonzero(np.arange(len(x.h)) + WINDOW <= x.start[1:][doc]) if len(doc) else np.zeros(0, np.int64)
             key = Ranges(x.h, B1)(at, at + WINDOW)
-            gone = _in(smaller, key)
-            if len(own):
-                # several batches of a group may name their own smallest document: the least counts
-                first = np.r_[True, own["key"][1:] != own["key"][:-1]]
-                own = own[first]
-                i = np.minimum(np.searchsorted(own["key"], key), len(own) - 1)
-                gone |= (own["key"][i] == key) & (ids[doc[at]] > own["doc"][i])
+            i = np.minimum(np.searchsorted(least["key"], key), len(least) - 1)
+            gone = (least["key"][i] == key) & (ids[doc[at]] > least["doc"][i])
             step = np.zeros(len(x.h) + WINDOW + 1, np.int64)
             np.add.at(step, at[gone], 1)
             np.add.at(step, at[gone] + WINDOW, -1)
@@ -376,18 +369,18 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shared = keys.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_share(groups), "g int, payload binary")
     shared = work.write(shared, "shared")
 
-    def beside(payload: DataFrame, kinds: int, texts: DataFrame) -> DataFrame:
+    def beside(payload: DataFrame, texts: DataFrame) -> DataFrame:
         """Texts of each group after what was found for the group, in one partition, sorted."""
-        told = payload.select("g", "kind", "payload", *[F.lit(None).cast(t).alias(c) for c, t in texts.dtypes if c != "g"])
-        rows = texts.select("g", F.lit(kinds).alias("kind"), F.lit(None).cast("binary").alias("payload"), *[c for c in texts.columns if c != "g"])
+        told = payload.select("g", F.lit(0).alias("kind"), "payload", *[F.lit(None).cast(t).alias(c) for c, t in texts.dtypes if c != "g"])
+        rows = texts.select("g", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("payload"), *[c for c in texts.columns if c != "g"])
         return told.unionByName(rows).repartition(tasks, "g").sortWithinPartitions("g", "kind")
 
-    seen = beside(shared.select("g", F.lit(0).alias("kind"), "payload"), 1, base.select("g", "doc_id", "text"))
+    seen = beside(shared, base.select("g", "doc_id", "text"))
     windows = seen.mapInArrow(_verify(groups), "bucket int, g int, windows binary")
-    answers = windows.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "g int, kind int, payload binary")
+    answers = windows.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "g int, payload binary")
     answers = work.write(answers, "answers")
     work.drop("shared")
-    return beside(answers, 2, base).mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept binary, kept_sha256 string, rest string")
+    return beside(answers, base).mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept binary, kept_sha256 string, rest string")
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,21 @@ def test_against_brute_force(spark):
     assert query(spark, rows) == ordered(brute.substrings(rows))
 
 
+def test_several_slices_of_a_group(spark):
+    """Each document comes in a slice of its own; the first holder of a passage is not always in the first slice of its group."""
+    rng = random.Random(2)
+    vocab = [f"w{i}" for i in range(5000)]
+    passages = [" ".join(rng.choice(vocab) for _ in range(20)) for _ in range(4)]
+    rows = [(d, " ".join([rng.choice(vocab), rng.choice(passages), *rng.choices(vocab, k=rng.randrange(20))])) for d in range(500)]
+    rng.shuffle(rows)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        assert query(spark, rows) == ordered(brute.substrings(rows))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
 def test_odd_rows(spark, odd, nothing, sf):
     rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
     assert ordered(s.op9_substrings(spark, sf(odd)).collect()) == ordered(brute.substrings(rows))
