@@ -53,3 +53,23 @@ def simhash(rows, width=3, radius=3):
         if d is not None:
             low[find(f)] = min(low.get(find(f), d), d)
     return [(d, f"{f:016x}", low.get(find(f))) for d, f in fps]
+
+
+def jaccard_groups(texts, width=5, least=0.8):
+    """For each text the smallest index reachable over pairs of that similarity of shingle sets."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} or {tuple(w)})
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]

@@ -55,3 +55,23 @@ def test_near_duplicates_with_missing_and_shared_ids(spark):
     # without the row that gives one of them an id, both texts without ids stay, each once
     got = p.near_duplicate(spark, docs.filter("doc_id is null"), "")
     assert ordered((r.doc_id, r.text) for r in got.collect()) == ordered([(None, one), (None, two)])
+
+
+def test_near_duplicates_against_brute_force(spark):
+    """Copies with 0 to 12 words changed, of texts of 60 to 400 words: similarities from 0.4 to 1, and chains of copies."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = []
+    for _ in range(40):
+        cur = [word() for _ in range(rng.randrange(60, 400))]
+        texts.append(" ".join(cur))
+        for _ in range(5):
+            new = list(cur)
+            for _ in range(rng.randrange(12)):
+                new[rng.randrange(len(new))] = word()
+            texts.append(" ".join(new))
+            cur = new if rng.random() < 0.4 else cur
+    texts += ["one two three", "One  two three", "one two four"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in p.near_duplicate(spark, docs, "").collect()}
+    assert got == set(brute.jaccard_groups(texts)) and 45 < len(got) < 200
