@@ -224,7 +224,7 @@ def g2(spark, d):
 
 @query("G3_communities")
 def g3(spark, d):
-    return detect_communities(undirected_edges(tg.edges(spark, d)), max_size=500, rounds=4, max_levels=1)
+    return detect_communities(undirected_edges(tg.edges(spark, d)))
 
 
 _LAB = "m AS (SELECT id AS node, label||(length(id) % 2) AS community FROM nodes), u AS (SELECT least(\"from\", \"to\") AS a, greatest(\"from\", \"to\") AS b, min(score) AS w FROM edges GROUP BY 1, 2)"

@@ -1,3 +1,4 @@
+import collections
 import random
 import uuid
 
@@ -12,6 +13,8 @@ from kgweave.operators import graph as g
 from kgweave.operators import merge as m
 from kgweave.operators import resolve as rs
 from kgweave.operators import search as se
+from kgweave.plans import registry
+from kgweave.plans import testgraph as tg
 from kgweave.sources import benchmarks as bm
 from kgweave.streaming import ingest as ing
 
@@ -82,6 +85,21 @@ def test_communities(spark):
     assert q > 0.4
 
 
+def test_communities_query_nests_and_covers(spark):
+    """The registered query: level 0 covers all nodes, and every larger community that can be split is, within its parent."""
+    registry.load()
+    d = "/root/testdata/sf0.001"
+    out = registry.QUERIES["G3_communities"](spark, d).collect()
+    at = {k: {r.node: r for r in out if r.level == k} for k in {r.level for r in out}}
+    ends = {x for r in g.undirected_edges(tg.edges(spark, d)).select("a", "b").collect() for x in r}
+    assert sum(map(len, at.values())) == len(out) and set(at[0]) == ends and 1 in at
+    assert all(r.parent is None for r in at[0].values())
+    for k in sorted(at)[1:]:
+        assert all(r.parent == at[k - 1][n].community for n, r in at[k].items())
+        sizes = collections.Counter(r.community for r in at[k - 1].values())
+        assert {n for n, r in at[k - 1].items() if sizes[r.community] > 10} == set(at[k])
+
+
 def test_rrf_and_mmr(spark):
     hits = spark.createDataFrame([(1, "e", "a", "x", 1, 0.5), (1, "e", "a", "y", 1, 0.9), (1, "e", "b", "x", 2, 0.4)], "query_id int, kind string, item_id string, list string, rank int, score double")
     out = {r.item_id: r.score for r in se.rrf(hits).collect()}
