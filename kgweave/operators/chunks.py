@@ -260,7 +260,7 @@ def t7(spark, d):
 
 @query("T8_extract_graph")
 def t8(spark, d):
-    return extract_graph(_docs(spark, d).select(F.col("doc_id").alias("chunk_id"), "text"), lexicon(spark), _allowed(spark))[1].select("chunk_id", "id", "head_id", "tail_id", "type", "score")
+    return extract_graph(chunk_documents(_docs(spark, d)).select("chunk_id", "text"), lexicon(spark), _allowed(spark))[1].select("chunk_id", "id", "head_id", "tail_id", "type", "score")
 
 
 @query("T9_embed")

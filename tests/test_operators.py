@@ -85,6 +85,14 @@ def test_communities(spark):
     assert q > 0.4
 
 
+def test_extract_graph_query_reads_whole_documents(spark, tmp_path):
+    """A relation after the first 8,000 characters of a document is found."""
+    registry.load()
+    text = "filler " * 2000 + "of the house the door"
+    spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.type for r in registry.QUERIES["T8_extract_graph"](spark, str(tmp_path)).collect()} == {"NEAR"}
+
+
 def test_communities_query_nests_and_covers(spark):
     """The registered query: level 0 covers all nodes, and every larger community that can be split is, within its parent."""
     registry.load()
