@@ -191,10 +191,10 @@ def _reveal(groups: int):
             key2, g2, at2 = key2[o2], g2[o2], at2[o2]
             twice = np.r_[False, (key2[1:] == key2[:-1]) & (g2[1:] == g2[:-1])] if len(key2) else np.zeros(0, bool)
             key2, g2, at2 = key2[~twice], g2[~twice], at2[~twice]
-            edges1, edges2 = np.searchsorted(at1, np.arange(groups + 1)), np.searchsorted(at2, np.arange(groups + 1))
             # one row for each bucket that has keys or known groups
-            has = np.flatnonzero((np.diff(edges1) > 0) | (np.diff(edges2) > 0))
-            cols = [[_bytes(v[e[i] : e[i + 1]]) for i in has] for v, e in ((low1, edges1), (g1, edges1), (_pack(key2, groups), edges2))]
+            has = np.union1d(at1, at2)
+            spans = [(np.searchsorted(at, has, "left"), np.searchsorted(at, has, "right")) for at in (at1, at1, at2)]
+            cols = [[_bytes(v[a:z]) for a, z in zip(*e)] for v, e in zip((low1, g1, _pack(key2, groups)), spans)]
             yield pa.RecordBatch.from_arrays([pa.array(has.astype(np.int32)), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "keys", "gs", "known"])
 
     return run
@@ -260,7 +260,7 @@ def _with_payload(batches, form):
                 yield g, got, b.slice(a, z - a)
 
 
-PAIR = np.dtype([("key", "<u8"), ("doc", "<i8")])
+LEAST = np.dtype([("key", "<u8"), ("low", "<u4"), ("doc", "<i8")])
 FULL = np.dtype([("key", "<u8"), ("low", "<u4"), ("doc", "<i8"), ("many", "u1")])
 
 
@@ -298,8 +298,8 @@ def _verify(groups: int):
 
 
 def _answer(batches):
-    """Windows of a bucket -> (g, payload): (hash, smallest document that holds it) of each window that a document of the
-    group's batch must give up. A group has several batches, so only the document itself tells whose window stays."""
+    """Windows of a bucket -> (g, payload): (both hashes, smallest document that holds it) of each window that a document of
+    the group's batch must give up. A group has several batches, so only the document itself tells whose window stays."""
     for _, (gs, packed) in _by(batches, "bucket", ["g", "windows"]):
         rows = np.frombuffer(b"".join(packed), FULL)
         g = np.repeat(np.array(gs, np.int32), [len(p) // FULL.itemsize for p in packed])
@@ -308,7 +308,7 @@ def _answer(batches):
         new = np.r_[True, (rows["key"][1:] != rows["key"][:-1]) | (rows["low"][1:] != rows["low"][:-1])]
         least = rows["doc"][np.flatnonzero(new)][np.cumsum(new) - 1]
         pick = (least < rows["doc"]) | (rows["many"] == 1)
-        at, out = g[pick], np.rec.fromarrays([rows["key"][pick], least[pick]], PAIR)
+        at, out = g[pick], np.rec.fromarrays([rows["key"][pick], rows["low"][pick], least[pick]], LEAST)
         order = np.argsort(at, kind="stable")
         at, out = at[order], out[order]
         cut = _cuts(at)
@@ -318,7 +318,7 @@ def _answer(batches):
 
 def _remove(batches):
     """Texts of a group after its answers -> kept words of each document."""
-    for _, least, b in _with_payload(batches, PAIR):
+    for _, least, b in _with_payload(batches, LEAST):
         texts, ids = b.column("text").to_pylist(), _ids(b)
         lists = [t.split() if t else [] for t in texts]
         if len(least):
@@ -326,9 +326,17 @@ def _remove(batches):
             x.h, x.start = word_hashes(texts)
             doc = np.repeat(np.arange(len(texts)), np.diff(x.start))
             at = np.flatnonzero(np.arange(len(x.h)) + WINDOW <= x.start[1:][doc]) if len(doc) else np.zeros(0, np.int64)
-            key = Ranges(x.h, B1)(at, at + WINDOW)
-            i = np.minimum(np.searchsorted(least["key"], key), len(least) - 1)
-            gone = (least["key"][i] == key) & (ids[doc[at]] > least["doc"][i])
+            x.ranges, x.window = Ranges(x.h, B1), WINDOW
+            key = x.ranges(at, at + WINDOW)
+            maybe = _in(least["key"], key)
+            at, key = at[maybe], key[maybe]
+            _, low = x.window_hash(at)
+            i = first = np.searchsorted(least["key"], key)
+            # keys that differ in ``low`` alone stand side by side
+            for step in range(1, int(np.diff(_cuts(least["key"])).max())):
+                j = np.minimum(first + step, len(least) - 1)
+                i = np.where((least["key"][j] == key) & (least["low"][j] == low), j, i)
+            gone = (least["low"][i] == low) & (ids[doc[at]] > least["doc"][i])
             step = np.zeros(len(x.h) + WINDOW + 1, np.int64)
             np.add.at(step, at[gone], 1)
             np.add.at(step, at[gone] + WINDOW, -1)
@@ -387,4 +395,16 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+ORACLES = {
+    "op9_substrings": r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(generate_series(1, len(w)::BIGINT - 12)) AS i FROM t WHERE len(w) >= 13),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM starts),
+least AS (SELECT k, min(doc_id) AS first FROM windows GROUP BY k HAVING count(DISTINCT doc_id) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS pos FROM windows JOIN least USING (k) WHERE first < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w)::BIGINT)) AS pos FROM t WHERE len(w) > 0),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT t.doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (doc_id)"""
+}
 QUERIES = {"op9_substrings": op9_substrings}
