@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kgweave.functions.ids import content_key, identity_id
+from kgweave.functions.ids import content_key, duck_uuid5, identity_id
 from kgweave.operators.merge import combine_extractions, link_endpoints, normalize_extractions
 from kgweave.plans import testgraph as tg
 from kgweave.plans.registry import query
 
 SEPARATORS = ("\n\n", "\n", " ", "")
+SLOT = 256
 
 
 def recursive_spans(text: str, size: int = 4000, overlap: int = 200, separators: tuple[str, ...] = SEPARATORS) -> list[tuple[int, int]]:
@@ -105,21 +106,22 @@ def tokenize_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def char_to_token_spans(spans: DataFrame, tokens: DataFrame) -> DataFrame:
-    """``spans(doc_id, span_id, start, end)`` -> first and last token that overlap each."""
-    t = tokens.select("doc_id", "pos", F.col("start").alias("_a"), F.col("end").alias("_z"))
-    hit = spans.join(t, "doc_id").filter((F.col("_a") < F.col("end")) & (F.col("_z") > F.col("start")))
+    """``spans(doc_id, span_id, start, end)`` -> first and last token that overlap each. Both sides are cut into slots of ``SLOT``
+    characters, so a span meets the tokens near it alone."""
+    slots = lambda a, z: F.explode(F.sequence(F.floor(F.col(a) / SLOT), F.floor((F.greatest(a, F.col(z) - 1)) / SLOT))).alias("_slot")
+    t = tokens.select("doc_id", "pos", F.col("start").alias("_a"), F.col("end").alias("_z"), slots("start", "end"))
+    hit = spans.select("doc_id", "span_id", "start", "end", slots("start", "end")).join(t, ["doc_id", "_slot"]).filter((F.col("_a") < F.col("end")) & (F.col("_z") > F.col("start")))
     return hit.groupBy("doc_id", "span_id").agg(F.min("pos").alias("first_token"), F.max("pos").alias("last_token"))
 
 
-def tag_entities(chunks: DataFrame, lexicon: DataFrame, max_words: int = 3, threshold: float = 0.5, max_chars: int = 8000, key: str = "chunk_id") -> DataFrame:
+def tag_entities(chunks: DataFrame, lexicon: DataFrame, max_words: int = 3, threshold: float = 0.5, key: str = "chunk_id") -> DataFrame:
     """Lexicon matches ``(chunk_id, name, label, score, first, last)`` by word position; ``lexicon(name, label, score)``.
 
     Names are runs of lower-case words without punctuation at their ends, of at most ``max_words``. A match gives way to an
-    overlapping longer one, and to an equally long one that starts earlier. As the tagger this stands for reads a
-    bounded window, text beyond ``max_chars`` isn't tagged.
+    overlapping longer one, and to an equally long one that starts earlier. Texts are tagged whole.
     """
     # a blank at either end is cut before the split, so positions count words
-    words = F.transform(F.filter(F.split(F.substring("text", 1, max_chars), r"\s+"), lambda w: w != ""), lambda w: F.regexp_replace(F.lower(w), r"^[^a-z0-9]+|[^a-z0-9]+$", ""))
+    words = F.transform(F.filter(F.split("text", r"\s+"), lambda w: w != ""), lambda w: F.regexp_replace(F.lower(w), r"^[^a-z0-9]+|[^a-z0-9]+$", ""))
     rows = chunks.select(key, words.alias("w"))
     grams = None
     for n in range(1, max_words + 1):
@@ -222,31 +224,43 @@ def t4(spark, d):
     return t.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("end").alias("last_end"), F.sum(F.col("start") * ((F.col("pos") + 1) % 7)).cast("long").alias("mark"))
 
 
-_LEX = "lex AS (SELECT * FROM (VALUES ('of the', 'PHRASE', 0.9), ('the', 'DET', 0.8), ('and', 'CONJ', 0.8), ('that', 'PRON', 0.3), ('in the', 'PHRASE', 0.9)) v(name, label, score))"
+LEXICON_SQL = "lex AS (SELECT * FROM (VALUES ('of the', 'PHRASE', 0.9), ('the', 'DET', 0.8), ('and', 'CONJ', 0.8), ('that', 'PRON', 0.3), ('in the', 'PHRASE', 0.9)) v(name, label, score))"
 
 
 def lexicon(spark) -> DataFrame:
     return spark.sql("SELECT * FROM VALUES ('of the', 'PHRASE', 0.9D), ('the', 'DET', 0.8D), ('and', 'CONJ', 0.8D), ('that', 'PRON', 0.3D), ('in the', 'PHRASE', 0.9D) AS v(name, label, score)")
 
 
-_TAGS = r"""w AS (SELECT doc_id AS chunk_id, list_transform(list_filter(regexp_split_to_array(substr(text, 1, 8000), '\s+'), lambda x: x <> ''), lambda x: regexp_replace(lower(x), '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g')) AS w FROM documents),
+#: Tagged entities ``t(chunk_id, f, n, l, name, label)`` of the chunks ``src(chunk_id, text)``.
+TAGS_SQL = r"""w AS (SELECT chunk_id, list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''), lambda x: regexp_replace(lower(x), '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g')) AS w FROM {src}),
  p AS (SELECT chunk_id, w, unnest(generate_series(1, len(w)::BIGINT)) AS i FROM w), g AS (SELECT chunk_id, i - 1 AS f, 1 AS n, w[i] AS name FROM p UNION ALL SELECT chunk_id, i - 1, 2, w[i]||' '||w[i + 1] FROM p WHERE i < len(w)),
  h AS (SELECT chunk_id, f, n, f + n - 1 AS l, name, label FROM g JOIN lex USING (name) WHERE score >= 0.5), t AS (SELECT * FROM h a WHERE NOT EXISTS (SELECT 1 FROM h b WHERE a.chunk_id = b.chunk_id AND b.f <= a.l AND b.l >= a.f AND (b.n > a.n OR b.n = a.n AND b.f < a.f)))"""
 
 
-@query("T5_tag_entities", f"WITH {_LEX}, {_TAGS} SELECT chunk_id, name, label, f AS first FROM t")
+_DOC_TAGS = TAGS_SQL.replace("{src}", "(SELECT doc_id AS chunk_id, text FROM documents)")
+#: Fixed windows of 1,000 characters that overlap by 100, as chunks.
+CHUNKS_SQL = "ch AS (SELECT doc_id||'-'||i AS chunk_id, doc_id, substr(text, (i * 900 + 1)::INTEGER, 1000) AS text FROM (SELECT doc_id, text, unnest(generate_series(0, greatest(0, ceil((length(text) - 100) / 900.0)::INTEGER - 1))) AS i FROM documents WHERE length(text) > 0))"
+SCHEMA_SQL = "s AS (SELECT * FROM (VALUES ('DET', 'BEFORE', 'CONJ'), ('PHRASE', 'NEAR', 'DET')) v(hl, type, tl))"
+
+
+def fixed_chunks(docs: DataFrame) -> DataFrame:
+    """``(chunk_id, doc_id, text)`` of the windows that the queries here and their SQL share."""
+    return chunk_fixed(docs, 1000, 100).select(F.concat("doc_id", F.lit("-"), "chunk_index").alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), "text")
+
+
+@query("T5_tag_entities", f"WITH {LEXICON_SQL}, {_DOC_TAGS} SELECT chunk_id, name, label, f AS first FROM t")
 def t5(spark, d):
     return tag_entities(_docs(spark, d).select(F.col("doc_id").alias("chunk_id"), "text"), lexicon(spark)).select("chunk_id", "name", "label", F.col("first").cast("long").alias("first"))
 
 
-def _allowed(spark) -> DataFrame:
+def allowed_relations(spark) -> DataFrame:
     return spark.sql("SELECT * FROM VALUES ('DET', 'BEFORE', 'CONJ'), ('PHRASE', 'NEAR', 'DET') AS v(head_label, type, tail_label)")
 
 
-@query("T6_propose", f"WITH {_LEX}, {_TAGS}, s AS (SELECT * FROM (VALUES ('DET', 'BEFORE', 'CONJ'), ('PHRASE', 'NEAR', 'DET')) v(hl, type, tl)) SELECT a.chunk_id, a.name AS head_name, s.type, b.name AS tail_name, 1.0::DOUBLE / (b.f - a.f) AS score FROM t a JOIN t b ON a.chunk_id = b.chunk_id AND b.f > a.f AND b.f - a.f <= 20 JOIN s ON hl = a.label AND tl = b.label")
+@query("T6_propose", f"WITH {LEXICON_SQL}, {_DOC_TAGS}, s AS (SELECT * FROM (VALUES ('DET', 'BEFORE', 'CONJ'), ('PHRASE', 'NEAR', 'DET')) v(hl, type, tl)) SELECT a.chunk_id, a.name AS head_name, s.type, b.name AS tail_name, 1.0::DOUBLE / (b.f - a.f) AS score FROM t a JOIN t b ON a.chunk_id = b.chunk_id AND b.f > a.f AND b.f - a.f <= 20 JOIN s ON hl = a.label AND tl = b.label")
 def t6(spark, d):
     tagged = tag_entities(_docs(spark, d).select(F.col("doc_id").alias("chunk_id"), "text"), lexicon(spark))
-    return propose_relations(tagged, _allowed(spark)).select("chunk_id", "head_name", "type", "tail_name", "score")
+    return propose_relations(tagged, allowed_relations(spark)).select("chunk_id", "head_name", "type", "tail_name", "score")
 
 
 _ANSWER = """CASE WHEN o_orderkey % 9 = 0 THEN 'no json' ELSE '{"entities":[{"name":"' || o_orderpriority || '","label":"' || o_orderstatus || '","score":0.5},{"name":"other","label":"O","score":1.0}],"relations":[{"head":"other","type":"R","tail":"' || o_orderpriority || '","score":0.25}]}' END"""
@@ -258,14 +272,22 @@ def t7(spark, d):
     return flatten_model_output(r, ["O", "F"], ["R"])[1].select("chunk_id", "head", "type", "tail")
 
 
-@query("T8_extract_graph")
+_T8 = f"""WITH {LEXICON_SQL}, {CHUNKS_SQL}, {TAGS_SQL.replace("{src}", "ch")}, {SCHEMA_SQL}, r AS (SELECT DISTINCT a.chunk_id, a.name AS h, a.label AS hl, s.type, b.name AS t, b.label AS tl, max(1.0::DOUBLE / (b.f - a.f)) AS score
+ FROM t a JOIN t b ON a.chunk_id = b.chunk_id AND b.f > a.f AND b.f - a.f <= 20 JOIN s ON s.hl = a.label AND s.tl = b.label GROUP BY ALL),
+ e AS (SELECT *, {duck_uuid5("'Entity:'||replace(h, ' ', '_')||'|'||lower(hl)")} AS head_id, {duck_uuid5("'Entity:'||replace(t, ' ', '_')||'|'||lower(tl)")} AS tail_id FROM r)
+ SELECT chunk_id, head_id, tail_id, type, round(score, 9) AS score, {duck_uuid5("'Relation:'||head_id||'|'||type||'|'||tail_id")} AS id FROM e"""
+
+
+@query("T8_extract_graph", _T8)
 def t8(spark, d):
-    return extract_graph(chunk_documents(_docs(spark, d)).select("chunk_id", "text"), lexicon(spark), _allowed(spark))[1].select("chunk_id", "id", "head_id", "tail_id", "type", "score")
+    out = extract_graph(fixed_chunks(_docs(spark, d)).select("chunk_id", "text"), lexicon(spark), allowed_relations(spark))[1]
+    return out.select("chunk_id", "id", "head_id", "tail_id", "type", F.round("score", 9).alias("score"))
 
 
-@query("T9_embed")
+@query("T9_embed", "SELECT doc_id, 64 AS dims, 1.0::DOUBLE AS norm FROM documents")
 def t9(spark, d):
-    return embed(_docs(spark, d)).select("doc_id", "vector")
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return embed(_docs(spark, d)).select("doc_id", F.size("vector").alias("dims"), F.round(norm, 5).alias("norm"))
 
 
 @query("T10_missing_keys", "WITH k AS (SELECT sha256(text||chr(0)||'m1') AS key, doc_id FROM documents) SELECT key, min(doc_id) AS doc_id, count(*) AS n FROM k WHERE key NOT IN (SELECT key FROM k WHERE doc_id % 4 = 0) GROUP BY 1")
@@ -274,7 +296,7 @@ def t10(spark, d):
     return k.join(k.filter("doc_id % 4 = 0").select("key").distinct(), "key", "left_anti").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
 
 
-@query("T10_embed_missing")
+@query("T10_embed_missing", "SELECT doc_id, 64 AS dims FROM documents")
 def t10_embed(spark, d):
     docs = _docs(spark, d).select("doc_id", "text")
     cache = embed(docs.filter("doc_id % 4 = 0")).select(content_key("text", F.lit("m1")).alias("key"), "vector").dropDuplicates(["key"])

@@ -126,7 +126,7 @@ def bfs_expand(seeds: DataFrame, edges: DataFrame, names: DataFrame, depth: int
     """Nodes within ``depth`` directed hops of each query's seeds ``(query_id, node_id)``: least hop, up to three types of
     last edges, score 1 / (1 + hop); the first ``limit`` by (hop, name, id). Seeds aren't marked as reached."""
     work = Scratch(edges.sparkSession, "bfs")
-    e = edges.select(F.col("from").alias("node_id"), F.col("to").alias("next"), "type")
+    e = work.write(edges.select(F.col("from").alias("node_id"), F.col("to").alias("next"), "type"), "edges")
     front = seeds.select("query_id", "node_id").distinct()
     sources, reached = front.withColumn("hop", F.lit(0)), None
     for hop in range(1, depth + 1):
@@ -150,7 +150,8 @@ def neighbors(ids: DataFrame, edges: DataFrame, depth: int = 1, limit: int = 100
     ``limit`` by (hop, id)."""
     depth = min(3, max(1, depth))
     work = Scratch(edges.sparkSession, "neighbors")
-    both = edges.select(F.col("from").alias("at"), F.col("to").alias("next")).union(edges.select("to", "from")).distinct()
+    one = work.write(edges.select(F.col("from").alias("at"), F.col("to").alias("next")), "edges")
+    both = work.write(one.union(one.select("next", "at")).distinct(), "links")
     reached = ids.select("id", F.col("id").alias("node_id"), F.lit(0).alias("hop"))
     front = reached
     for hop in range(1, depth + 1):

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import HashingTF, MinHashLSH
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgweave.functions.ids import relation_id
 from kgweave.functions.text import normalize_text, singularize
+from kgweave.operators.chunks import embed
 from kgweave.operators.components import connected_components
 from kgweave.operators.search import bm25_scores
 from kgweave.plans import testgraph as tg
 from kgweave.plans.registry import query
 from kgweave.plans.scratch import Scratch
 
+GROUP_CLUSTERS, CODE_BITS = 64, 12
+ACCEPT = 3.0  # of the registered query
+
 
 def dedupe_exact(names: DataFrame, unicode: bool = True) -> DataFrame:
     """``(alias, members)``: names with the same normal singular."""
@@ -66,45 +70,81 @@ def dedupe_near(aliases: DataFrame, threshold: float = 0.95, exact: bool = True)
     return rows.groupBy("alias").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("members")))).alias("members"))
 
 
-def balanced_clusters(items: DataFrame, size: int = 128, max_iter: int = 20, seed: int = 1, max_clusters: int = 4096) -> DataFrame:
+def _axes(dims: int, bits: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).normal(size=(dims, bits))
+
+
+def _cluster_group(size: int, max_iter: int, seed: int):
+    """Items of a group ``(grp, idx, v)`` -> ``(idx, cluster)``: k-means, then the greedy assignment under the capacity."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("idx").reset_index(drop=True)
+        x, group, n = np.stack(f["v"].to_numpy()).astype(np.float64), int(f["grp"].iat[0]), len(f)
+        k = max(1, n // size)
+        centre = x[np.sort(np.random.default_rng(seed + group).choice(n, k, replace=False))]
+        near = lambda c: (c * c).sum(1)[None, :] - 2 * x @ c.T
+        label = None
+        for _ in range(max_iter):
+            new = near(centre).argmin(1)
+            if label is not None and (new == label).all():
+                break
+            label, count = new, np.bincount(new, minlength=k)
+            sums = np.stack([np.bincount(new, x[:, j], k) for j in range(x.shape[1])], 1)
+            centre = np.where(count[:, None] > 0, sums / np.maximum(1, count)[:, None], centre)
+        order, room, out = np.argsort(near(centre), 1, kind="stable"), np.full(k, size), np.full(n, -1)
+        for turn in range(k):
+            left = np.flatnonzero(out < 0)
+            if not len(left):
+                break
+            want = order[left, turn]
+            by = np.argsort(want, kind="stable")
+            place = np.arange(len(by)) - np.searchsorted(want[by], want[by])
+            got = by[place < room[want[by]]]
+            out[left[got]] = want[got]
+            room -= np.bincount(want[got], minlength=k)
+        return pd.DataFrame({"idx": f["idx"], "cluster": np.where(out < 0, -1 - group, group * (2 * GROUP_CLUSTERS) + out)})
+
+    return run
+
+
+def balanced_clusters(items: DataFrame, size: int = 128, max_iter: int = 20, seed: int = 1) -> DataFrame:
     """``(idx, cluster)`` for ``items(idx, v)``: k-means with n // size clusters, then each item, in the order of its index, goes to its
-    nearest cluster with room; those that find none share cluster -1. Above ``max_clusters`` clusters are made in two levels instead:
-    a coarse k-means first, and this inside each coarse cluster."""
+    nearest cluster with room; those that find none share a cluster of their own, which has a negative name and less than ``size`` items.
+
+    This runs in groups of about ``GROUP_CLUSTERS * size`` items; few items are one group. Groups are runs of an order by random
+    projection codes, so items of a group are alike, and items of one code are dealt over the groups it covers by a hash: no
+    group grows with the data or with a hot code. The table of codes is bounded by ``2 ** CODE_BITS`` rows.
+    """
+    rows = items.select("idx", F.col("v").cast("array<double>").alias("v"))
+
+    @F.pandas_udf("int")
+    def code(v: pd.Series) -> pd.Series:
+        x = np.stack(v.to_numpy())
+        return pd.Series(((x @ _axes(x.shape[1], CODE_BITS, seed) > 0) @ (1 << np.arange(CODE_BITS)[::-1])).astype(np.int32))
+
     work = Scratch(items.sparkSession, "clusters")
-    n = items.count()
-    k = max(1, min(max_clusters, n // size))
-    data = items.select("idx", array_to_vector(F.col("v").cast("array<double>")).alias("features"), F.col("v").cast("array<double>").alias("v"))
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, initMode="random", tol=0.0).fit(data) if n else None
-    if model is None:
-        return items.select("idx", F.lit(0).alias("cluster")).limit(0)
-    centres = F.array(*[F.struct(F.lit(i).alias("c"), F.array(*[F.lit(float(x)) for x in c]).alias("v")) for i, c in enumerate(model.clusterCenters())])
-    square = lambda c: F.aggregate(F.zip_with(F.col("v"), c["v"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    ranked = work.write(data.select("idx", F.transform(F.array_sort(F.transform(centres, lambda c: F.struct(square(c).alias("d"), c["c"].alias("c")))), lambda x: x["c"]).alias("order")), "ranked")
-    placed, left = None, ranked
-    for r in range(len(model.clusterCenters())):
-        want = left.withColumn("cluster", F.col("order")[r])
-        if placed is None:
-            free = want.withColumn("used", F.lit(0))
-        else:
-            used = placed.groupBy("cluster").agg(F.count("*").cast("int").alias("used"))
-            free = want.join(used, "cluster", "left").withColumn("used", F.coalesce("used", F.lit(0)))
-        rank = F.row_number().over(W.partitionBy("cluster").orderBy("idx"))
-        got = work.write(free.withColumn("r", rank).filter(F.col("r") + F.col("used") <= (size if k > 1 else max(size, 1))).select("idx", "cluster"), f"round{r}")
-        placed = got if placed is None else placed.unionByName(got)
-        left = work.write(left.join(got.select("idx"), "idx", "left_anti"), f"left{r}")
-        if left.isEmpty():
-            break
-    return placed.unionByName(left.select("idx", F.lit(-1).alias("cluster")))
+    coded = work.write(rows.withColumn("code", code("v")), "coded")
+    counts = coded.groupBy("code").agg(F.count("*").alias("m"))
+    before = F.coalesce(F.sum("m").over(W.orderBy("code").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = work.write(counts.withColumn("before", before), "counts")
+    place = F.col("before") + F.pmod(F.xxhash64("idx"), F.col("m"))
+    n = counts.agg(F.sum("m")).first()[0] or 0
+    groups = max(1, -(-n // (GROUP_CLUSTERS * size)))
+    grouped = coded.join(F.broadcast(counts), "code").select(F.floor(place * groups / max(1, n)).cast("int").alias("grp"), "idx", "v")
+    kind = items.schema["idx"].dataType.simpleString()
+    return grouped.groupBy("grp").applyInPandas(_cluster_group(size, max_iter, seed), f"idx {kind}, cluster int")
 
 
 def resolve_candidates(items: DataFrame, k: int = 16, w_text: float = 0.5, w_vector: float = 0.5) -> DataFrame:
     """``(idx, other, score, rank)`` for ``items(idx, cluster, name, v)``: the k best others of the same cluster by BM25 and cosine. Clusters
-    are of bounded size (``balanced_clusters``), so pairs inside them are."""
+    are of bounded size (``balanced_clusters``), so pairs inside them are; BM25 too is computed inside clusters, with the
+    frequencies of all items."""
     n = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     unit = items.select("idx", "cluster", F.transform("v", lambda x: x.cast("double") / F.greatest(n, F.lit(1e-12))).alias("u"))
     b = unit.select("cluster", F.col("idx").alias("other"), F.col("u").alias("o"))
     pairs = unit.join(b, "cluster").filter("idx <> other").select("idx", "other", F.aggregate(F.zip_with("u", "o", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x).alias("cos"))
-    bm = bm25_scores(items.select(F.col("idx").alias("query_id"), F.col("name").alias("text")), items.select(F.col("idx").alias("item_id"), F.col("name").alias("text"))).select(F.col("query_id").alias("idx"), F.col("item_id").alias("other"), F.col("score").alias("bm"))
+    asked, texts = (items.select(F.col("idx").alias(c), F.col("name").alias("text"), "cluster") for c in ("query_id", "item_id"))
+    bm = bm25_scores(asked, texts, within="cluster").select(F.col("query_id").alias("idx"), F.col("item_id").alias("other"), F.col("score").alias("bm"))
     fused = pairs.join(bm, ["idx", "other"], "left").withColumn("score", w_text * F.coalesce("bm", F.lit(0.0)) + w_vector * F.col("cos"))
     rank = F.row_number().over(W.partitionBy("idx").orderBy(F.desc("score"), "other"))
     return fused.withColumn("rank", rank).filter(F.col("rank") <= k).select("idx", "other", "score", "rank")
@@ -210,6 +250,11 @@ def r7(spark, d):
 
 @query("R8_resolve_graph")
 def r8(spark, d):
-    e = tg.nodes(spark, d).withColumn("score", F.lit(1.0)).withColumn("surface_forms", F.array("name")).withColumn("chunk_ids", F.array("id"))
+    """Names of the test graph and longer copies of its suppliers' names: exact and near duplicates, then candidates by text and vector."""
+    ent, sup = tg.nodes(spark, d), tg.table(spark, d, "supplier")
+    copy = sup.select(F.concat(F.lit("SUP2:"), "s_suppkey").alias("id"), F.concat(F.upper("s_name"), F.lit(" incorporated")).alias("name"), F.lit("Supplier").alias("label"))
+    e = ent.unionByName(copy).withColumn("score", F.lit(1.0)).withColumn("surface_forms", F.array("name")).withColumn("chunk_ids", F.array("id"))
     r = tg.edges(spark, d).select(F.col("from").alias("head_id"), F.col("to").alias("tail_id"), "type", "score")
-    return resolve_graph(e, r, 0.95)[1]
+    r = r.unionByName(sup.select(F.concat(F.lit("SUP2:"), "s_suppkey").alias("head_id"), F.concat(F.lit("NAT:"), "s_nationkey").alias("tail_id"), F.lit("LOCATED_IN").alias("type"), F.lit(1.0).alias("score")))
+    vectors = embed(e.select("name").distinct(), "name", "v")
+    return resolve_graph(e, r, 0.95, ACCEPT, vectors)[1]

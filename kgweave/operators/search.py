@@ -16,8 +16,11 @@ from kgweave.functions.text import normalize_text
 from kgweave.operators.graph import bfs_expand
 from kgweave.plans import testgraph as tg
 from kgweave.plans.registry import query
+from kgweave.plans.scratch import Scratch
 
 QUERY_BLOCK = 2048
+#: Terms of a query that are scored before its bound is known.
+FIRST_TERMS = 3
 
 
 def top_k(df: DataFrame, k: int, by: str = "query_id", tie: str = "item_id") -> DataFrame:
@@ -50,25 +53,23 @@ def truncate_and_normalize(vector: Column | str, dims: int) -> Column:
     return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double")))
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "cosine", threshold: float | None = None, where: Column | None = None) -> DataFrame:
-    """``(query_id, item_id, score, rank)`` for ``queries(query_id, q)`` over ``vectors(item_id, v)``, all of them.
+def _pack_vectors(batches):
+    """Rows (item_id, v) -> one row per Arrow batch."""
+    for b in batches:
+        if b.num_rows:
+            cells = [pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column("item_id")), pa.ListArray.from_arrays(pa.array([0, len(b.column("v").flatten())], pa.int32()), b.column("v").flatten())]
+            yield pa.RecordBatch.from_arrays([pa.array([hash(b.column("item_id")[0].as_py()) % 1024], pa.int32()), *cells], ["part", "ids", "v"])
 
-    ``cosine`` and ``dot`` score by the product, ``euclid`` by the negative distance. Queries go out in blocks of ``QUERY_BLOCK``
-    rows; every task keeps the ``k`` best of its rows for each query, so the shuffle carries no more than that. ``where`` filters
-    candidates before they are scored.
-    """
-    rows = vectors if where is None else vectors.filter(where)
-    rows = rows.filter("v is not null").select("item_id", "v")
-    n = queries.count()
-    blocks, out = max(1, -(-n // QUERY_BLOCK)), None
-
-    def scorer(ids: list, q: np.ndarray):
-        def run(batches):
-            for b in batches:
-                if not b.num_rows or not len(ids):
-                    continue
-                flat = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                v = flat.reshape(b.num_rows, -1)
+
+def _score_blocks(k: int, metric: str):
+    """Pairs of a block of queries and a block of candidates -> the k best of each query, with all that tie with the k-th."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                ids, asked = b.column("ids")[i].values, b.column("asked")[i].values
+                v = b.column("v")[i].values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+                q = asked.field("q").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(asked), -1)
                 if metric == "euclid":
                     s = -np.sqrt(np.maximum(0, ((q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T)))
                 else:
@@ -76,44 +77,131 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: s
                     if metric == "cosine":
                         s = s / np.maximum(1e-30, np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :])
                 if s.shape[1] > k:
-                    # all that tie with the k-th stay, so the tie rule decides later
-                    kth = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
-                    r, c = np.nonzero(s >= kth)
+                    r, c = np.nonzero(s >= -np.partition(-s, k - 1, axis=1)[:, k - 1 : k])
                 else:
                     r, c = np.divmod(np.arange(s.size), s.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in r]), b.column("item_id").take(pa.array(c)), pa.array(s[r, c])], ["query_id", "item_id", "score"])
+                yield pa.RecordBatch.from_arrays([asked.field("query_id").take(pa.array(r)), ids.take(pa.array(c)), pa.array(s[r, c])], ["query_id", "item_id", "score"])
 
-        return run
+    return run
 
-    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, item_id {vectors.schema['item_id'].dataType.simpleString()}, score double"
-    for i in range(blocks):
-        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).select("query_id", "q").limit(4 * QUERY_BLOCK).collect()
-        found = rows.mapInArrow(scorer([r.query_id for r in part], np.array([r.q for r in part], np.float64)), schema)
-        out = found if out is None else out.unionByName(found)
+
+def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "cosine", threshold: float | None = None, where: Column | None = None) -> DataFrame:
+    """``(query_id, item_id, score, rank)`` for ``queries(query_id, q)`` over ``vectors(item_id, v)``, all of them.
+
+    ``cosine`` and ``dot`` score by the product, ``euclid`` by the negative distance. Queries are gathered in blocks of about
+    ``QUERY_BLOCK`` and every block meets every block of candidates in a task, which keeps the ``k`` best of its rows for each query, so
+    the last shuffle carries no more than that. Spark broadcasts the blocks of queries only while they are below its threshold. A
+    query id that comes again counts once. ``where`` filters candidates before they are scored.
+    """
+    rows = vectors if where is None else vectors.filter(where)
+    t = {c: f.schema[c].dataType.simpleString() for f, c in ((queries, "query_id"), (vectors, "item_id"), (vectors, "v"))}
+    packed = rows.filter("v is not null").select("item_id", "v").mapInArrow(_pack_vectors, f"part int, ids array<{t['item_id']}>, v {t['v']}")
+    n = queries.count()
+    blocks, parts = max(1, -(-n // QUERY_BLOCK)), 32
+    asked = queries.filter("q is not null").groupBy("query_id").agg(F.first("q").alias("q"))
+    asked = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    packed = packed.withColumn("part", F.col("part") % parts).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    out = packed.join(asked, ["block", "part"]).select("ids", "v", "asked").mapInArrow(_score_blocks(k, metric), f"query_id {t['query_id']}, item_id {t['item_id']}, score double")
     out = out if threshold is None else out.filter(F.col("score") >= threshold)
     return top_k(out, k)
 
 
-def inverted_index(docs: DataFrame, key: str = "item_id", text: str = "text", unicode: bool = False) -> tuple[DataFrame, DataFrame]:
-    """``(postings(item_id, term, tf, dl), stats(n, avgdl))``"""
-    words = docs.select(F.col(key).alias("item_id"), F.filter(F.split(normalize_text(text, unicode), " "), lambda w: w != "").alias("w"))
-    postings = words.select("item_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    return postings, words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
+def _count_terms(batches):
+    """Rows (item_id, w) -> (item_id, term, tf, dl): the distinct words of each row, counted."""
+    for b in batches:
+        words = b.column("w")
+        size = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        if not len(coded):
+            continue
+        row, width = np.repeat(np.arange(b.num_rows), size), max(1, len(coded.dictionary))
+        pair, tf = np.unique(row * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        row, term = np.divmod(pair, width)
+        yield pa.RecordBatch.from_arrays([b.column("item_id").take(pa.array(row)), coded.dictionary.take(pa.array(term)), pa.array(tf), pa.array(size[row])], ["item_id", "term", "tf", "dl"])
+
+
+@dataclass
+class TextIndex:
+    """An inverted index: ``postings(item_id, term, tf, dl)`` and ``terms(term, df, idf, most)`` in the shared folder, and two numbers.
+    ``most`` bounds what an occurrence of the term can add to a score, for one occurrence in the query."""
+
+    postings: DataFrame
+    terms: DataFrame
+    n: int
+    avgdl: float
+    k1: float
+    b: float
+    unicode: bool
+
+    def weight(self) -> Column:
+        return F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / F.lit(self.avgdl or 1.0)))
+
+    def asked(self, queries: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+        """The terms of ``queries(query_id, text)`` that the index knows, with how often each is asked."""
+        words = F.filter(F.split(normalize_text("text", self.unicode), " "), lambda w: w != "")
+        rows = queries.select("query_id", *keep, F.explode(words).alias("term")).groupBy("query_id", *keep, "term").agg(F.count("*").alias("qf"))
+        return rows.join(self.terms, "term")
+
+
+def inverted_index(docs: DataFrame, key: str = "item_id", text: str = "text", k1: float = 1.5, b: float = 0.75, floor: float = 0.25, unicode: bool = False, keep: tuple[str, ...] = ()) -> TextIndex:
+    """The index of ``docs``, one row per item. A term's idf below zero counts as ``floor`` times the mean idf. ``keep`` columns stay with the postings."""
+    work = Scratch(docs.sparkSession, "index")
+    words = docs.select(F.col(key).alias("item_id"), F.filter(F.split(normalize_text(text, unicode), " "), lambda w: w != "").alias("w"), *keep)
+    kind = docs.schema[key].dataType.simpleString()
+    postings = work.write(words.select("item_id", "w").mapInArrow(_count_terms, f"item_id {kind}, term string, tf long, dl long"), "postings")
+    n, avgdl = words.agg(F.count("*"), F.avg(F.size("w"))).first()
+    index = TextIndex(postings, postings, n or 0, avgdl or 0.0, k1, b, unicode)
+    df = postings.groupBy("term").agg(F.count("*").alias("df"), F.max(index.weight()).alias("most"))
+    idf = work.write(df.withColumn("idf", F.log(F.lit(float(n or 0)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "frequencies")
+    mean = idf.agg(F.avg("idf")).first()[0] or 0.0
+    idf = idf.withColumn("idf", F.when(F.col("idf") < 0, floor * mean).otherwise(F.col("idf")))
+    index.terms = idf.withColumn("most", F.col("most") * F.greatest("idf", F.lit(0.0)))
+    if keep:
+        index.postings = postings.join(docs.select(F.col(key).alias("item_id"), *keep), "item_id")
+    return index
 
 
-def bm25_scores(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, unicode: bool = False) -> DataFrame:
+def bm25_scores(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, unicode: bool = False, within: str | None = None) -> DataFrame:
     """``(query_id, item_id, score)`` of Okapi BM25 for ``queries(query_id, text)`` over ``docs(item_id, text)``: only documents that share
-    a term. A term's idf below zero counts as ``floor`` times the mean idf. A term repeated in a query counts each time."""
-    postings, stats = inverted_index(docs, unicode=unicode)
-    n, avgdl = stats.first()
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.select("term", (F.log(F.lit(float(n or 0)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    mean = idf.agg(F.avg("idf")).first()[0] or 0.0
-    idf = idf.withColumn("idf", F.when(F.col("idf") < 0, floor * mean).otherwise(F.col("idf")))
-    terms = queries.select("query_id", F.explode(F.filter(F.split(normalize_text("text", unicode), " "), lambda w: w != "")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    hits = terms.join(idf, "term").join(postings, "term")
-    one = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0)))
-    return hits.groupBy("query_id", "item_id").agg(F.sum(one).alias("score"))
+    a term, and with ``within`` only those of the query's own value of that column. A term's idf below zero counts as ``floor`` times
+    the mean idf. A term repeated in a query counts each time. All pairs are scored: for the best of each query see ``bm25_top``."""
+    keep = (within,) if within else ()
+    index = inverted_index(docs, k1=k1, b=b, floor=floor, unicode=unicode, keep=keep)
+    hits = index.asked(queries, keep).join(index.postings, ["term", *keep])
+    return hits.groupBy("query_id", "item_id").agg(F.sum(F.col("qf") * F.col("idf") * index.weight()).alias("score"))
+
+
+def bm25_top(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, unicode: bool = False, digits: int = 9) -> DataFrame:
+    """``top_k`` of ``bm25_scores`` rounded to ``digits``, without scoring what cannot be among the ``k`` best.
+
+    A query's terms are ranked by the most they can add. Its few strongest are scored first, which gives a lower bound of its k-th score.
+    The weak terms whose bounds sum to less than that cannot lift a document by themselves, so candidates are read from the
+    postings of the other terms only; then each candidate's whole score is taken from its own postings.
+    """
+    work = Scratch(queries.sparkSession, "bm25")
+    index = inverted_index(docs, k1=k1, b=b, floor=floor, unicode=unicode)
+    bound = F.col("qf") * F.col("most")
+    strong = W.partitionBy("query_id").orderBy(F.desc("bound"), "term")
+    asked = index.asked(queries).withColumn("bound", bound).withColumn("place", F.row_number().over(strong))
+    # what a term and all weaker ones can add together
+    weak = strong.rowsBetween(W.currentRow, W.unboundedFollowing)
+    asked = work.write(asked.withColumn("rest", F.sum("bound").over(weak)), "asked")
+    score = F.sum(F.col("qf") * F.col("idf") * index.weight())
+    first = asked.filter(F.col("place") <= FIRST_TERMS).join(index.postings, "term").filter("idf >= 0").groupBy("query_id", "item_id").agg(score.alias("score"))
+    kth = top_k(first, k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("kth"))
+    kth = work.write(kth, "kth")
+    needed = asked.join(kth, "query_id", "left").filter(F.col("kth").isNull() | (F.col("rest") >= F.col("kth") - 10.0**-digits))
+    found = needed.select("query_id", "term", "qf", "idf", "bound", "rest", "kth").join(index.postings, "term")
+    # a candidate's score on the terms read, and the most that the terms not read can add
+    part = found.groupBy("query_id", "item_id").agg(score.alias("part"), F.first("kth").alias("kth"))
+    left = asked.groupBy("query_id").agg(F.max("rest").alias("all")).join(needed.groupBy("query_id").agg(F.sum("bound").alias("read")), "query_id").select("query_id", (F.col("all") - F.col("read")).alias("unread"))
+    part = part.join(left, "query_id").filter(F.col("kth").isNull() | (F.col("part") + F.col("unread") >= F.col("kth") - 10.0**-digits))
+    part = work.write(part.select("query_id", "item_id", "part"), "candidates")
+    other = asked.join(needed.select("query_id", "term"), ["query_id", "term"], "left_anti").select("query_id", "term", "qf", "idf")
+    mine = part.join(index.postings, "item_id").join(other, ["query_id", "term"]).groupBy("query_id", "item_id").agg(score.alias("more"))
+    whole = part.join(mine, ["query_id", "item_id"], "left").select("query_id", "item_id", F.round(F.col("part") + F.coalesce("more", F.lit(0.0)), digits).alias("score"))
+    return top_k(whole, k)
 
 
 def hybrid_search(dense: DataFrame, sparse: DataFrame, k: int = 10, alpha: float = 0.5, threshold: float | None = None) -> DataFrame:
@@ -199,7 +287,7 @@ def retrieve(queries: DataFrame, items: DataFrame, kind: str, k: int, threshold:
     own = items.filter(F.col("kind") == kind)
     own = own if where is None else own.filter(where)
     dense = vector_search(queries.select("query_id", "q"), own.select("item_id", "v"), k * 4)
-    sparse = top_k(bm25_scores(queries.select("query_id", "text"), own.select("item_id", "text")), k * 4)
+    sparse = bm25_top(queries.select("query_id", "text"), own.select("item_id", "text"), k * 4)
     return hybrid_search(dense, sparse, k, threshold=threshold).select("query_id", F.lit(kind).alias("kind"), "item_id", F.lit(kind).alias("list"), "rank", "score", F.lit("hybrid").alias("matched_on"))
 
 
@@ -306,19 +394,19 @@ def _emb(spark, d) -> DataFrame:
     return _t(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v"), "label")
 
 
-def _emb_queries(spark, d, every: int = 50) -> DataFrame:
+def _emb_queries(spark, d, every: int = 20) -> DataFrame:
     return _emb(spark, d).filter(F.col("item_id") % every == 0).select(F.col("item_id").alias("query_id"), F.col("v").alias("q"))
 
 
 _COS = "list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[])"
 
 
-@query("V1_vector_search", f"SELECT q.vec_id AS query_id, c.vec_id AS item_id, round({_COS}, 6) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, c.vec_id) <= 10")
+@query("V1_vector_search", f"SELECT q.vec_id AS query_id, c.vec_id AS item_id, round({_COS}, 6) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, c.vec_id) <= 10")
 def v1(spark, d):
     return vector_search(_emb_queries(spark, d), _emb(spark, d)).select("query_id", "item_id", F.round("score", 6).alias("score"))
 
 
-@query("P9_filtered_search", f"SELECT q.vec_id AS query_id, c.vec_id AS item_id, round({_COS}, 6) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0 AND c.label IN (1, 3, 5) AND {_COS} >= 0.1 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, c.vec_id) <= 10")
+@query("P9_filtered_search", f"SELECT q.vec_id AS query_id, c.vec_id AS item_id, round({_COS}, 6) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 AND c.label IN (1, 3, 5) AND {_COS} >= 0.1 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, c.vec_id) <= 10")
 def p9(spark, d):
     return vector_search(_emb_queries(spark, d), _emb(spark, d), threshold=0.1, where=search_filters(labels=[1, 3, 5])).select("query_id", "item_id", F.round("score", 6).alias("score"))
 
@@ -335,9 +423,14 @@ def _bm(spark, d):
     return bm25_scores(q, _t(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text")).withColumn("score", F.round("score", 9))
 
 
+def _bm_top(spark, d, k: int):
+    q = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return bm25_top(q, _t(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text"), k)
+
+
 @query("V2_bm25", f"WITH {_BM} SELECT query_id, item_id, rank::INTEGER AS rank, round(score, 6) AS score FROM top WHERE rank <= 10")
 def v2(spark, d):
-    return top_k(_bm(spark, d), 10).withColumn("score", F.round("score", 6))
+    return _bm_top(spark, d, 10).withColumn("score", F.round("score", 6))
 
 
 @query("R4_bm25_scores", f"WITH {_BM} SELECT query_id, count(*) AS n, round(sum(score), 4) AS total, round(max(score), 6) AS best FROM bm GROUP BY 1")
@@ -374,7 +467,7 @@ def v5(spark, d):
 @query("V6_pair_rerank", f"WITH {_BM}, c AS (SELECT query_id, item_id FROM top WHERE rank <= 20), qs AS (SELECT item_id AS query_id, list_distinct(list_filter(string_split(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), ' '), lambda x: x <> '')) AS q FROM benchmark), z AS (SELECT query_id, c.item_id, round(1 / (1 + exp(-2.0 * len(list_intersect(q, w)) / len(q))), 9) AS score FROM c JOIN qs USING (query_id) JOIN w ON w.doc_id = c.item_id) SELECT query_id, item_id, round(score, 6) AS score FROM z QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) <= 5")
 def v6(spark, d):
     docs, q = _t(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text"), _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    pairs = top_k(_bm(spark, d), 20).select("query_id", "item_id").join(docs, "item_id").join(q, "query_id")
+    pairs = _bm_top(spark, d, 20).select("query_id", "item_id").join(docs, "item_id").join(q, "query_id")
     scored = pair_rerank(pairs, 10**9).withColumn("score", F.round("score", 9)).drop("rank")
     return top_k(scored, 5).select("query_id", "item_id", F.round("score", 6).alias("score"))
 

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgweave.functions.ids import content_key
-from kgweave.operators.chunks import chunk_documents, embed, embed_missing, lexicon, tag_entities
+from kgweave.functions.ids import content_key, duck_uuid5, identity_id, relation_id
+from kgweave.operators.chunks import CHUNKS_SQL, LEXICON_SQL, SCHEMA_SQL, TAGS_SQL, allowed_relations, embed, embed_missing, fixed_chunks, lexicon, propose_relations, tag_entities
 from kgweave.operators.graph_tables import edges_to_relations, filter_valid_edges, nodes_to_entities
 from kgweave.operators.merge import merge_edges, merge_nodes
 from kgweave.plans import testgraph as tg
@@ -66,70 +66,129 @@ def ingest_graph(nodes: DataFrame, edges: DataFrame, dataset: str, entities: Dat
     return merged, merge_edges(relations, r, merged), fresh
 
 
-MENTIONS = "chunk_id string, doc_id string, name string, label string, score double, first long"
+#: Tables that a batch adds rows to; ``documents`` is written last and makes the batch count.
+SCHEMAS = {
+    "chunks": "chunk_id string, doc_id string, text string",
+    "mentions": "chunk_id string, doc_id string, name string, label string, score double, first long",
+    "facts": "chunk_id string, doc_id string, head_name string, head_label string, type string, tail_name string, tail_label string, score double",
+    "vectors": "key string, vector array<float>",
+    "documents": "doc_id string",
+}
 
 
 class Tables:
-    """Versioned tables below a folder: a new version is written whole, then named by a pointer row; readers see the last named one."""
+    """Append-only tables below a folder, one subfolder for each batch. A batch is written whole, over what a lost run left of it, and
+    nothing else is rewritten; readers see the batches whose ``documents`` are complete."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def read(self, name: str, schema: str) -> DataFrame:
-        v = self.version(name)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/v{v}") if v is not None else self.spark.createDataFrame([], schema)
-
-    def version(self, name: str) -> int | None:
+    def batches(self) -> list[int]:
         jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/documents")
         fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(root):
-            return None
-        done = [int(s.getPath().getName()[1:]) for s in fs.listStatus(root) if s.getPath().getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return max(done) if done else None
-
-    def write(self, name: str, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}/v{version}")
-
-
-def ingest_batch(docs: DataFrame, tables: Tables, names: DataFrame, version: int) -> None:
-    """Chunk, tag and merge one batch of ``(doc_id, text)``; running it again changes nothing."""
-    chunks = chunk_documents(docs, 1000, 100)
+            return []
+        found = [s.getPath() for s in fs.listStatus(root)]
+        return sorted(int(p.getName().split("=")[1]) for p in found if p.getName().startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+    def read(self, name: str) -> DataFrame:
+        """All rows of the complete batches, with ``batch``."""
+        schema, done = f"{SCHEMAS[name]}, batch int", self.batches()
+        if not done:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(*[f"{self.path}/{name}/batch={b}" for b in done])
+
+    def current(self, name: str) -> DataFrame:
+        """Rows of each document's last batch: a document that comes again replaces what it said before."""
+        last = self.read("documents").groupBy("doc_id").agg(F.max("batch").alias("batch"))
+        return self.read(name).join(last, ["doc_id", "batch"], "left_semi").drop("batch")
+
+    def write(self, name: str, df: DataFrame, batch: int) -> DataFrame:
+        path = f"{self.path}/{name}/batch={batch}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+MODEL = "hashed-64"
+
+
+def ingest_batch(docs: DataFrame, tables: Tables, names: DataFrame, allowed: DataFrame, batch: int, chunker: Callable[[DataFrame], DataFrame] = fixed_chunks) -> None:
+    """One batch of ``(doc_id, text)``: chunks, tagged entities, relations between them, and vectors of chunk texts and names that no earlier
+    batch has. Equal texts are tagged and embedded once. A batch that is complete is skipped, one that was lost half-way is
+    written anew, so running it again changes nothing."""
+    if batch in tables.batches():
+        return
+    cache = tables.read("vectors").select("key", "vector")
+    chunks = tables.write("chunks", chunker(docs), batch)
     found = extract_distinct(chunks.select("chunk_id", "text"), lambda c: tag_entities(c, names)).join(chunks.select("chunk_id", "doc_id"), "chunk_id")
-    new = found.select("chunk_id", "doc_id", "name", "label", "score", F.col("first").cast("long").alias("first"))
-    old = tables.read("mentions", MENTIONS)
-    # a document that comes again replaces its earlier mentions
-    tables.write("mentions", old.join(docs.select(F.col("doc_id").cast("string").alias("doc_id")), "doc_id", "left_anti").select(*new.columns).unionByName(new), version)
-
-
-def ingest_stream(spark: SparkSession, source: str, schema, target: str, names: DataFrame, files_per_batch: int = 1) -> DataFrame:
+    mentions = tables.write("mentions", found.select("chunk_id", "doc_id", "name", "label", "score", F.col("first").cast("long").alias("first")), batch)
+    facts = propose_relations(mentions.select("chunk_id", "name", "label", "first"), allowed)
+    tables.write("facts", facts.join(chunks.select("chunk_id", "doc_id"), "chunk_id").select("chunk_id", "doc_id", "head_name", "head_label", "type", "tail_name", "tail_label", "score"), batch)
+    texts = chunks.select("text").union(mentions.select(F.col("name").alias("text"))).distinct()
+    tables.write("vectors", embed_missing(texts, cache, MODEL)[1], batch)
+    tables.write("documents", docs.select(F.col("doc_id").cast("string").alias("doc_id")).distinct(), batch)
+
+
+def ingested_graph(tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """What all batches add up to: entities ``(id, name, label, score, n_chunks, vector)``, one per name and label, and relations ``(id, head_id, tail_id, type, score,
+    n_chunks)``. The chunks of each stay in ``mentions`` and ``facts``; no row gathers them, so a name in every chunk is one small row."""
+    key = content_key("name", F.lit(MODEL))
+    e = tables.current("mentions").groupBy("name", "label").agg(F.max("score").alias("score"), F.count_distinct("chunk_id").alias("n_chunks")).withColumn("key", key)
+    vectors = tables.read("vectors").groupBy("key").agg(F.first("vector").alias("vector"))
+    entities = e.join(vectors, "key", "left").select(identity_id("Entity", "name", "label").alias("id"), "name", "label", "score", "n_chunks", "vector")
+    ends = [identity_id("Entity", f"{x}_name", f"{x}_label").alias(f"{x}_id") for x in ("head", "tail")]
+    r = tables.current("facts").select("chunk_id", *ends, "type", "score").groupBy("head_id", "tail_id", "type").agg(F.max("score").alias("score"), F.count_distinct("chunk_id").alias("n_chunks"))
+    return entities, r.select(relation_id("head_id", "type", "tail_id").alias("id"), "head_id", "tail_id", "type", "score", "n_chunks")
+
+
+def ingest_stream(spark: SparkSession, source: str, schema, target: str, names: DataFrame, allowed: DataFrame, files_per_batch: int = 1) -> Tables:
     """Ingest every file of the folder ``source`` not yet ingested, then stop; progress is kept below ``target``, so a lost run goes on where it was."""
     tables = Tables(spark, f"{target}/tables")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
 
     def one(batch: DataFrame, number: int) -> None:
-        if (tables.version("mentions") or -1) < number:
-            ingest_batch(batch, tables, names, number)
+        ingest_batch(batch, tables, names, allowed, number)
 
     stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{target}/progress").trigger(availableNow=True).start().awaitTermination()
-    return tables.read("mentions", MENTIONS)
+    return tables
 
 
-@query("I1_ingest_stream")
-def i1(spark, d):
+def _stream(spark, d) -> Tables:
     """The documents in four files, streamed."""
     work = Scratch(spark, "ingest")
     docs = tg.table(spark, d, "documents").select("doc_id", "text")
     docs.repartition(4, "doc_id").write.parquet(f"{work.path}/incoming")
-    return ingest_stream(spark, f"{work.path}/incoming", docs.schema, work.path, lexicon(spark))
+    return ingest_stream(spark, f"{work.path}/incoming", docs.schema, work.path, lexicon(spark), allowed_relations(spark))
+
+
+_SEEN = f"WITH {LEXICON_SQL}, {CHUNKS_SQL}, {TAGS_SQL.replace('{src}', 'ch')}, {SCHEMA_SQL}"
+_ENTITY_SQL = _SEEN + " SELECT t.name, t.label, max(lex.score)::DOUBLE AS score, count(DISTINCT chunk_id) AS n_chunks, 64 AS dims FROM t JOIN lex USING (name, label) GROUP BY 1, 2"
+_FACT_SQL = _SEEN + " SELECT a.name AS head, s.type, b.name AS tail, round(max(1.0::DOUBLE / (b.f - a.f)), 9) AS score, count(DISTINCT a.chunk_id) AS n_chunks FROM t a JOIN t b ON a.chunk_id = b.chunk_id AND b.f > a.f AND b.f - a.f <= 20 JOIN s ON s.hl = a.label AND s.tl = b.label GROUP BY 1, 2, 3"
+
 
+def _entities(tables: Tables) -> DataFrame:
+    return ingested_graph(tables)[0].select("name", "label", "score", "n_chunks", F.size("vector").alias("dims"))
 
-@query("I1_ingest_batch")
+
+@query("I1_ingest_stream", _ENTITY_SQL)
+def i1(spark, d):
+    return _entities(_stream(spark, d))
+
+
+@query("I1_ingest_relations", _FACT_SQL)
+def i1_relations(spark, d):
+    entities, relations = ingested_graph(_stream(spark, d))
+    end = lambda x: entities.select(F.col("id").alias(f"{x}_id"), F.col("name").alias(x))
+    return relations.join(end("head"), "head_id").join(end("tail"), "tail_id").select("head", "type", "tail", F.round("score", 9).alias("score"), "n_chunks")
+
+
+@query("I1_ingest_batch", _ENTITY_SQL)
 def i1_batch(spark, d):
-    work = Scratch(spark, "ingest")
-    tables = Tables(spark, work.path)
-    ingest_batch(tg.table(spark, d, "documents").select("doc_id", "text"), tables, lexicon(spark), 0)
-    return tables.read("mentions", MENTIONS)
+    tables = Tables(spark, Scratch(spark, "ingest").path)
+    for _ in range(2):  # the second run finds the batch done
+        ingest_batch(tg.table(spark, d, "documents").select("doc_id", "text"), tables, lexicon(spark), allowed_relations(spark), 0)
+    return _entities(tables)
 
 
 @query("I2_skip_done", "SELECT doc_id, sha256(doc_id||chr(0)||'x1') AS content_id FROM documents WHERE doc_id % 3 <> 0")
@@ -157,7 +216,10 @@ def i5(spark, d):
     return tg.table(spark, d, "orders").select("o_orderkey", answer_key(F.col("o_orderstatus"), F.lit("p"), F.col("o_orderpriority"), graphs).alias("key"))
 
 
-@query("I6_ingest_graph")
+_NODE_ID = duck_uuid5("'Entity:curie:'||trim(id)")
+
+
+@query("I6_ingest_graph", f"WITH {tg.SQL} SELECT {_NODE_ID} AS id, name, 64 AS dims FROM nodes")
 def i6(spark, d):
     nodes, edges = tg.nodes(spark, d), tg.edges(spark, d)
     e = nodes_to_entities(nodes.limit(0), "tg").withColumn("vector", F.lit(None).cast("array<float>"))

@@ -3,6 +3,7 @@ import random
 import uuid
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from kgweave.functions.ids import identity_id, uuid5
@@ -203,16 +204,106 @@ def test_benchmarks(spark):
 
 
 def test_stream_is_batch_and_repeats_nothing(spark, tmp_path):
-    names = ch.lexicon(spark)
+    names, allowed = ch.lexicon(spark), ch.allowed_relations(spark)
     docs = spark.createDataFrame([(i, f"the end of the {i} and the rest that") for i in range(12)], "doc_id long, text string")
     docs.filter("doc_id < 8").repartition(2).write.parquet(f"{tmp_path}/in")
-    key = lambda df: sorted(tuple(r) for r in df.collect())
-    ing.ingest_stream(spark, f"{tmp_path}/in", docs.schema, f"file://{tmp_path}/out", names)
+    rows = lambda df: sorted(map(str, df.collect()))
+
+    def key(tables):
+        entities, relations = ing.ingested_graph(tables)
+        return [rows(entities), rows(relations), rows(tables.current("mentions")), rows(tables.current("facts"))]
+
+    stream = lambda: ing.ingest_stream(spark, f"{tmp_path}/in", docs.schema, f"file://{tmp_path}/out", names, allowed)
+    stream()
     docs.filter("doc_id >= 8").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    first = key(ing.ingest_stream(spark, f"{tmp_path}/in", docs.schema, f"file://{tmp_path}/out", names))
-    assert first == key(ing.ingest_stream(spark, f"{tmp_path}/in", docs.schema, f"file://{tmp_path}/out", names))
+    first = key(stream())
+    assert first == key(stream()) and len(first[1]) and len(first[2]) > 24
     tables = ing.Tables(spark, f"file://{tmp_path}/batch")
-    ing.ingest_batch(docs, tables, names, 0)
-    assert first == key(tables.read("mentions", ing.MENTIONS).select("chunk_id", "doc_id", "name", "label", "score", "first"))
-    ing.ingest_batch(docs, tables, names, 1)
-    assert first == key(tables.read("mentions", ing.MENTIONS).select("chunk_id", "doc_id", "name", "label", "score", "first"))
+    ing.ingest_batch(docs, tables, names, allowed, 0)
+    assert first == key(tables)
+    ing.ingest_batch(docs, tables, names, allowed, 0)
+    assert first == key(tables) and tables.batches() == [0]
+    # the same documents again, in a later batch
+    ing.ingest_batch(docs, tables, names, allowed, 1)
+    assert first == key(tables) and tables.batches() == [0, 1]
+
+
+def test_a_lost_batch_is_written_anew(spark, tmp_path):
+    names, allowed = ch.lexicon(spark), ch.allowed_relations(spark)
+    docs = spark.createDataFrame([(i, f"the end of the {i} and the rest") for i in range(6)], "doc_id long, text string")
+    tables = ing.Tables(spark, f"file://{tmp_path}/lost")
+
+    class Stop(Exception):
+        pass
+
+    def write(name, df, batch):
+        if name == "vectors":
+            raise Stop
+        return ing.Tables.write(tables, name, df, batch)
+
+    tables.write = write
+    with pytest.raises(Stop):
+        ing.ingest_batch(docs, tables, names, allowed, 0)
+    assert tables.batches() == [] and ing.ingested_graph(tables)[0].count() == 0
+    del tables.write
+    ing.ingest_batch(docs, tables, names, allowed, 0)
+    whole = ing.Tables(spark, f"file://{tmp_path}/whole")
+    ing.ingest_batch(docs, whole, names, allowed, 0)
+    assert sorted(map(str, ing.ingested_graph(tables)[0].collect())) == sorted(map(str, ing.ingested_graph(whole)[0].collect()))
+
+
+def test_clusters_in_many_groups(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    monkeypatch.setattr(rs, "GROUP_CLUSTERS", 3)
+    v = rng.normal(size=(500, 8))
+    v[:200] = v[0]
+    items = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "idx long, v array<double>")
+    got = rs.balanced_clusters(items, 10).collect()
+    assert sorted(r.idx for r in got) == list(range(500))
+    size = {}
+    for r in got:
+        size[r.cluster] = size.get(r.cluster, 0) + 1
+    assert max(size.values()) <= 10 and all(n < 10 for c, n in size.items() if c < 0) and len(size) >= 50
+    assert sorted(map(tuple, got)) == sorted(map(tuple, rs.balanced_clusters(items.repartition(5), 10).collect()))
+    assert rs.balanced_clusters(items.limit(0), 10).count() == 0
+
+
+def test_bm25_top_is_the_top_of_all_scores(spark):
+    rng = np.random.default_rng(1)
+    text = lambda n: " ".join(f"w{min(60, int(x))}" for x in rng.pareto(0.7, n) * 3)
+    docs = spark.createDataFrame([(i, text(int(rng.integers(0, 60)))) for i in range(150)], "item_id long, text string")
+    asked = spark.createDataFrame([(i, text(int(rng.integers(1, 12)))) for i in range(25)] + [(99, "nothing known"), (98, "")], "query_id long, text string")
+    every = se.top_k(se.bm25_scores(asked, docs).withColumn("score", F.round("score", 9)), 5)
+    assert sorted(map(tuple, se.bm25_top(asked, docs, 5).collect())) == sorted(map(tuple, every.select("query_id", "item_id", "score", "rank").collect()))
+
+
+def test_vector_search_of_repeated_queries(spark, monkeypatch):
+    monkeypatch.setattr(se, "QUERY_BLOCK", 4)
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(60, 5))
+    items = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "item_id long, v array<double>")
+    asked = spark.createDataFrame([(i % 20, v[i % 20].tolist()) for i in range(200)], "query_id long, q array<double>")
+    got = {(r.query_id, r.rank): r.item_id for r in se.vector_search(asked, items, 3, "euclid").collect()}
+    for i in range(20):
+        assert [got[i, r] for r in (1, 2, 3)] == np.argsort(((v - v[i]) ** 2).sum(1))[:3].tolist()
+    assert len(got) == 60
+
+
+@pytest.mark.parametrize("name", sorted(se.RECIPES))
+def test_recipes(spark, name):
+    words = ["liver", "heart", "kidney", "drug", "dose", "trial"]
+    rng = np.random.default_rng(3)
+    rows = [(kind, f"{kind}{i}", " ".join(rng.choice(words, 4)) + f" t{i}") for kind in se.ALL for i in range(12)]
+    items = ch.embed(spark.createDataFrame(rows, "kind string, item_id string, text string"), "text", "v")
+    asked = ch.embed(spark.createDataFrame([(1, rows[3][2]), (2, "liver dose")], "query_id long, text string"), "text", "q")
+    nodes = spark.createDataFrame([(f"entity{i}", f"n{i}", "L") for i in range(12)], "id string, name string, label string")
+    edges = spark.createDataFrame([(f"entity{i}", f"entity{(i + 1) % 12}", "T") for i in range(12)], "`from` string, `to` string, type string")
+    recipe = se.RECIPES[name]
+    got = se.search(asked, items, recipe, (nodes, edges)).collect()
+    by = {q: sorted((r for r in got if r.query_id == q), key=lambda r: r.rank) for q in (1, 2)}
+    for q, hits in by.items():
+        assert [r.rank for r in hits] == list(range(1, len(hits) + 1)) and 0 < len(hits) <= recipe.limit
+        assert [r.score for r in hits] == sorted((r.score for r in hits), reverse=True)
+        assert {r.kind for r in hits} <= set(recipe.methods)
+    if "entity" in recipe.methods:
+        assert "entity3" in [r.item_id for r in by[1]]
