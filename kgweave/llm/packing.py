@@ -1,12 +1,13 @@
 """Lexical retrieval packing: each window is a seed document and its nearest unused neighbours by BM25.
 
 Terms are token ids, so the corpus-wide document frequencies are one bounded vector (the vocabulary), counted
-over all documents. Documents are sorted by a MinHash of their token pairs, which puts like texts side by side,
-and cut by range into shards of about ``SHARD_TOKENS`` tokens (ties on the hash are cut by id, so a group of
-copies spreads over shards). A task holds one shard with its inverted index. There whole windows of long
-documents are cut first; then the first unused rest seeds a window, the index ranks the unused others by BM25
-of the seed's terms, and they fill the window greedily; the one that doesn't fit is cut, and what is left of it
-seeds the next window. The last window of a shard is cut into powers of two, so nothing is padded.
+over all documents. A MinHash of its token pairs deals each document, so that like texts share a shard of about
+``SHARD_TOKENS`` tokens; a signature that alone would fill a shard (a large group of copies) is dealt over as many
+as it needs by a hash of id and tokens. Shards depend on the rows alone, not on how they are partitioned. A task
+takes several shards, one after the other, each with its inverted index. There whole windows of long documents
+are cut first; then the first unused rest seeds a window, the index ranks the unused others by BM25 of the
+seed's terms, and they fill the window greedily; the one that doesn't fit is cut, and what is left of it seeds
+the next window. The last window of a shard is cut into powers of two, so nothing is padded.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +23,7 @@ from kgweave.llm.tokens import WORD_BPE, WordEncoder, slices
 from kgweave.plans.scratch import Scratch
 
 WINDOW, EOS, SHARD_TOKENS = 4096, 2, 1 << 20
+ROW_COST, TASK_SHARDS = 32, 16  # what a row counts for beside its tokens; shards of a task at most
 K1, B = 1.5, 0.75
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -40,7 +41,9 @@ def _encode(tokenizer: str, eos: int):
             all_ids = np.full(end[-1], eos, enc.dtype)
             all_ids[np.delete(np.arange(end[-1]), end - 1)] = ids
             start = end - n - 1
-            pairs = key[all_ids] * np.uint64(3) + np.r_[key[all_ids[1:]], np.uint64(0)]
+            after = np.r_[key[all_ids[1:]], np.uint64(0)]
+            after[end - 1] = 0  # a text's last token has no other after it
+            pairs = key[all_ids] * np.uint64(3) + after
             pairs = (pairs ^ (pairs >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             sig = (np.minimum.reduceat(pairs, start) >> np.uint64(1)).astype(np.int64)
             seen, df = np.zeros((64, enc.size), bool), np.zeros(enc.size, np.int64)
@@ -157,51 +160,83 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
     return out
 
 
+def _shard(rows: list[tuple], number: int, idf: np.ndarray, mean: float, window: int, wide: bool) -> list[tuple]:
+    rows.sort(key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2]))
+    docs = [np.frombuffer(r[2], "<u4" if wide else "<u2") for r in rows]
+    out = []
+    for s, row in enumerate(pack_shard(docs, idf, mean, window)):
+        offset = 0
+        for j, start, k in row:
+            crc = zlib.crc32(docs[j][start : start + k].astype("<u4").tobytes())
+            out.append((rows[j][1], start, k, crc, len(docs[j]), number << 32 | s, offset))
+            offset += k
+    return out
+
+
 def _pack(idf: np.ndarray, mean: float, window: int, wide: bool):
-    def run(batches):
-        shard = TaskContext.get().partitionId()
-        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("sig", "doc_id", "ids")))]
-        if not rows:
-            return
-        rows.sort(key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2]))
-        docs = [np.frombuffer(r[2], "<u4" if wide else "<u2") for r in rows]
-        out = []
-        for s, row in enumerate(pack_shard(docs, idf, mean, window)):
-            offset = 0
-            for j, start, k in row:
-                crc = zlib.crc32(docs[j][start : start + k].astype("<u4").tobytes())
-                out.append((rows[j][1], start, k, crc, len(docs[j]), shard << 32 | s, offset))
-                offset += k
+    """Documents sorted by shard -> the pieces of each shard."""
+
+    def pieces(shard, rows):
+        out = _shard(rows, shard, idf, mean, window, wide)
         for i in range(0, len(out), 50_000):
             cols = list(zip(*out[i : i + 50_000]))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], [c.split()[0] for c in PIECE.split(", ")])
 
+    def run(batches):
+        shard, rows = None, []
+        for b in batches:
+            for s, *row in zip(*(b.column(c).to_pylist() for c in ("shard", "sig", "doc_id", "ids"))):
+                if s != shard and rows:
+                    yield from pieces(shard, rows)
+                    rows = []
+                shard = s
+                rows.append(row)
+        if rows:
+            yield from pieces(shard, rows)
+
     return run
 
 
-def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = WORD_BPE, eos: int = EOS, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def deal(coded: DataFrame, shards: int, cost: int, work: Scratch) -> DataFrame:
+    """``coded`` with ``shard``: a hash of the signature; a signature that costs more than half a shard is spread over several."""
+    weight = F.col("n") + ROW_COST
+    # the large signatures are fewer than two a shard; as a written table, Spark knows their size and broadcasts them only below its threshold
+    large = coded.groupBy("sig").agg(F.sum(weight).alias("w")).filter(F.col("w") > cost / 2).select("sig", F.ceil(F.col("w") * 2 / cost).alias("m"))
+    large = work.write(large.coalesce(8), "large")
+    # equal rows without an id are told apart by their place alone
+    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("doc_id", "ids"))
+    salt = F.coalesce(F.pmod("_own", "m"), F.lit(0))
+    return coded.withColumn("_own", own).join(large, "sig", "left").select(F.pmod(F.xxhash64("sig", salt), F.lit(shards)).alias("shard"), "sig", "doc_id", "ids")
+
+
+def pack_documents(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = WORD_BPE, eos: int = EOS, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS
+) -> DataFrame:
     """Pieces of all documents, one row each: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
     A document is its tokens and then ``eos`` (a null text is empty: ``eos`` alone). Every row of ``docs`` is packed
-    once, equal rows too; null ids are kept. Each id is in exactly one piece; a sequence's pieces lie side by
-    side from offset 0. Sequences hold ``window`` ids, or a power of two below that. Other columns are ignored.
+    once, equal rows too; null ids are kept. Each id is in exactly one piece; a sequence's pieces lie side
+    by side from offset 0. Sequences hold ``window`` ids, or a power of two below that. Other columns are ignored.
+    Runs agree, but for large groups of rows with equal text and no id, which no rule could tell apart.
     """
-    work = Scratch(docs.sparkSession, "packing")
+    spark = docs.sparkSession
+    work = Scratch(spark, "packing")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("_text"))
     coded = work.write(rows.mapInArrow(_encode(tokenizer, eos), "doc_id long, n long, sig long, ids binary"), "tokens", compression="zstd")
-    n, total = coded.filter("n >= 0").agg(F.count("*"), F.sum("n")).first()
+    real = coded.filter("n >= 0")
+    n, total = real.agg(F.count("*"), F.sum("n")).first()
     if not n:
-        return coded.sparkSession.createDataFrame([], PIECE)
+        return spark.createDataFrame([], PIECE)
     vocabulary = WordEncoder.of(tokenizer)
     # one row per id of the vocabulary
     df = np.zeros(vocabulary.size)
     for r in coded.filter("n < 0").select("ids").mapInArrow(_frequencies, "id long, df long").groupBy("id").agg(F.sum("df").alias("df")).collect():
         df[r.id] = r.df
     idf = np.log((n - df + 0.5) / (df + 0.5))
-    shards = max(1, -(-total // shard_tokens))
-    wide = vocabulary.dtype == np.uint32
-    dealt = coded.filter("n >= 0").select("sig", "doc_id", "ids").repartitionByRange(shards, "sig", "doc_id")
-    return dealt.mapInArrow(_pack(idf, total / n, window, wide), PIECE)
+    shards = -(-(total + n * ROW_COST) // shard_tokens)
+    tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // TASK_SHARDS)))
+    dealt = deal(real, shards, shard_tokens, work).repartition(tasks, "shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(_pack(idf, total / n, window, vocabulary.dtype == np.uint32), PIECE)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,6 +50,11 @@ def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return flat[np.repeat(start - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
 
 
+def strings(column: pa.Array) -> list[str | None]:
+    """A string array as a list; far faster than one scalar at a time."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordEncoder:
     def __init__(self, name: str):
         from tokenizers import Tokenizer
@@ -114,8 +119,8 @@ class WordEncoder:
         simple = pc.match_substring_regex(distinct, SIMPLE)
         if self.mark:
             simple = pc.and_(simple, pc.invert(pc.match_substring(distinct, self.mark)))
-        whole = distinct.filter(pc.invert(simple)).to_pylist()
-        names = pc.if_else(simple, distinct, "\0").to_pylist() if whole else distinct.to_pylist()
+        whole = strings(distinct.filter(pc.invert(simple)))
+        names = strings(pc.if_else(simple, distinct, "\0") if whole else distinct)
         place = self._places(PIECES.findall("\n".join([*names, ""]).lower()), True)
         if whole:
             place[place == WHOLE] = self._places(whole, False)
