@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgweave.llm.jaccard import similar_groups
+from kgweave.llm.jaccard import SHINGLE, similar_groups
 from kgweave.llm.langid import held_out, identify_languages, train_model
 from kgweave.llm.mixing import mix_sources, take_mix, word_count
 from kgweave.llm.packing import pack_documents
+from kgweave.llm.simhash import near_duplicates
 from kgweave.llm.substrings import remove_repeats
 from kgweave.plans.scratch import Scratch
 
@@ -29,12 +30,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (0.8 or more of five-word shingles) one document stays: the one with the smallest id, null
-    last. Rows that share an id, or have none, are told apart by a hash of all their columns; wholly equal rows count as one."""
+    """Of each group of near-duplicates one document stays: the one with the smallest id, null last. Covering SimHash of five-word
+    shingles gathers the closest copies first; one of each such group is then compared by Jaccard similarity, 0.8 or more. Rows
+    that share an id, or have none, are told apart by a hash of all their columns; wholly equal rows count as one."""
     rows = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("_key"))
+    work = Scratch(spark, "near")
+    close = work.write(near_duplicates(rows, "_key", width=SHINGLE).select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_rep")), "close")
+    reps = rows.join(close.filter("_key = _rep").select("_key").distinct(), "_key", "left_semi")
+    groups = close.select("_rep", "_key").distinct().join(similar_groups(reps, "_key").distinct().withColumnRenamed("_key", "_rep"), "_rep")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("first")
     ids = rows.select("doc_id", "_key").distinct()
-    keep = similar_groups(rows, "_key").distinct().join(ids, "_key").groupBy("group").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first._key").alias("_kept"))
+    keep = groups.join(ids, "_key").groupBy("group").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first._key").alias("_kept"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_kept"))
     return rows.join(keep, same, "left_semi").dropDuplicates(["doc_id", "_key"]).select(*COLUMNS)
 

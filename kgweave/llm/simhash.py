@@ -63,18 +63,17 @@ def masks(radius: int = RADIUS) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in kept]
 
 
-def _forest(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each fingerprint of ``x`` (distinct) to the first one it is connected with."""
-    near = np.bitwise_count(x[:, None] ^ x[None, :]) <= radius
-    label = np.arange(len(x))
+def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links of a symmetric matrix (true on its diagonal): each node with the first one it is connected with."""
+    label = np.arange(len(near))
     while True:
-        new = np.where(near, label[None, :], len(x)).min(1)
+        new = np.where(near, label[None, :], len(near)).min(1)
         new = new[new]
         if (new == label).all():
             break
         label = new
-    far = label != np.arange(len(x))
-    return x[far], x[label[far]]
+    far = np.flatnonzero(label != np.arange(len(near)))
+    return far, label[far]
 
 
 def _links(radius: int):
@@ -90,7 +89,9 @@ def _links(radius: int):
             ok = np.bitwise_count(a ^ b) <= radius
             out = [(a[ok], b[ok])]
             for s, n in zip(cut[size > 2], size[size > 2]):
-                out.append(_forest(np.unique(fp[s : s + n]), radius))
+                x = np.unique(fp[s : s + n])
+                a, b = forest(np.bitwise_count(x[:, None] ^ x[None, :]) <= radius)
+                out.append((x[a], x[b]))
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]).view(np.int64)) for i in (0, 1)], ["src", "dst"])
 
         for b in batches:
