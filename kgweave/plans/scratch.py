@@ -1,7 +1,7 @@
 """Tables that cut lineage: written once to the folder all executors share.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset (tests,
-one machine) a temporary folder is used. A written table survives the loss of any executor.
+The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a session on one machine (tests) may
+leave it unset; it gets a temporary folder. A written table survives the loss of any executor.
 """
 
 from __future__ import annotations
@@ -19,12 +19,20 @@ def shared_root(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local:
         _local[app] = "file://" + tempfile.mkdtemp(prefix="kgweave-")
     return _local[app]
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as a URI with its file system named, for writers outside Spark."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 class Scratch:
     """One folder of intermediate tables; ``drop`` frees those no later step reads."""
 
