@@ -274,7 +274,14 @@ def g9(spark, d):
     return community_context(m, tg.nodes(spark, d), tg.edges(spark, d))
 
 
-@query("G10_reports")
+_G10 = f"""WITH {tg.SQL}, m AS (SELECT 'CUS:'||c_custkey AS node, c_nationkey AS community FROM customer UNION ALL SELECT 'NAT:'||n_nationkey, n_nationkey FROM nation), g AS (SELECT id, count(*) AS degree FROM (SELECT "from" AS id FROM edges UNION ALL SELECT "to" FROM edges) GROUP BY 1),
+ n AS (SELECT m.*, name, coalesce(degree, 0) AS degree, row_number() OVER (PARTITION BY community ORDER BY coalesce(degree, 0) DESC, node) AS r FROM m JOIN nodes ON nodes.id = node LEFT JOIN g ON g.id = node),
+ i AS (SELECT a.community, p.name||' '||e.type||' '||q.name AS line, row_number() OVER (PARTITION BY a.community ORDER BY e."from", e."to", e.type) AS r FROM edges e JOIN m a ON a.node = e."from" JOIN m b ON b.node = e."to" AND a.community = b.community JOIN nodes p ON p.id = e."from" JOIN nodes q ON q.id = e."to"),
+ f AS (SELECT community, count(*) AS n_in, string_agg(line, '; ' ORDER BY r) FILTER (r <= 3) AS summary FROM i GROUP BY 1)
+ SELECT community, string_agg(name, ', ' ORDER BY r) FILTER (r <= 3) AS title, coalesce(any_value(summary), '') AS summary, round(coalesce(20.0::DOUBLE * any_value(n_in) / sum(degree), 0), 4) AS rating, count(*) AS n_members FROM n LEFT JOIN f USING (community) GROUP BY 1"""
+
+
+@query("G10_reports", _G10)
 def g10(spark, d):
     one = lambda t, p, k, n: tg.table(spark, d, t).select(F.concat(F.lit(p), F.col(k)).alias("node"), F.col(n).alias("community"))
     m = one("customer", "CUS:", "c_custkey", "c_nationkey").union(one("nation", "NAT:", "n_nationkey", "n_nationkey"))

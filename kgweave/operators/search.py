@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from kgweave.functions.text import normalize_text
 from kgweave.operators.graph import bfs_expand
+from kgweave.operators.graph_tables import keyset_page
 from kgweave.plans import testgraph as tg
 from kgweave.plans.registry import query
 from kgweave.plans.scratch import Scratch
@@ -382,6 +383,43 @@ def quantize_binary(vectors: DataFrame, v: str = "v") -> DataFrame:
     return vectors.withColumn("bits", F.transform(F.sequence(F.lit(0), size - 1), word))
 
 
+def quantized_search(queries: DataFrame, vectors: DataFrame, k: int = 10, kind: str = "int8", oversample: int = 8) -> DataFrame:
+    """``vector_search`` by cosine over codes: ``oversample`` times ``k`` candidates of each query by its own code (``int8`` components, or signs
+    for ``binary``), then rescored on the original vectors. What the codes rank too low is missed; the tests measure the recall."""
+    if kind == "int8":
+        coded = quantize_int8(vectors).select("item_id", F.transform("code", lambda x: x.cast("float")).alias("v"))
+    elif kind == "binary":
+        # 64 signs a long; the product of two sign vectors is the size less twice the Hamming distance
+        signs = F.flatten(F.transform("bits", lambda b: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(F.getbit(b, i) == 1, 1.0).otherwise(-1.0).cast("float"))))
+        coded = quantize_binary(vectors).select("item_id", F.slice(signs, F.lit(1), F.size("v")).alias("v"))
+    else:
+        raise ValueError(f"no code named {kind}")
+    rough = vector_search(queries, coded, k * oversample, "cosine").select("query_id", "item_id")
+    exact = rough.join(vectors.select("item_id", "v"), "item_id").join(queries.select("query_id", "q").dropDuplicates(["query_id"]), "query_id")
+    norm = F.sqrt(_dot("q", "q")) * F.sqrt(_dot("v", "v"))
+    return top_k(exact.select("query_id", "item_id", (_dot("q", "v") / F.greatest(norm, F.lit(1e-30))).alias("score")), k)
+
+
+def retrieve_vectors(table: DataFrame, ids: DataFrame, key: str = "item_id") -> DataFrame:
+    """The rows of the ids, once each; unknown ids give none."""
+    return table.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def count_vectors(table: DataFrame, where: Column | None = None) -> DataFrame:
+    return (table if where is None else table.filter(where)).agg(F.count("*").alias("n"))
+
+
+def delete_vectors(table: DataFrame, ids: DataFrame | None = None, where: Column | None = None, key: str = "item_id") -> DataFrame:
+    """Without the rows of the ids, and without those the condition holds for; a condition that is null keeps its row."""
+    out = table if ids is None else table.join(ids.select(key), key, "left_anti")
+    return out if where is None else out.filter(~F.coalesce(where, F.lit(False)))
+
+
+def scroll_vectors(table: DataFrame, limit: int, cursor=None, where: Column | None = None, key: str = "item_id") -> tuple[DataFrame, DataFrame]:
+    """The next ``limit`` rows in the order of the key after ``cursor``, and the next cursor (null unless the page is full)."""
+    return keyset_page(table, limit, cursor, where, key)
+
+
 def upsert_vectors(table: DataFrame, new: DataFrame, key: str = "item_id") -> DataFrame:
     return table.join(new.select(key), key, "left_anti").unionByName(new)
 
@@ -530,9 +568,23 @@ def v12(spark, d):
     return sql_rows(spark.sql("SELECT label, count(*) AS n FROM kg_nodes GROUP BY 1"), "label")
 
 
-@query("V13_int8")
+@query("V13_int8", "SELECT vec_id AS item_id, 64 AS n, true AS close FROM embeddings")
 def v13(spark, d):
-    return quantize_int8(_emb(spark, d)).select("item_id", "code", "scale")
+    """Codes times the scale give the clipped components back, to half a step."""
+    q = quantize_int8(_emb(spark, d))
+    bound = F.col("scale") * 127
+    near = F.forall(F.arrays_zip("v", "code"), lambda x: F.abs(F.least(F.greatest(x["v"].cast("double"), -bound), bound) - x["code"] * F.col("scale")) <= F.col("scale") * 0.5001)
+    return q.select("item_id", F.size("code").alias("n"), near.alias("close"))
+
+
+@query("V13_int8_search", f"SELECT q.vec_id AS query_id, c.vec_id AS item_id, round({_COS}, 6) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, c.vec_id) <= 10")
+def v13_search(spark, d):
+    return quantized_search(_emb_queries(spark, d), _emb(spark, d)).select("query_id", "item_id", F.round("score", 6).alias("score"))
+
+
+@query("V13_binary_search")
+def v13_binary_search(spark, d):
+    return quantized_search(_emb_queries(spark, d), _emb(spark, d), kind="binary", oversample=32).select("query_id", "item_id", "score")
 
 
 @query("V13_binary", "SELECT vec_id AS item_id, CAST(list_sum(list_transform(embedding, lambda x, i: CASE WHEN x > 0 AND i <= 32 THEN (1::BIGINT << (i - 1)) ELSE 0 END)) AS BIGINT) AS low FROM embeddings")
@@ -550,3 +602,29 @@ def v14(spark, d):
 def v15(spark, d):
     e = _emb(spark, d)
     return upsert_vectors(e.filter("item_id % 2 = 0"), e.filter("item_id % 3 = 0").withColumn("label", F.col("label") + 100)).select("item_id", "label")
+
+
+@query("V15_retrieve", "SELECT vec_id AS item_id, label FROM embeddings WHERE vec_id IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)")
+def v15_retrieve(spark, d):
+    ids = _t(spark, d, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("item_id"))
+    return retrieve_vectors(_emb(spark, d), ids.union(ids)).select("item_id", "label")
+
+
+@query("V15_count", "SELECT count(*) AS n FROM embeddings WHERE label IN (1, 3)")
+def v15_count(spark, d):
+    return count_vectors(_emb(spark, d), search_filters(labels=[1, 3]))
+
+
+@query("V15_delete", "SELECT vec_id AS item_id, label FROM embeddings WHERE vec_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0) AND label <> 2")
+def v15_delete(spark, d):
+    ids = _t(spark, d, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("item_id"))
+    return delete_vectors(_emb(spark, d), ids, search_filters(labels=[2])).select("item_id", "label")
+
+
+@query("V15_scroll", "WITH a AS (SELECT vec_id, label FROM embeddings WHERE label <> 4), one AS (SELECT * FROM a ORDER BY vec_id LIMIT 40), two AS (SELECT * FROM a WHERE vec_id > (SELECT max(vec_id) FROM one) ORDER BY vec_id LIMIT 40) SELECT 1 AS page, vec_id AS item_id, label FROM one UNION ALL SELECT 2, vec_id, label FROM two")
+def v15_scroll(spark, d):
+    """Two pages, the second from the cursor that the first gave."""
+    rows, where = _emb(spark, d).select("item_id", "label"), F.col("label") != 4
+    one, cursor = scroll_vectors(rows, 40, where=where)
+    two, _ = scroll_vectors(rows, 40, cursor.first().cursor, where)
+    return one.select(F.lit(1).alias("page"), "item_id", "label").union(two.select(F.lit(2), "item_id", "label"))

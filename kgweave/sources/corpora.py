@@ -112,12 +112,12 @@ def s8(spark, d):
     return _documents(raw, "text", "corpus", F.col("doc_id"), F.col("lang"), site=F.col("source")).withColumn("site", F.col("properties")["site"]).drop("properties")
 
 
-@query("S14_page_titles", r"SELECT url, trim(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title FROM pages WHERE regexp_matches(html, '(?is)<title>\s*[^<&\s][^<&]*</title>')")
+_TITLE = r"regexp_extract(html, '(?is)<title>(.*?)</title>', 1)"
+
+
+@query("S14_page_titles", rf"""SELECT url, trim(regexp_replace(regexp_replace(replace(replace(replace({_TITLE}, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS title FROM pages""")
 def s14(spark, d):
-    p = tg.table(spark, d, "pages")
-    # pages whose title holds no entity, where SQL can tell it
-    plain = p.filter(F.col("html").rlike(r"(?is)<title>\s*[^<&\s][^<&]*</title>"))
-    return pages_to_documents(plain).select("url", "title")
+    return pages_to_documents(tg.table(spark, d, "pages")).select("url", "title")
 
 
 @query("S14_pages")
