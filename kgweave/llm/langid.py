@@ -1,20 +1,19 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
-The network reads segments: runs of letter bytes (ASCII letters, folded to lower case, and all bytes from
-0x80), cut after ``SEGMENT`` bytes, each between two blank bytes. A GRU runs over a segment in each direction;
-at every position a softmax over both states gives the probabilities of the languages. The mean log
-probability of a segment's positions is its vote, and a document's probabilities are the softmax of the sum of
-all its segments' votes. The state starts anew in each segment, so a segment's vote is the same wherever it
-stands, and a task computes it once for all its repeats: the result is that of reading the whole text.
+The network reads a text as its bytes, ASCII letters folded to lower case. A GRU runs over them in each direction;
+at every position a softmax over both states gives the probabilities of the languages. A document's probabilities
+are the mean of those of all its positions. So that positions of one text are computed side by side, a text is read
+in spans of ``SPAN`` positions, each with ``CONTEXT`` bytes more on either side from which the states start; bytes
+beyond the ends of a text are 0. Every position is labelled once, and nothing else of the batch takes part in it.
 
 Training is in numpy by backpropagation through time, on the driver, from a bounded sample: the documented
-``DOCS`` documents and ``SEGMENTS`` segments for each language, chosen by a hash of their ids.
+``DOCS`` documents and ``WINDOWS`` windows of ``SPAN_TRAIN`` bytes for each language, chosen by a hash from all
+positions of those documents, and cut as the texts are cut for prediction.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +25,27 @@ from pyspark.sql import types as T
 
 from kgweave.llm.caches import cache_of, trim
 
-DOCS, SEGMENTS, LANGUAGES = 300, 12_000, 64
-HIDDEN, SEGMENT, STEPS, BATCH, RATE, SEED = 12, 24, 700, 384, 0.01, 5
-MEMO = 200_000
-BLANK = 0x20
-RUNS = re.compile(rb"[a-z\x80-\xff]+|\n")
+DOCS, WINDOWS, SPAN_TRAIN = 300, 3000, 64
+HIDDEN, STEPS, BATCH, RATE, SEED = 12, 400, 128, 0.02, 5
+SPAN, CONTEXT, ROWS, SLICE = 192, 16, 2048, 1 << 20
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def spans(texts: list[bytes], span: int = SPAN, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes (row, context + span + context) of the spans of all texts, the text of each row, and how many of its positions are real."""
+    size = np.array([len(t) for t in texts], np.int64)
+    rows = -(-size // span)
+    owner = np.repeat(np.arange(len(texts)), rows)
+    at = (np.arange(len(owner)) - np.repeat(np.cumsum(rows) - rows, rows)) * span
+    # every text with zeros around it, side by side
+    gap = context + span
+    start = np.cumsum(size + 2 * gap) - size - gap
+    flat = np.zeros(int((size + 2 * gap).sum()), np.uint8)
+    for t, s in zip(texts, start):
+        flat[s : s + len(t)] = np.frombuffer(t, np.uint8)
+    first = start[owner] + at - context
+    raw = flat[first[:, None] + np.arange(span + 2 * context)[None, :]] if len(owner) else np.zeros((0, span + 2 * context), np.uint8)
+    return raw, owner, np.minimum(span, size[owner] - at)
 
 
 class ByteGru:
@@ -46,80 +61,90 @@ class ByteGru:
             self.w |= {f"x{d}": (rng.normal(0, 0.3, (256, 3 * hidden))).astype(np.float32), f"u{d}": init(hidden, 2 * hidden), f"c{d}": init(hidden, hidden)}
         self.w |= {"o": init(2 * hidden, len(langs)), "ob": np.zeros(len(langs), np.float32)}
 
-    @staticmethod
-    def pad(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        size = np.array([len(s) + 2 for s in segments])
-        raw = np.full((len(segments), size.max()), BLANK, np.uint8)
-        for i, s in enumerate(segments):
-            raw[i, 1 : 1 + len(s)] = np.frombuffer(s, np.uint8)
-        return raw, np.arange(raw.shape[1])[None, :] < size[:, None]
-
-    def states(self, raw: np.ndarray, live: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """Hidden states (position, segment, hidden); past a segment's end the state stays as it was."""
-        u, c, n = self.w[f"u{d}"], self.w[f"c{d}"], len(self.w[f"c{d}"])
+    def states(self, raw: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
+        """Hidden states (position, row, hidden)."""
+        u, c, x_of = self.w[f"u{d}"], self.w[f"c{d}"], self.w[f"x{d}"]
+        n = len(c)
         h = np.zeros((len(raw), n), np.float32)
         out = np.empty((raw.shape[1], len(raw), n), np.float32)
+        columns = np.ascontiguousarray(raw.T)
         for t in range(raw.shape[1]) if d == "f" else range(raw.shape[1] - 1, -1, -1):
-            x = self.w[f"x{d}"][raw[:, t]]
-            g = 1 / (1 + np.exp(-(x[:, : 2 * n] + h @ u)))
+            x = x_of.take(columns[t], 0)
+            g = h @ u
+            g += x[:, : 2 * n]
+            g *= 0.5
+            np.tanh(g, g)
+            g *= 0.5
+            g += 0.5  # the logistic function
             r, z = g[:, :n], g[:, n:]
-            cand = np.tanh(x[:, 2 * n :] + (r * h) @ c)
-            new = np.where(live[:, t, None], z * h + (1 - z) * cand, h)
+            cand = (r * h) @ c
+            cand += x[:, 2 * n :]
+            np.tanh(cand, cand)
             if keep is not None:
                 keep.append((t, h, r, z, cand))
-            out[t] = h = new
+            h = np.add(cand, z * (h - cand), out=out[t])
         return out
 
-    def log_probs(self, raw: np.ndarray, live: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """Log probabilities of the languages at every position: (position, segment, language)."""
-        tape = {d: [] for d in "fb"} if keep is not None else {"f": None, "b": None}
-        both = np.concatenate([self.states(raw, live, d, tape[d]) for d in "fb"], 2)
-        y = both @ self.w["o"] + self.w["ob"]
-        y = y - y.max(2, keepdims=True)
-        y = y - np.log(np.exp(y).sum(2, keepdims=True))
-        if keep is not None:
-            keep |= {"tape": tape, "both": both}
+    def probs(self, raw: np.ndarray, context: int = CONTEXT) -> np.ndarray:
+        """Probabilities of the languages at every position between the contexts: (position, row, language)."""
+        return self._softmax([self.states(raw, d)[context : raw.shape[1] - context] for d in "fb"])
+
+    def _softmax(self, both: list[np.ndarray]) -> np.ndarray:
+        n = both[0].shape[2]
+        y = both[0] @ self.w["o"][:n]
+        y += both[1] @ self.w["o"][n:]
+        y += self.w["ob"]
+        y -= y.max(2, keepdims=True)
+        np.exp(y, y)
+        y /= y.sum(2, keepdims=True)
         return y
 
-    def gradients(self, raw: np.ndarray, live: np.ndarray, label: np.ndarray) -> tuple[float, dict]:
-        """Mean cross entropy over all positions and its gradients, by backpropagation through time."""
-        kept: dict = {}
-        y = self.log_probs(raw, live, kept)
-        m = live.T[:, :, None] / live.sum()
-        dy = np.exp(y)
+    def gradients(self, raw: np.ndarray, real: np.ndarray, label: np.ndarray, context: int = CONTEXT) -> tuple[float, dict]:
+        """Mean cross entropy over the real positions and its gradients, by backpropagation through time."""
+        tape = {d: [] for d in "fb"}
+        both = [self.states(raw, d, tape[d]) for d in "fb"]
+        y = self._softmax(both)
+        at = np.arange(raw.shape[1])[:, None] - context
+        live = (at >= 0) & (at < real[None, :])
+        m = (live / live.sum())[:, :, None].astype(np.float32)
+        loss = -(np.log(y[:, np.arange(len(label)), label] + 1e-12) * m[:, :, 0]).sum()
+        dy = y
         dy[:, np.arange(len(label)), label] -= 1
-        dy = (dy * m).astype(np.float32)
-        both, n = kept["both"], len(self.w["cf"])
-        g = {"o": np.tensordot(both, dy, ((0, 1), (0, 1))), "ob": dy.sum((0, 1))}
+        dy *= m
+        states, n = np.concatenate(both, 2), both[0].shape[2]
+        g = {"o": np.tensordot(states, dy, ((0, 1), (0, 1))), "ob": dy.sum((0, 1))}
         dboth = dy @ self.w["o"].T
         for k, d in enumerate("fb"):
             u, c = self.w[f"u{d}"], self.w[f"c{d}"]
             gx, gu, gc = np.zeros_like(self.w[f"x{d}"]), np.zeros_like(u), np.zeros_like(c)
             dh = np.zeros((len(raw), n), np.float32)
-            for t, h, r, z, cand in reversed(kept["tape"][d]):
+            inputs, places = [], []
+            for t, h, r, z, cand in reversed(tape[d]):
                 dh = dh + dboth[t, :, k * n : (k + 1) * n]
-                on = live[:, t, None]
-                dn = np.where(on, dh, 0)
-                dcand = dn * (1 - z) * (1 - cand * cand)
+                dcand = dh * (1 - z) * (1 - cand * cand)
                 drh = dcand @ c.T
-                dgate = np.concatenate([drh * h * r * (1 - r), dn * (h - cand) * z * (1 - z)], 1)
+                dgate = np.concatenate([drh * h * r * (1 - r), dh * (h - cand) * z * (1 - z)], 1)
                 gc += (r * h).T @ dcand
                 gu += h.T @ dgate
-                np.add.at(gx, raw[:, t], np.concatenate([dgate, dcand], 1))
-                dh = np.where(on, dn * z + drh * r + dgate @ u.T, dh)
+                inputs.append(np.concatenate([dgate, dcand], 1))
+                places.append(raw[:, t])
+                dh = dh * z + drh * r + dgate @ u.T
+            inputs, places = np.concatenate(inputs), np.concatenate(places)
+            for j in range(3 * n):
+                gx[:, j] = np.bincount(places, inputs[:, j], 256)
             g |= {f"x{d}": gx, f"u{d}": gu, f"c{d}": gc}
-        return float(-(y[:, np.arange(len(label)), label] * m[:, :, 0]).sum()), g
+        return float(loss), g
 
-    def train(self, segments: list[bytes], label: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = SEED) -> ByteGru:
-        """Adam on batches of segments of like length."""
+    def train(self, windows: list[bytes], label: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = SEED, span: int = SPAN_TRAIN) -> ByteGru:
+        """Adam on random batches of windows."""
         rng = np.random.default_rng(seed)
-        order = np.argsort([len(s) for s in segments], kind="stable")
+        raw, owner, real = spans(windows, span)
+        label = label[owner]
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         v = {k: np.zeros_like(x) for k, x in self.w.items()}
         for step in range(1, steps + 1):
-            at = rng.integers(0, max(1, len(order) - 4 * batch))
-            pick = rng.choice(order[at : at + 4 * batch], min(batch, len(order)), replace=False)
-            _, g = self.gradients(*self.pad([segments[i] for i in pick]), label[pick])
+            pick = rng.choice(len(raw), min(batch, len(raw)), replace=False)
+            _, g = self.gradients(raw[pick], real[pick], label[pick])
             lr = rate * (1 - step / (steps + 1)) ** 0.5
             for k in self.w:
                 m[k] += 0.1 * (g[k] - m[k])
@@ -127,99 +152,65 @@ class ByteGru:
                 self.w[k] -= (lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         return self
 
-    def votes(self, segments: list[bytes]) -> np.ndarray:
-        """Mean log probability over each segment's positions: (segment, language)."""
-        out = np.empty((len(segments), len(self.langs)))
-        order = np.argsort([len(s) for s in segments], kind="stable")
-        for i in range(0, len(order), 8192):
-            pick = order[i : i + 8192]
-            raw, live = self.pad([segments[j] for j in pick])
-            out[pick] = (self.log_probs(raw, live) * live.T[:, :, None]).sum(0) / live.sum(1)[:, None]
-        return out
+    def pooled(self, texts: list[bytes]) -> np.ndarray:
+        """Mean probabilities over all positions of each text: (text, language); zeros for an empty text."""
+        raw, owner, real = spans(texts)
+        out = np.zeros((len(texts), len(self.langs)))
+        for i in range(0, len(raw), ROWS):
+            z = min(i + ROWS, len(raw))
+            p = self.probs(raw[i:z])
+            p *= (np.arange(SPAN)[:, None] < real[None, i:z])[:, :, None]
+            np.add.at(out, owner[i:z], p.sum(0, dtype=np.float64))
+        return out / np.maximum(1, [len(t) for t in texts])[:, None]
 
     def digest(self) -> str:
         return hashlib.sha256(b"".join(self.w[k].tobytes() for k in sorted(self.w)) + repr(self.langs).encode()).hexdigest()
 
 
-def train_model(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", docs: int = DOCS, segments: int = SEGMENTS) -> ByteGru | None:
-    """Fit on at most ``docs`` documents and ``segments`` segments of each language; None without labelled text."""
-    rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = rows.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang")).withColumn("_r", rank).filter(F.col("_r") <= docs).select("doc_id").distinct()
-    # at most LANGUAGES x docs ids (the number of languages is checked below)
-    some = rows.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(ids, "doc_id")
-    runs = some.select("lang", "doc_id", F.posexplode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("pos", "run")).filter("run <> ''")
-    at = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id", "pos", "run")))
-    got = runs.withColumn("_r", at).filter(F.col("_r") <= segments).select("lang", "run").limit(LANGUAGES * segments + 1).collect()
-    langs = sorted({r.lang for r in got})
-    if len(langs) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+def train_model(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", docs: int = DOCS, windows: int = WINDOWS) -> ByteGru | None:
+    """Fit on at most ``docs`` documents and ``windows`` windows of each language; None without labelled text that has a byte."""
+    rows = labelled.filter(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).alias("_id"), F.col(lang).cast("string").alias("_lang"), F.col(text).cast("string").alias("_text"))
+    rank = F.row_number().over(W.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
+    ids = rows.select("_id", "_lang").withColumn("_r", rank).filter(F.col("_r") <= docs).select("_id").distinct()
+    # at most ``docs`` ids of each language, hence safe to broadcast
+    some = rows.join(F.broadcast(ids), "_id").withColumn("_b", F.encode(F.translate("_text", UPPER, LOWER), "UTF-8"))
+    last = F.ceil(F.octet_length("_b") / SPAN_TRAIN).cast("int") - 1
+    cut = some.select("_lang", "_id", "_b", F.explode(F.sequence(F.lit(0), last)).alias("_pos"))
+    at = F.row_number().over(W.partitionBy("_lang").orderBy("_h", "_pos"))
+    cut = cut.select("_lang", F.xxhash64("_id", "_pos").alias("_h"), "_pos", F.substring("_b", F.col("_pos") * SPAN_TRAIN + 1, F.lit(SPAN_TRAIN)).alias("_w"))
+    # ``windows`` of each language
+    got = cut.withColumn("_r", at).filter(F.col("_r") <= windows).select("_lang", "_w").collect()
+    langs = sorted({r._lang for r in got})
     if not langs:
         return None
     got.sort()
-    return ByteGru(langs).train([r.run.encode()[:SEGMENT] for r in got], np.array([langs.index(r.lang) for r in got]))
-
-
-def _run_votes(model: ByteGru, key: str, runs: list[bytes]) -> np.ndarray:
-    """Summed votes of each run's segments; remembered within the worker, up to ``MEMO`` runs."""
-    memo = cache_of("language")
-    if key not in memo or len(memo[key][0]) > MEMO:
-        memo.clear()
-        memo[key] = ({}, np.empty((0, len(model.langs))))
-    at, table = memo[key]
-    if new := [r for r in runs if r not in at]:
-        pieces = [(i, r[j : j + SEGMENT]) for i, r in enumerate(new) for j in range(0, len(r), SEGMENT)]
-        votes, owner = model.votes([p for _, p in pieces]), np.array([i for i, _ in pieces])
-        sums = np.stack([np.bincount(owner, votes[:, c], len(new)) for c in range(len(model.langs))], 1)
-        at |= zip(new, range(len(at), len(at) + len(new)))
-        table = np.concatenate([table, sums])
-        memo[key] = (at, table)
-    return table[np.fromiter(map(at.__getitem__, runs), np.int64, len(runs))]
-
-
-def document_votes(texts: pa.Array, model: ByteGru, key: str) -> tuple[np.ndarray, np.ndarray]:
-    """Summed votes (document, language) and number of letter runs of each document of a batch."""
-    words = pc.ascii_split_whitespace(texts)
-    sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
-    coded = words.flatten().dictionary_encode()
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    joined = b"".join(w + b"\n" for w in coded.dictionary.cast(pa.binary()).to_pylist())
-    parts = pa.array(RUNS.findall(joined.lower()), pa.binary()).dictionary_encode()
-    runs, at = parts.dictionary.to_pylist(), parts.indices.to_numpy(zero_copy_only=False)
-    end = runs.index(b"\n") if b"\n" in runs else -1
-    table = np.zeros((len(runs), len(model.langs)))
-    if real := [i for i in range(len(runs)) if i != end]:
-        table[real] = _run_votes(model, key, [runs[i] for i in real])
-    is_end = at == end
-    word, n = (np.cumsum(is_end) - is_end)[~is_end], len(coded.dictionary)
-    at, codes = at[~is_end], coded.indices.to_numpy(zero_copy_only=False)
-    count = np.bincount(owner, np.bincount(word, minlength=n)[codes], len(texts))
-    out = np.empty((len(texts), len(model.langs)))
-    for c in range(len(model.langs)):
-        out[:, c] = np.bincount(owner, np.bincount(word, table[at, c], n)[codes], len(texts))
-    return out, count
+    return ByteGru(langs).train([bytes(r._w) for r in got], np.array([langs.index(r._lang) for r in got]))
 
 
 def identify_languages(docs: DataFrame, model: ByteGru | None, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` of ``docs`` with ``lang_pred`` and ``score``, row by row.
+    """The columns ``keep`` of ``docs`` with ``lang_pred`` and ``score``, row by row; equal rows get equal results.
 
-    ``lang_pred`` is ``und`` with score 0 where the text is null or holds no letter, and everywhere without a model.
+    ``score`` is the mean probability of ``lang_pred`` over all positions of the text. ``lang_pred`` is ``und`` with score 0 where the
+    text is null or holds no letter, and everywhere without a model. Columns of ``keep`` named as the new ones or ``_text`` are refused.
     """
-    key = model.digest() if model else ""
+    if clash := {"lang_pred", "score", "_text"} & set(keep):
+        raise ValueError(f"keep already has {sorted(clash)}")
 
     def run(batches):
+        cache_of("language")
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                texts = part.column("_text")
+            size = pc.fill_null(pc.binary_length(b.column("_text")), 0).to_numpy(zero_copy_only=False).cumsum()
+            at = 0
+            while at < b.num_rows:
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE, "right")))
+                part, at = b.slice(at, to - at), to
+                texts = part.column("_text").to_pylist()
                 pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))
-                if model is not None and len(texts):
-                    votes, count = document_votes(texts, model, key)
-                    p = np.exp(votes - votes.max(1, keepdims=True))
-                    p /= p.sum(1, keepdims=True)
+                if model is not None:
+                    p = model.pooled([t.encode().lower() if t else b"" for t in texts])
+                    ok = np.array([any(map(str.isalpha, t or "")) for t in texts])
                     best = p.argmax(1)
-                    ok = [n > 0 and any(map(str.isalpha, texts[i].as_py())) for i, n in enumerate(count)]
-                    pred[ok], score[ok] = np.array(model.langs, object)[best][ok], p[np.arange(len(p)), best][ok]
+                    pred[ok], score[ok] = np.array(model.langs, object)[best][ok], np.minimum(1.0, p[np.arange(len(p)), best])[ok]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
         trim()
 
