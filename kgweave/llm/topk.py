@@ -1,15 +1,13 @@
 """Exact top-k by inner product with block-at-a-time pruning.
 
-Terms are vector components, with integer weights of either sign. Candidates lie in blocks of ``BLOCK`` rows,
-ranges of an order that puts like vectors side by side (nearest of ``PIVOTS`` sampled vectors, then id); a block has a forward
-index (its rows' weights) and each term's largest and smallest weight. A query's bound for a block is the sum
-over its terms of the larger of weight x maximum and weight x minimum: no row can score more. Each query takes
-its blocks by falling bound, in waves that grow by ``GROWTH``; after a wave its k-th best score is known, and
-it stops as soon as the next bound is below that. Ties at the k-th score are still scored. So the result is
-exact whatever the order.
-
-A wave joins (block, query) pairs with the blocks' forward indexes. A task holds one block and at most
-``QUERY_CHUNK`` queries at a time, and returns at most k rows per pair.
+Terms are vector components, with integer weights of either sign. Candidates lie in blocks of about ``BLOCK`` rows that
+are near one of ``PIVOTS`` sampled vectors; a block has a forward index (its rows' weights) and each term's largest and
+smallest weight. A query's bound for a block is the sum over its terms of the larger of weight x maximum and
+weight x minimum: no row can score more. Each query takes its blocks by falling bound and stops as soon as the
+next bound is below its k-th score. Ties at the k-th score are still scored. So the result is exact whatever the order.
+
+Queries are dealt into chunks and blocks into parts, and every chunk meets every part in a task, which keeps at most k
+rows of each query. One part in ``FIRST`` goes before the others: what it finds is the k-th score they start from.
 """
 
 from __future__ import annotations
@@ -22,7 +20,7 @@ from pyspark.sql import Window as W
 
 from kgweave.plans.scratch import Scratch
 
-K, BLOCK, PIVOTS, GROWTH, FIRST, QUERY_CHUNK = 20, 512, 256, 4, 2, 1024
+K, BLOCK, PIVOTS, FIRST, QUERY_CHUNK, PART_BLOCKS = 20, 512, 256, 16, 1024, 64
 
 
 def usable(vector: str) -> Column:
@@ -60,26 +58,38 @@ def _build(pivots: dict[int, np.ndarray]):
     return run
 
 
-def _blocks(size: int):
-    """Rows of a partition, sorted, -> blocks (dim, block, ids, weights, top, low)."""
+def _narrow(w: np.ndarray) -> tuple[bytes, int]:
+    """Bytes of whole numbers in the smallest type that holds them, and its size."""
+    top = np.abs(w).max(initial=0)
+    size = 2 if top < 1 << 15 else 4 if top < 1 << 31 else 8
+    return w.astype(f"<i{size}").tobytes(), size
+
+
+def _wide(raw: bytes, size: int, dim: int) -> np.ndarray:
+    w = np.frombuffer(raw, f"<i{size}").astype(np.int64)
+    return w.reshape(-1, dim) if dim else w.reshape(0, 0)
 
-    def run(batches):
-        from pyspark import TaskContext
 
-        part, number, dim, ids, rows = TaskContext.get().partitionId(), 0, None, [], []
+def _pack(key: list[str]):
+    """Rows (id, w) sorted by ``key`` -> one row for each key: (key, dim, n, ids, size, weights)."""
+    names = [*key, "dim", "n", "ids", "size", "weights"]
+
+    def run(batches):
+        cur, ids, rows = None, [], []
 
         def block():
             w = np.array(rows, np.int64).reshape(len(rows), -1)
-            arrays = [pa.array([dim], pa.int32()), pa.array([part << 32 | number], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()]), pa.array([w.tobytes()])]
-            arrays += [pa.array([x.tolist() if len(x) else []], pa.list_(pa.int64())) for x in (w.max(0), w.min(0))]
-            return pa.RecordBatch.from_arrays(arrays, ["dim", "block", "ids", "weights", "top", "low"])
+            raw, size = _narrow(w)
+            values = [*cur, w.shape[1], len(rows), np.array(ids, np.int64).tobytes(), size, raw]
+            types = [pa.int64()] * len(key) + [pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names)
 
         for b in batches:
-            for d, i, w in zip(*(b.column(c).to_pylist() for c in ("dim", "id", "w"))):
-                if rows and (d != dim or len(rows) == size):
+            for i, w, *k in zip(*(b.column(c).to_pylist() for c in ("id", "w", *key))):
+                if rows and k != cur:
                     yield block()
-                    number, ids, rows = number + 1, [], []
-                dim = d
+                    ids, rows = [], []
+                cur = k
                 ids.append(i)
                 rows.append(w)
         if rows:
@@ -88,100 +98,122 @@ def _blocks(size: int):
     return run
 
 
+def best_of_blocks(qid: np.ndarray, q: np.ndarray, least: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The k best rows of each query in some blocks (ids, weights): (place of the query, id, score), and how many pairs of query and block were scored."""
+    m, many = len(q), len(blocks)
+    up, down = np.maximum(q, 0).astype(np.float64), np.minimum(q, 0).astype(np.float64)
+    top = np.stack([w.max(0) for _, w in blocks]).astype(np.float64)
+    low = np.stack([w.min(0) for _, w in blocks]).astype(np.float64)
+    large = float(np.abs(q).max(initial=0)) * max(np.abs(top).max(initial=0), np.abs(low).max(initial=0)) * max(1, q.shape[1])
+    exact = large < 2**52  # whole numbers are exact in doubles
+    bound = up @ top.T + down @ low.T if exact else (up.astype(object) @ top.astype(object).T + down.astype(object) @ low.astype(object).T).astype(np.float64) * (1 + 1e-12) + 1
+    order = np.argsort(-bound, 1, kind="stable")
+    fq = q.astype(np.float64)
+    kth, scored = least.copy(), 0
+    r, c, v = (np.zeros(0, np.int64) for _ in range(3))
+    for turn in range(many):
+        want = order[:, turn]
+        live = np.flatnonzero(bound[np.arange(m), want] >= kth)
+        if not len(live):
+            break  # bounds fall, so no later block can reach any query's k-th score
+        found = [(r, c, v)]
+        by = live[np.argsort(want[live], kind="stable")]
+        cut = np.flatnonzero(np.r_[True, want[by][1:] != want[by][:-1], True])
+        for a, z in zip(cut, cut[1:]):
+            pick, (ids, w) = by[a:z], blocks[want[by[a]]]
+            score = (fq[pick] @ w.T.astype(np.float64)).astype(np.int64) if exact else q[pick] @ w.T
+            scored += len(pick)
+            x, y = np.nonzero((score >= kth[pick, None]) & (ids[None, :] != qid[pick, None]))
+            found.append((pick[x], ids[y], score[x, y]))
+        r, c, v = (np.concatenate(t) for t in zip(*found))
+        at = np.lexsort((c, -v, r))
+        r, c, v = r[at], c[at], v[at]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        last = place == k - 1
+        kth[r[last]] = np.maximum(kth[r[last]], v[last])
+        r, c, v = r[place < k], c[place < k], v[place < k]
+    return r, c, v, scored
+
+
 def _score(k: int):
-    """Sorted rows of a block - its forward index, then queries - -> (query_id, id, score), the k best of each pair."""
+    """Sorted rows of a cell - its chunk of queries, then its blocks - -> (query_id, id, score), the k best of each query."""
 
     def run(batches):
-        ids = w = top = None
-        for b in batches:
-            kind, block = b.column("kind").to_numpy(), b.column("block").to_numpy()
-            cut = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (kind[1:] != kind[:-1]), True])
-            for a, z in zip(cut, cut[1:]):
-                if kind[a] == 0:
-                    ids = np.frombuffer(b.column("ids")[a].as_py(), np.int64)
-                    w = np.frombuffer(b.column("weights")[a].as_py(), np.int64).reshape(len(ids), -1)
-                    top = np.abs(w).max(initial=0)
-                    continue
-                for s in range(a, z, QUERY_CHUNK):
-                    part = b.slice(s, min(QUERY_CHUNK, z - s))
-                    q, least = _matrix(part.column("w")).astype(np.int64), part.column("least").fill_null(-(1 << 63)).to_numpy()
-                    qid = part.column("query_id").to_numpy()
-                    if not w.shape[1]:
-                        score = np.zeros((len(qid), len(ids)), np.int64)
-                    elif float(top) * float(np.abs(q).max(initial=0)) * w.shape[1] < 2**52:
-                        # exact in doubles
-                        score = (q.astype(np.float64) @ w.T.astype(np.float64)).astype(np.int64)
-                    else:
-                        score = q @ w.T
-                    ok = (score >= least[:, None]) & (ids[None, :] != qid[:, None])
-                    r, c = np.nonzero(ok)
-                    v = score[r, c]
-                    order = np.lexsort((ids[c], -v, r))
-                    r, c, v = r[order], c[order], v[order]
-                    edge = np.searchsorted(r, np.arange(len(qid)))
-                    keep = np.arange(len(r)) - edge[r] < k
-                    yield pa.RecordBatch.from_arrays([pa.array(qid[r[keep]]), pa.array(ids[c[keep]]), pa.array(v[keep])], ["query_id", "id", "score"])
+        key, asked, blocks = None, None, []
 
-    return run
+        def cell():
+            if asked is not None and blocks:
+                qid, q, least = asked
+                r, c, v, _ = best_of_blocks(qid, q, least, blocks, k)
+                yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(c), pa.array(v)], ["query_id", "id", "score"])
 
+        for b in batches:
+            for *cur, dim, kind, ids, size, weights, least in zip(*(b.column(x).to_pylist() for x in ("dim", "part", "chunk", "dim", "kind", "ids", "size", "weights", "least"))):
+                if cur != key:
+                    yield from cell()
+                    key, asked, blocks = cur, None, []
+                ids = np.frombuffer(ids, np.int64)
+                w = _wide(weights, size, dim) if dim else np.zeros((len(ids), 0), np.int64)
+                if kind == 0:
+                    floor = dict(zip(least[0::2], least[1::2])) if least else {}
+                    asked = ids, w, np.array([floor.get(i, -(1 << 63)) for i in ids.tolist()], np.int64)
+                else:
+                    blocks.append((ids, w))
+        yield from cell()
 
-def _bound(q: Column, top: Column, low: Column) -> Column:
-    terms = F.zip_with(F.zip_with(q, top, lambda a, b: a * b), F.zip_with(q, low, lambda a, b: a * b), lambda a, b: F.greatest(a, b))
-    return F.aggregate(terms, F.lit(0).cast("long"), lambda s, x: s + x)
+    return run
 
 
-def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK, growth: int = GROWTH, first: int = FIRST) -> DataFrame:
+def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
     """``(query_id, rank, id, score)`` for ``candidates(id, w)`` and ``queries(query_id, w)``, ``w`` an array of longs.
 
-    Each query's k highest inner products over all candidates but that of its own id, ties to the smaller id.
-    Vectors of another length than the query's are no candidates of it. Ids must be distinct.
+    Each query's k highest inner products over all candidates but those of its own id, ties to the smaller id.
+    Vectors of another length than the query's are no candidates of it. A candidate id that comes again is a candidate
+    again; of queries with one id the smallest vector counts. Rows without an id are left out.
     """
     spark = candidates.sparkSession
     work = Scratch(spark, "topk")
-    rows = work.write(candidates.select(F.size("w").alias("dim"), "id", "w"), "rows")
-    n = rows.count()
+    rows = work.write(candidates.filter("id is not null and w is not null").select(F.size("w").alias("dim"), "id", "w"), "rows")
     # a bounded sample of rows sets the order only
     sample: dict[int, list] = {}
     for r in rows.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect():
         sample.setdefault(r.dim, []).append(r.w)
     pivots = {d: np.array(v, np.float64) for d, v in sample.items()}
-    tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")) * 4, -(-n // (2 * block))), -(-n // (64 * block)))
-    near = rows.mapInArrow(_build(pivots), "dim int, pivot int, id long, w array<bigint>")
-    near = near.repartitionByRange(tasks, "dim", "pivot", "id").sortWithinPartitions("dim", "pivot", "id")
-    blocks = work.write(near.mapInArrow(_blocks(block), "dim int, block long, ids binary, weights binary, top array<bigint>, low array<bigint>"), "blocks")
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.size("w").alias("dim"), "w")
-    # the stated queries against the blocks' bounds: one row per pair, without the rows of the blocks
-    pairs = asked.join(blocks.select("dim", "block", "top", "low"), "dim").select("query_id", "dim", "block", _bound(F.col("w"), F.col("top"), F.col("low")).alias("bound"))
-    order = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bound"), "block"))
-    pairs = work.write(pairs.withColumn("turn", order), "pairs")
-    asked = work.write(asked, "queries")
-    best, lo, hi, wave = None, 0, first, 0
-    longest = pairs.agg(F.max("turn")).first()[0] or 0
-    while lo < longest:
-        now = pairs.filter((F.col("turn") > lo) & (F.col("turn") <= hi))
-        if best is not None:
-            kth = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
-            now = now.join(kth, "query_id", "left").filter(F.col("least").isNull() | (F.col("bound") >= F.col("least")))
-        else:
-            now = now.withColumn("least", F.lit(None).cast("long"))
-        now = now.join(asked.select("query_id", "w"), "query_id")
-        part = F.pmod(F.xxhash64("query_id"), F.lit(16))  # a block's queries may go to several tasks
-        need = now.select("block", part.alias("part"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("weights"), "query_id", "w", "least")
-        used = blocks.select("block", "ids", "weights").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(15))))
-        used = used.join(need.select("block", "part").distinct(), ["block", "part"], "left_semi")
-        used = used.select("block", "part", F.lit(0).alias("kind"), "ids", "weights", F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("array<bigint>").alias("w"), F.lit(None).cast("long").alias("least"))
-        both = used.unionByName(need).repartition("block", "part").sortWithinPartitions("block", "part", "kind")
-        found = both.mapInArrow(_score(k), "query_id long, id long, score long")
-        if best is not None:
-            found = found.unionByName(best.select("query_id", "id", "score"))
-        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-        new = work.write(found.withColumn("rank", rank).filter(F.col("rank") <= k), f"best{wave}")
-        if wave:
-            work.drop(f"best{wave - 1}")
-        best, wave, lo, hi = new, wave + 1, hi, hi * growth
-    if best is None:
-        return spark.createDataFrame([], "query_id long, rank int, id long, score long")
-    return best.select("query_id", "rank", "id", "score")
+    near = work.write(rows.mapInArrow(_build(pivots), "dim int, pivot int, id long, w array<bigint>"), "near")
+    # one row for each pivot and length of vectors
+    sizes = work.write(near.groupBy("dim", "pivot").agg(F.ceil(F.count("*") / block).alias("m")), "sizes")
+    dealt = near.join(sizes, ["dim", "pivot"]).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("m"))).select("id", "w", F.col("dim").cast("long").alias("d"), F.col("pivot").cast("long").alias("pivot"), "piece")
+    by = ["d", "pivot", "piece"]
+    packed = "dim int, n int, ids binary, size int, weights binary"
+    blocks = work.write(dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(_pack(by), f"d long, pivot long, piece long, {packed}"), "blocks")
+    asked = queries.filter("query_id is not null and w is not null").groupBy(F.col("query_id").cast("long").alias("id")).agg(F.min("w").alias("w"))
+    asked = asked.select("id", "w", F.size("w").cast("long").alias("d"))
+    nq, nb = asked.count(), blocks.count()
+    chunks, parts = max(1, -(-nq // QUERY_CHUNK)), max(FIRST, -(-nb // PART_BLOCKS))
+    asked = asked.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)))
+    asked = work.write(asked.repartition("d", "chunk").sortWithinPartitions("d", "chunk").mapInArrow(_pack(["d", "chunk"]), f"d long, chunk long, {packed}"), "queries")
+    placed = blocks.withColumn("part", F.pmod(F.xxhash64(*by), F.lit(parts)))
+
+    def meet(chosen: DataFrame, numbers: list[int], floor: DataFrame | None) -> DataFrame:
+        """Every chunk of queries with every part of ``chosen``: the k best of each query in each part."""
+        q = asked if floor is None else asked.join(floor, ["d", "chunk"], "left")
+        q = q.withColumn("least", F.lit(None).cast("array<bigint>") if floor is None else F.col("least")).withColumn("part", F.explode(F.sequence(F.lit(numbers[0]).cast("long"), F.lit(numbers[1]).cast("long"))))
+        c = chosen.withColumn("least", F.lit(None).cast("array<bigint>")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
+        cols = ["dim", "part", "chunk", "ids", "size", "weights", "least"]
+        both = q.select(*cols, F.lit(0).alias("kind")).unionByName(c.select(*cols, F.lit(1).alias("kind")))
+        return both.repartition("dim", "part", "chunk").sortWithinPartitions("dim", "part", "chunk", "kind").mapInArrow(_score(k), "query_id long, id long, score long")
+
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    split = max(1, parts // FIRST)
+    first = work.write(meet(placed.filter(F.col("part") < split), [0, split - 1], None).withColumn("rank", rank).filter(F.col("rank") <= k), "first")
+    kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("s")).filter("s is not null")
+    # the k-th scores of a chunk's queries, pairs side by side: bounded by the chunk
+    of = queries.select(F.col("query_id").cast("long").alias("query_id"), F.size("w").cast("long").alias("d")).distinct()
+    floor = kth.join(of, "query_id").groupBy("d", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).alias("chunk")).agg(F.flatten(F.collect_list(F.array("query_id", "s"))).alias("least"))
+    out = first.select("query_id", "id", "score")
+    if parts > split:
+        out = out.unionByName(meet(placed.filter(F.col("part") >= split), [split, parts - 1], floor))
+    return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

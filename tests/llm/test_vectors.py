@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from kgweave.llm.neighbours import op3_neighbours
-from kgweave.llm.topk import exact_top_k, op5_top_k
+from kgweave.llm.topk import best_of_blocks, exact_top_k, op5_top_k
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -76,3 +76,26 @@ def test_small_blocks(spark, block):
         s = w @ w[q]
         want += [(q, r + 1, int(i), int(s[i])) for r, i in enumerate([i for i in np.lexsort((np.arange(120), -s)) if i != q][:5])]
     assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_blocks_are_skipped():
+    """Where blocks differ, most are never scored; scores and ties stay exact."""
+    rng = np.random.default_rng(8)
+    centres = rng.integers(-60, 61, (40, 16))
+    blocks = [(np.arange(i * 50, i * 50 + 50), c + rng.integers(-2, 3, (50, 16))) for i, c in enumerate(centres)]
+    w = np.concatenate([x for _, x in blocks])
+    qid = np.arange(0, 2000, 50)
+    r, c, v, scored = best_of_blocks(qid, w[qid], np.full(40, -(1 << 63)), blocks, 10)
+    assert scored < 0.2 * 40 * 40
+    for i, q in enumerate(qid):
+        s = w @ w[q]
+        want = [j for j in np.lexsort((np.arange(2000), -s)) if j != q][:10]
+        assert c[r == i].tolist() == want and v[r == i].tolist() == s[want].tolist()
+
+
+def test_repeated_ids_and_large_weights(spark):
+    rows = [(1, [1 << 40, 3]), (2, [5, 1 << 41]), (2, [5, 1 << 41]), (3, [-(1 << 40), 7]), (None, [1, 1]), (4, None)]
+    df = spark.createDataFrame(rows, "id long, w array<bigint>")
+    asked = spark.createDataFrame([(1, [1, 1]), (1, [0, 5]), (None, [1, 1])], "query_id long, w array<bigint>")
+    got = [tuple(r) for r in exact_top_k(df, asked, k=9).orderBy("rank").collect()]
+    assert got == [(1, 1, 2, 5 << 41), (1, 2, 2, 5 << 41), (1, 3, 3, 35)]
