@@ -5,10 +5,12 @@ probability. Two documents with open probabilities are paired: a random transfer
 on average, makes one of the two whole (0 or 1) and keeps their expected words. So all documents keep their
 expected number of copies while the source's words hardly move.
 
-The pairing runs as a reduction tree: each level deals the open documents of a source into small seeded
-buckets, folds every bucket down to at most one open document and passes those on. When a source has at most
-``LEAF`` open documents, one last fold goes from its largest to its smallest document and pairs each with the
-pool of all smaller ones, so what stays unbalanced is about the size of its smallest documents. The number of
+The pairing runs as a reduction tree, for a source of any size: each level deals the open documents of a source into
+small seeded buckets, folds every bucket down to at most one open document and passes those on. Levels go on until
+a source has at most ``LEAF`` open documents left, residuals of its buckets. One last fold combines them: it goes from
+the largest to the smallest and pairs each with the pool of all smaller ones, taken as one document whose parts scale
+alike. A transfer between a document and a pool is the same fair move as one between two documents, so the expected
+words stay; pairing the largest first leaves unbalanced only about the size of the smallest residual. The number of
 levels is logarithmic in the largest source. The arrays folded are bounded by the bucket size and ``LEAF``.
 """
 
@@ -23,7 +25,7 @@ from pyspark.sql import Window as W
 from kgweave.plans.scratch import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKET, SPREAD, LEAF, SEED = 64, 1024, 2048, 7
+BUCKET, SPREAD, LEAF, SLICE, SEED = 64, 1024, 2048, 10_000, 7
 KEYS = "k struct<id:long,source:string,size:long,rows:long,base:int>"
 DONE = f"array<struct<{KEYS.replace(' ', ':', 1)},x:int>>"
 
@@ -117,9 +119,11 @@ def round_copies(wanted: DataFrame, largest: int, seed: int = SEED) -> DataFrame
     source's open documents; ``largest`` is the largest ``n``.
     """
     settled, cur, level, bound = [], wanted, 0, largest
-    while bound > LEAF:
+    while bound > LEAF or not level:
         level, bound = level + 1, _buckets(bound)
-        busy, wait = cur.filter(F.col("n") > LEAF), cur.filter(F.col("n") <= LEAF)
+        # every source is paired at the first level, later those that still have many open documents
+        many = F.lit(True) if level == 1 else F.col("n") > LEAF
+        busy, wait = cur.filter(many), cur.filter(~many)
         nb = F.greatest(F.ceil(F.col("n") / BUCKET), F.least(F.lit(SPREAD), F.ceil(F.col("n") / 2)))
         dealt = busy.withColumn("b", F.pmod(F.xxhash64(F.lit(seed), F.lit(level), F.lit("b"), "k.id", "k.source", "k.size"), nb)).groupBy("k.source", "n", "b")
         dealt = dealt.agg(F.array_sort(F.collect_list(_items(level, seed))).alias("items")).select(F.expr(PAIR.format(**TEXT)).alias("st"), nb.alias("n"))
@@ -156,7 +160,13 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", source: str = "source",
     whole = wish.filter(~is_open).select("k", F.lit(0).alias("x"))
     got = whole.unionByName(round_copies(asked, largest, seed)).select("k.*", "x")
     got = got.join(g.select("s2", "source_size", "target"), F.col("source").eqNullSafe(F.col("s2"))).withColumn("copies", F.col("base") + F.col("x"))
-    got = got.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    got = work.write(got.drop("s2"), "copies")
+    # one row for each equal row: in slices, so that a row repeated very often is no task's alone
+    slices = F.ceil(F.col("rows") / SLICE)
+    few = got.filter(F.col("rows") <= SLICE).withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    lot = got.filter(F.col("rows") > SLICE).withColumn("_slice", F.explode(F.sequence(F.lit(1).cast("long"), slices))).repartition("_slice")
+    lot = lot.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(SLICE).cast("long"), F.col("rows") - (F.col("_slice") - 1) * SLICE)))).drop("_slice")
+    got = few.unionByName(lot)
     return got.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
