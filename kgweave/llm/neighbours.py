@@ -16,6 +16,8 @@ window limit that each task applies before the shuffle, so a hub costs no task m
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +29,7 @@ from kgweave.plans.scratch import Scratch
 
 DEGREE, FORWARD, REVERSE, OFFER = 32, 20, 16, 8
 TREES, CHUNK, SAMPLE, ENTRIES, SEED = 6, 160, 4096, 16, 3
-ROUNDS, SETTLED, BEAM, EXPAND, STEPS = 6, 0.002, 320, 48, 40
+ROUNDS, SETTLED, BEAM, EXPAND = 6, 0.002, 320, 48
 
 
 def _codes(scale: float, bits: int, centre: dict[int, np.ndarray], trees: int):
@@ -158,7 +160,7 @@ def nodes_of(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embeddin
     """``(node, dim, x, ids)``: each distinct usable vector that isn't zero, with its ``copies`` smallest ids."""
     rows = vectors.filter(usable(vector)).filter(F.exists(vector, lambda x: x != 0)).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
     turn = F.row_number().over(W.partitionBy("x").orderBy("id"))
-    rows = rows.filter("id is not null").withColumn("turn", turn).filter(F.col("turn") <= copies)
+    rows = rows.filter("id is not null").distinct().withColumn("turn", turn).filter(F.col("turn") <= copies)
     return rows.groupBy("x").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("node"), F.size("x").alias("dim"), "x", "ids")
 
 
@@ -233,7 +235,7 @@ def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, work: Scratch
     state = measured(starts).withColumn("done", F.lit(False))
     state = work.write(state, "beam")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("d", "node"))
-    for step in range(STEPS):
+    for step in itertools.count():  # every round expands a node of each open query, so it ends
         open_ = state.filter("not done").withColumn("turn", rank).filter(F.col("turn") <= EXPAND).select("query_id", "node")
         reached = open_.join(links, "node").select("query_id", F.explode("nbrs").alias("node")).distinct()
         fresh = reached.join(state.select("query_id", "node"), ["query_id", "node"], "left_anti")
@@ -251,7 +253,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "
     """``(query_id, rank, vec_id, score)``: the k nearest rows found for ``queries(query_id, q)`` by Euclidean distance.
 
     ``q`` is an array of doubles. A row with the query's own id is no candidate, other copies of its vector are.
-    Ties go to the smaller id. Vectors that are null, zero or hold null or non-finite components take no part;
+    Ties go to the smaller id. An id that has several vectors is listed once, by the nearest. Vectors that are null, zero or hold null or non-finite components take no part;
     vectors of different length never meet. Rows without an id are left out. Recall is measured in the tests.
     """
     spark = vectors.sparkSession
@@ -263,6 +265,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "
     asked = work.write(queries.select(F.col("query_id").cast("long").alias("query_id"), F.size("q").alias("dim"), "q"), "queries")
     found = search(asked, nodes, edges, work)
     rows = found.join(nodes.select("node", "ids"), "node").select("query_id", F.explode("ids").alias("vec_id"), F.col("d").alias("score")).filter("vec_id <> query_id")
+    rows = rows.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return rows.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

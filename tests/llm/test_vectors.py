@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from kgweave.llm.neighbours import op3_neighbours
+from kgweave.llm.neighbours import nearest, op3_neighbours
 from kgweave.llm.topk import best_of_blocks, exact_top_k, op5_top_k
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -99,3 +99,10 @@ def test_repeated_ids_and_large_weights(spark):
     asked = spark.createDataFrame([(1, [1, 1]), (1, [0, 5]), (None, [1, 1])], "query_id long, w array<bigint>")
     got = [tuple(r) for r in exact_top_k(df, asked, k=9).orderBy("rank").collect()]
     assert got == [(1, 1, 2, 5 << 41), (1, 2, 2, 5 << 41), (1, 3, 3, 35)]
+
+
+def test_repeated_rows_are_one_neighbour(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [1.0, 1.0]), (3, [1.0, 0.0]), (None, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, q array<double>")
+    assert [tuple(r) for r in nearest(df, asked, 5).orderBy("rank").collect()] == [(1, 1, 3, 0.0), (1, 2, 2, 1.0)]
