@@ -131,8 +131,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Documents link when their fingerprints differ in at most ``radius`` bits (texts without words have
     fingerprint 0 and link like others). ``component_id`` is the smallest id reachable over links; it is null
     only where all ids of a component are null. ``group`` names the component by one of its fingerprints, so it
-    tells such components apart. Equal rows get equal results; other columns are ignored.
+    tells such components apart. Equal rows get equal results; other columns are ignored. Columns of ``carry`` named as
+    the new ones are refused.
     """
+    if clash := {"doc_id", "fp", "group", "component_id", "text", "_text"} & set(carry):
+        raise ValueError(f"carry already has {sorted(clash)}")
     work = Scratch(docs.sparkSession, "simhash")
     seen = work.write(fingerprints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *carry), ["doc_id", *carry], width=width), "fps")
     reps = work.write(seen.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")

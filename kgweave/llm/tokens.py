@@ -206,8 +206,10 @@ def count_tokens(
 
     ``sections`` gives sorted, disjoint character spans of a text. ``n_tokens`` is a double: whole numbers but for
     the rule ``split``. A null text counts as empty. Every text is encoded once and whole, so a token's pieces
-    never depend on the sections.
+    never depend on the sections. Equal rows give equal rows. Columns of ``keep`` named as the new ones are refused.
     """
+    if clash := {"section", "start", "end", "n_tokens", "doc_tokens", "_text"} & set(keep):
+        raise ValueError(f"keep already has {sorted(clash)}")
 
     def run(batches):
         encoding, sizes = _byte_encoding(tokenizer)

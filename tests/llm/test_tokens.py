@@ -8,6 +8,7 @@ from tokenizers import Tokenizer
 from kgweave.llm import materialise as m
 from kgweave.llm import tokens as t
 from kgweave.llm.packing import WINDOW, op8_packing
+from kgweave.llm.simhash import near_duplicates
 from kgweave.plans.scratch import Scratch
 
 TEXTS = ["", None, "  a\n", "<|endoftext|>foo <|ENDOFTEXT|>", "don't WE'LL 'tis 12 3,4 x y É́é ΣΑΣ", "\x1c a\x1cb \x85q", "日本語 テキスト", "a" * 3000, "\x00 z", "!!!...'s's", "Größe naïve ŒUVRE µ"]
@@ -120,3 +121,11 @@ def test_round_trip(spark, odd, nothing, whole):
     for r in rows:
         assert zlib.crc32(back[r.slot].astype("<u2").tobytes()) == r.crc32 and (r.shard, r.byte_offset) == (r.slot // 10, r.slot % 10 * 128)
     assert m.materialise(nothing, Scratch(spark, "order").path).count() == 0
+
+
+def test_names_that_clash_are_refused(spark):
+    df = spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, section int")
+    with pytest.raises(ValueError):
+        t.count_tokens(df, ["doc_id", "section"])
+    with pytest.raises(ValueError):
+        near_duplicates(df.withColumnRenamed("section", "fp"), carry=("fp",))
