@@ -73,12 +73,12 @@ def shard_rows(df: DataFrame, key: str, shards: int = SHARDS, bucket_rows: int =
     own = F.when(F.col("_m").isNotNull(), F.xxhash64("_h", "_place")).otherwise(F.col("_h"))
     bucket = F.pmod(F.xxhash64(F.lit(seed + 2), own), F.col("_buckets"))
     scattered = work.write(scattered.select("_shard", bucket.alias("_bucket"), "_h", *[F.col(f"`{c}`") for c in cols]), "pass1", compression="zstd")
+    total = sizes.agg(F.sum("_buckets")).first()[0] or 1
+    tasks = min(total, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BUCKETS)))
     per = scattered.groupBy("_shard", "_bucket").agg(F.count("*").cast("int").alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.partitionBy("_shard").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     order = fisher_yates(F.col("_n"), F.xxhash64(F.lit(seed), "_shard", "_bucket"))
-    orders = work.write(per.withColumn("_before", before).repartition("_shard", "_bucket").select("_shard", "_bucket", "_before", order.alias("_order")), "orders")
-    total = sizes.agg(F.sum("_buckets")).first()[0] or 1
-    tasks = min(total, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BUCKETS)))
+    orders = work.write(per.withColumn("_before", before).repartition(tasks, "_shard", "_bucket").select("_shard", "_bucket", "_before", order.alias("_order")), "orders")
     number = F.row_number().over(W.partitionBy("_shard", "_bucket").orderBy("_h", key)) - 1
     placed = scattered.repartition(tasks, "_shard", "_bucket").withColumn("_k", number).join(orders, ["_shard", "_bucket"])
     out = placed.select(*[F.col(f"`{c}`") for c in cols], F.col("_shard").alias("shard"), (F.col("_before") + F.get("_order", F.col("_k"))).cast("long").alias("slot"))
