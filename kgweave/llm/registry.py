@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("mixing", "simhash", "neighbours", "tokens", "topk", "materialise", "langid", "packing", "substrings", "sharding", "secret_scan", "spelling")
+MODULES = ("mixing", "simhash", "neighbours", "tokens", "topk", "materialise", "langid", "packing", "substrings", "sharding", "secret_scan", "spelling", "manifest")
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _name in MODULES:
