@@ -253,6 +253,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "
     """``(query_id, rank, vec_id, score)``: the k nearest rows found for ``queries(query_id, q)`` by Euclidean distance.
 
     ``q`` is an array of doubles. A row with the query's own id is no candidate, other copies of its vector are.
+    A repeated query counts once; of several vectors of one query_id the smallest (by its first component, then the next) is asked for.
     Ties go to the smaller id. An id that has several vectors is listed once, by the nearest. Vectors that are null, zero or hold null or non-finite components take no part;
     vectors of different length never meet. Rows without an id are left out. Recall is measured in the tests.
     """
@@ -262,7 +263,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "
     if nodes.isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     edges = build_graph(nodes, work)
-    asked = work.write(queries.select(F.col("query_id").cast("long").alias("query_id"), F.size("q").alias("dim"), "q"), "queries")
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "q").groupBy("query_id").agg(F.min("q").alias("q"))
+    asked = work.write(asked.select("query_id", F.size("q").alias("dim"), "q"), "queries")
     found = search(asked, nodes, edges, work)
     rows = found.join(nodes.select("node", "ids"), "node").select("query_id", F.explode("ids").alias("vec_id"), F.col("d").alias("score")).filter("vec_id <> query_id")
     rows = rows.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

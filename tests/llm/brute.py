@@ -73,3 +73,49 @@ def jaccard_groups(texts, width=5, least=0.8):
             a, b = find(a), find(b)
             root[max(a, b)] = min(a, b)
     return [find(i) for i in range(len(texts))]
+
+
+def one_edit(a, b):
+    """Whether the strings differ by exactly one inserted, deleted or replaced character."""
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def forms(counts, ratio=10):
+    """{word: (n, n_near, form, form_n, root)} by comparing all pairs."""
+    near = {w: [v for v in counts if one_edit(w, v)] for w in counts}
+    form = {}
+    for w, n in counts.items():
+        best = min(near[w], key=lambda v: (-counts[v], v.encode()), default=None)
+        form[w] = best if best is not None and counts[best] >= ratio * n else None
+    out = {}
+    for w, n in counts.items():
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w] = (n, len(near[w]), form[w], counts.get(form[w]), root)
+    return out
+
+
+def merkle(digests, fan=8):
+    """All levels of a tree, leaves first."""
+    levels = [list(digests)]
+    while len(levels[-1]) > 1:
+        last = levels[-1]
+        levels.append([hashlib.sha256("".join(last[i : i + fan]).encode()).hexdigest() for i in range(0, len(last), fan)])
+    return levels
+
+
+def climb(levels, i, own, fan=8):
+    """Siblings on the path of leaf i, and the root when its digest is ``own``."""
+    beside = []
+    for level in levels[:-1]:
+        run = level[i // fan * fan : i // fan * fan + fan]
+        run[i % fan] = own
+        beside += run[: i % fan] + run[i % fan + 1 :]
+        own, i = hashlib.sha256("".join(run).encode()).hexdigest(), i // fan
+    return beside, own

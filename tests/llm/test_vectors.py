@@ -106,3 +106,26 @@ def test_repeated_rows_are_one_neighbour(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, q array<double>")
     assert [tuple(r) for r in nearest(df, asked, 5).orderBy("rank").collect()] == [(1, 1, 3, 0.0), (1, 2, 2, 1.0)]
+
+
+@pytest.mark.parametrize("times", [6, 400])
+def test_a_repeated_query_changes_nothing(spark, sf, times):
+    x = table(1000, 16)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    plain = op3_neighbours(spark, sf(spark.createDataFrame(rows, SCHEMA), "embeddings")).collect()
+    again = op3_neighbours(spark, sf(spark.createDataFrame(rows + [rows[200]] * (times - 1), SCHEMA), "embeddings")).collect()
+    assert sorted(plain) == sorted(again) and len(plain) == 100
+
+
+def test_queries_outside_the_index(spark):
+    x, asked = table(1500), table(1600, seed=1)[1500:]
+    df = frame(spark, x)
+    queries = spark.createDataFrame([(10_000 + i, v.astype(float).tolist()) for i, v in enumerate(asked)], "query_id long, q array<double>")
+    got = {}
+    for r in nearest(df, queries).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for i, v in enumerate(asked):
+        d = ((x.astype(float) - v.astype(float)) ** 2).sum(1)
+        hit += len(got[10_000 + i] & set(np.lexsort((np.arange(len(d)), d))[:10].tolist()))
+    assert hit >= 0.9 * 10 * len(asked)
