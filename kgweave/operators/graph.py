@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kgweave.operators.communities import detect_communities, too_large
 from kgweave.operators.components import connected_components
 from kgweave.plans import testgraph as tg
 from kgweave.plans.registry import query
@@ -42,80 +43,6 @@ def modularity(edges: DataFrame, membership: DataFrame, resolution: float = 1.0)
     return total.join(inside, F.lit(True)).join(squares, F.lit(True)).select((F.col("inside") / F.col("m") - resolution * F.col("s") / (4 * F.col("m") * F.col("m"))).alias("modularity"))
 
 
-def _local_moves(edges: DataFrame, work: Scratch, tag: str, rounds: int, resolution: float) -> DataFrame:
-    """``(node, community)``: in each round a hashed half of the nodes moves to the neighbouring community with the largest
-    gain in modularity (the smaller id in a tie), if there is one. Halves keep neighbours from swapping for ever."""
-    both = edges.filter("a <> b").select("a", "b", "w").union(edges.filter("a <> b").select("b", "a", "w"))
-    degree = work.write(both.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")), f"{tag}-k")
-    two_m = degree.agg(F.sum("k")).first()[0] or 1.0
-    cur = work.write(degree.select("node", "k", F.col("node").alias("community")), f"{tag}-0")
-    quiet = 0
-    for r in range(rounds):
-        totals = cur.groupBy("community").agg(F.sum("k").alias("tot"))
-        of = cur.select(F.col("node").alias("b"), "community")
-        moving = cur.filter(F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0)
-        reach = both.join(of, "b").groupBy("a", "community").agg(F.sum("w").alias("to_c")).withColumnRenamed("a", "node")
-        cand = reach.join(moving.select("node", "k", F.col("community").alias("own")), "node").join(totals, "community")
-        rest = F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
-        cand = cand.withColumn("gain", F.col("to_c") - resolution * F.col("k") * rest / two_m)
-        stay = cand.filter("community = own").select("node", F.col("gain").alias("stay"))
-        own_tot = totals.select(F.col("community").alias("own"), F.col("tot").alias("own_tot"))
-        best = cand.filter("community <> own").groupBy("node", "k", "own").agg(F.max_by(F.struct("community", "gain"), F.struct(F.col("gain"), -F.xxhash64("community"))).alias("best"))
-        best = best.join(stay, "node", "left").join(own_tot, "own").withColumn("stay", F.coalesce("stay", -resolution * F.col("k") * (F.col("own_tot") - F.col("k")) / two_m))
-        moves = best.filter(F.col("best.gain") > F.col("stay") + 1e-12).select("node", F.col("best.community").alias("to"))
-        new = work.write(cur.join(moves, "node", "left").select("node", "k", F.coalesce("to", "community").alias("community"), F.col("to").isNotNull().alias("moved")), f"{tag}-{r + 1}")
-        n = new.filter("moved").count()
-        cur = new.drop("moved")
-        work.drop(f"{tag}-{r}")
-        quiet = quiet + 1 if n == 0 else 0
-        if quiet == 2:
-            break
-    return cur.select("node", "community")
-
-
-def _louvain(edges: DataFrame, work: Scratch, tag: str, rounds: int, resolution: float, levels: int = 2) -> DataFrame:
-    """Local moves and contraction until nothing joins; a community is named by its smallest node and is connected."""
-    member, graph = None, edges
-    for level in range(levels):
-        moved = _local_moves(graph, work, f"{tag}-{level}", rounds, resolution)
-        # what moved together is a community only where it hangs together
-        named = moved.select(F.col("node").alias("a"), F.col("community").alias("ca"))
-        inner = graph.join(named, "a").join(moved.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b").filter("ca = cb and a <> b")
-        comp = connected_components(inner, "a", "b").select("node", F.col("component").alias("community"))
-        comp = moved.select("node").join(comp, "node", "left").select("node", F.coalesce("community", "node").alias("community"))
-        comp = work.write(comp, f"{tag}-{level}-named")
-        member = comp if member is None else work.write(member.withColumnRenamed("community", "mid").join(comp.select(F.col("node").alias("mid"), "community"), "mid").select("node", "community"), f"{tag}-{level}-member")
-        if comp.filter("node <> community").isEmpty():
-            break
-        a, b = comp.select(F.col("node").alias("a"), F.col("community").alias("x")), comp.select(F.col("node").alias("b"), F.col("community").alias("y"))
-        graph = work.write(graph.join(a, "a").join(b, "b").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w")), f"{tag}-{level}-graph")
-    return member
-
-
-def detect_communities(edges: DataFrame, max_size: int = 10, resolution: float = 1.0, rounds: int = 6, max_levels: int = 3) -> DataFrame:
-    """``(level, node, community, parent)``: level 0 is the coarsest and covers every node; each community above
-    ``max_size`` is split again at the next level, while that gives parts and levels last. ``edges(a, b, w)`` undirected."""
-    work = Scratch(edges.sparkSession, "communities")
-    graph = work.write(edges.select("a", "b", F.col("w").cast("double").alias("w")), "edges")
-    nodes = graph.select(F.col("a").alias("node")).union(graph.select("b")).distinct()
-    top = nodes.join(_louvain(graph, work, "0", rounds, resolution), "node", "left").select("node", F.coalesce("community", "node").alias("community"))
-    cur = work.write(top.select(F.lit(0).alias("level"), "node", "community", F.lit(None).cast("string").alias("parent")), "level0")
-    out = cur
-    for level in range(1, max_levels):
-        large = cur.groupBy("community").count().filter(F.col("count") > max_size).select("community")
-        inside = cur.join(large, "community").select("node", "community")
-        a, b = inside.select(F.col("node").alias("a"), F.col("community").alias("x")), inside.select(F.col("node").alias("b"), F.col("community").alias("y"))
-        sub = work.write(graph.join(a, "a").join(b, "b").filter("x = y").select("a", "b", "w"), f"sub{level}")
-        if sub.isEmpty():
-            break
-        parts = inside.withColumnRenamed("community", "parent").join(_louvain(sub, work, str(level), rounds, resolution), "node", "left").select(F.lit(level).alias("level"), "node", F.coalesce("community", "node").alias("community"), "parent")
-        parts = work.write(parts, f"level{level}")
-        if parts.select("community").distinct().count() == large.count():
-            break
-        out, cur = out.unionByName(parts), parts
-    return out
-
-
 def scope_communities(membership: DataFrame, node_ids: DataFrame) -> DataFrame:
     """Members in scope, with the size that is left; communities without one go."""
     kept = membership.join(node_ids.select(F.col("id").alias("node")), "node", "left_semi")
@@ -228,6 +155,25 @@ def g3(spark, d):
     return detect_communities(undirected_edges(tg.edges(spark, d)))
 
 
+@query("G3_invariants", f"""WITH {tg.SQL}, u AS (SELECT least("from", "to") AS a, greatest("from", "to") AS b FROM edges GROUP BY 1, 2), m AS (SELECT a AS node FROM u UNION SELECT b FROM u)
+ SELECT count(*) AS nodes, 0 AS uncovered, 0 AS unnested, 0 AS misnamed, 0 AS divisible FROM m""")
+def g3_invariants(spark, d):
+    """Nodes; rows missing from levels; parents that are no community of the level above; names that aren't the smallest member;
+    communities above the size on the deepest level that one more split divides."""
+    e = undirected_edges(tg.edges(spark, d))
+    m = Scratch(spark, "found").write(detect_communities(e), "membership")
+    n = m.agg(F.count_distinct("node").alias("nodes"), (F.count_distinct("node") * (F.max("level") + 1) - F.count("*")).alias("uncovered"))
+    above = m.select((F.col("level") + 1).alias("level"), "node", F.col("community").alias("over"))
+    nested = m.filter("level > 0").join(above, ["level", "node"], "left").agg(F.count_if(~F.col("parent").eqNullSafe(F.col("over"))).alias("unnested"))
+    named = m.groupBy("level", "community").agg(F.min("node").alias("least")).agg(F.count_if(F.col("least") != F.col("community")).alias("misnamed"))
+    left = m.filter(F.col("level") == m.agg(F.max("level")).first()[0]).join(too_large(m), "community").select("node", "community")
+    a, b = left.select(F.col("node").alias("a"), F.col("community").alias("x")), left.select(F.col("node").alias("b"), F.col("community").alias("y"))
+    again = detect_communities(e.join(b, "b").join(a, "a").filter("x = y").select("a", "b", "w")).filter("level = 0")
+    divided = left.join(again.select("node", F.col("community").alias("part")), "node").groupBy("community").agg(F.count_distinct("part").alias("n")).agg(F.count_if(F.col("n") > 1).alias("divisible"))
+    one = F.lit(True)  # tables of one row each
+    return n.join(nested, one).join(named, one).join(divided, one).select(*(F.col(c).cast("long") for c in ("nodes", "uncovered", "unnested", "misnamed", "divisible")))
+
+
 _LAB = "m AS (SELECT id AS node, label||(length(id) % 2) AS community FROM nodes), u AS (SELECT least(\"from\", \"to\") AS a, greatest(\"from\", \"to\") AS b, min(score) AS w FROM edges GROUP BY 1, 2)"
 
 

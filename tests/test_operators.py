@@ -74,18 +74,6 @@ def test_model_output(spark):
     assert [x.name for x in e.collect()] == ["a"] and [(x.head, x.tail) for x in r.collect()] == [("a", "a")] and [x.chunk_id for x in bad.collect()] == [2]
 
 
-def test_communities(spark):
-    """Cliques joined in a ring: levels nest and cover, and modularity is that of the cliques at least."""
-    rows = [(f"n{c}_{i}", f"n{c}_{j}", 1.0) for c in range(6) for i in range(5) for j in range(i)] + [(f"n{c}_0", f"n{(c + 1) % 6}_0", 0.1) for c in range(6)]
-    e = g.undirected_edges(spark.createDataFrame(rows, "from string, to string, score double"))
-    out = g.detect_communities(e, max_size=4, max_levels=2).collect()
-    top = {r.node: r.community for r in out if r.level == 0}
-    assert len(top) == 30 and len(set(top.values())) <= 6
-    assert all(top[r.node] == r.parent for r in out if r.level == 1)
-    q = g.modularity(e, spark.createDataFrame(list(top.items()), "node string, community string")).first()[0]
-    assert q > 0.4
-
-
 def test_extract_graph_query_reads_whole_documents(spark, tmp_path):
     """A relation after the first 8,000 characters of a document is found."""
     registry.load()
@@ -94,21 +82,6 @@ def test_extract_graph_query_reads_whole_documents(spark, tmp_path):
     assert {r.type for r in registry.QUERIES["T8_extract_graph"](spark, str(tmp_path)).collect()} == {"NEAR"}
 
 
-def test_communities_query_nests_and_covers(spark):
-    """The registered query: level 0 covers all nodes, and every larger community that can be split is, within its parent."""
-    registry.load()
-    d = "/root/testdata/sf0.001"
-    out = registry.QUERIES["G3_communities"](spark, d).collect()
-    at = {k: {r.node: r for r in out if r.level == k} for k in {r.level for r in out}}
-    ends = {x for r in g.undirected_edges(tg.edges(spark, d)).select("a", "b").collect() for x in r}
-    assert sum(map(len, at.values())) == len(out) and set(at[0]) == ends and 1 in at
-    assert all(r.parent is None for r in at[0].values())
-    for k in sorted(at)[1:]:
-        assert all(r.parent == at[k - 1][n].community for n, r in at[k].items())
-        sizes = collections.Counter(r.community for r in at[k - 1].values())
-        assert {n for n, r in at[k - 1].items() if sizes[r.community] > 10} == set(at[k])
-
-
 def test_rrf_and_mmr(spark):
     hits = spark.createDataFrame([(1, "e", "a", "x", 1, 0.5), (1, "e", "a", "y", 1, 0.9), (1, "e", "b", "x", 2, 0.4)], "query_id int, kind string, item_id string, list string, rank int, score double")
     out = {r.item_id: r.score for r in se.rrf(hits).collect()}
