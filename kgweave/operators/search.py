@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -54,12 +55,36 @@ def truncate_and_normalize(vector: Column | str, dims: int) -> Column:
     return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(x.cast("double")))
 
 
-def _pack_vectors(batches):
-    """Rows (item_id, v) -> one row per Arrow batch."""
-    for b in batches:
-        if b.num_rows:
-            cells = [pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column("item_id")), pa.ListArray.from_arrays(pa.array([0, len(b.column("v").flatten())], pa.int32()), b.column("v").flatten())]
-            yield pa.RecordBatch.from_arrays([pa.array([hash(b.column("item_id")[0].as_py()) % 1024], pa.int32()), *cells], ["part", "ids", "v"])
+#: Rows of a packed block at most.
+PACK_ROWS = 8192
+
+
+def _pack(parts: int | None, by: str | None):
+    """Rows (item_id, v) -> a row for each Arrow batch, or for each run of equal ``by`` in it."""
+
+    def run(batches):
+        for b in batches:
+            cuts = [0] if by is None else np.flatnonzero(np.r_[True, np.diff(b.column(by).to_numpy()) != 0]).tolist()
+            for a, z in zip(cuts, [*cuts[1:], b.num_rows]):
+                for at in range(a, z, PACK_ROWS):
+                    part = b.slice(at, min(PACK_ROWS, z - at))
+                    ids, v = part.column("item_id"), part.column("v")
+                    cell = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                    key = part.column(by)[0].as_py() if by else zlib.crc32(str(ids[0].as_py()).encode()) % parts
+                    yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), cell(ids), cell(v)], [by or "part", "ids", "v"])
+
+    return run
+
+
+def pack_rows(rows: DataFrame, parts: int | None = None, by: str | None = None) -> DataFrame:
+    """``(part | by, ids, v)``: consecutive rows ``(item_id, v)`` of a task as blocks, dealt to ``parts`` or each of one value of the int column ``by``."""
+    t = {c: rows.schema[c].dataType.simpleString() for c in ("item_id", "v")}
+    return rows.mapInArrow(_pack(parts, by), f"{by or 'part'} int, ids array<{t['item_id']}>, v array<{t['v']}>")
+
+
+def unique_queries(queries: DataFrame) -> DataFrame:
+    """``(query_id, q)`` with one row for an id: the smallest of its vectors."""
+    return queries.filter("q is not null").groupBy("query_id").agg(F.min("q").alias("q"))
 
 
 def _score_blocks(k: int, metric: str):
@@ -69,7 +94,7 @@ def _score_blocks(k: int, metric: str):
         for b in batches:
             for i in range(b.num_rows):
                 ids, asked = b.column("ids")[i].values, b.column("asked")[i].values
-                v = b.column("v")[i].values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+                v = b.column("v")[i].values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
                 q = asked.field("q").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(asked), -1)
                 if metric == "euclid":
                     s = -np.sqrt(np.maximum(0, ((q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * q @ v.T)))
@@ -90,20 +115,18 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: s
     """``(query_id, item_id, score, rank)`` for ``queries(query_id, q)`` over ``vectors(item_id, v)``, all of them.
 
     ``cosine`` and ``dot`` score by the product, ``euclid`` by the negative distance. Queries are gathered in blocks of about
-    ``QUERY_BLOCK`` and every block meets every block of candidates in a task, which keeps the ``k`` best of its rows for each query, so
-    the last shuffle carries no more than that. Spark broadcasts the blocks of queries only while they are below its threshold. A
-    query id that comes again counts once. ``where`` filters candidates before they are scored.
+    ``QUERY_BLOCK``; every block goes to each part of the candidates, and a task keeps the ``k`` best of its rows for each query, so the last shuffle
+    carries no more than that. Candidates are dealt once, or stay where they are while Spark can broadcast the queries. Of a
+    query id that comes again the smallest vector counts. ``where`` filters candidates before they are scored.
     """
     rows = vectors if where is None else vectors.filter(where)
-    t = {c: f.schema[c].dataType.simpleString() for f, c in ((queries, "query_id"), (vectors, "item_id"), (vectors, "v"))}
-    packed = rows.filter("v is not null").select("item_id", "v").mapInArrow(_pack_vectors, f"part int, ids array<{t['item_id']}>, v {t['v']}")
-    n = queries.count()
-    blocks, parts = max(1, -(-n // QUERY_BLOCK)), 32
-    asked = queries.filter("q is not null").groupBy("query_id").agg(F.first("q").alias("q"))
-    asked = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))
+    t = {c: f.schema[c].dataType.simpleString() for f, c in ((queries, "query_id"), (vectors, "item_id"))}
+    parts = 2 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = pack_rows(rows.filter("v is not null").select("item_id", "v"), parts)
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    asked = unique_queries(queries).groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    packed = packed.withColumn("part", F.col("part") % parts).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    out = packed.join(asked, ["block", "part"]).select("ids", "v", "asked").mapInArrow(_score_blocks(k, metric), f"query_id {t['query_id']}, item_id {t['item_id']}, score double")
+    out = packed.join(asked, "part").select("ids", "v", "asked").mapInArrow(_score_blocks(k, metric), f"query_id {t['query_id']}, item_id {t['item_id']}, score double")
     out = out if threshold is None else out.filter(F.col("score") >= threshold)
     return top_k(out, k)
 
@@ -383,23 +406,6 @@ def quantize_binary(vectors: DataFrame, v: str = "v") -> DataFrame:
     return vectors.withColumn("bits", F.transform(F.sequence(F.lit(0), size - 1), word))
 
 
-def quantized_search(queries: DataFrame, vectors: DataFrame, k: int = 10, kind: str = "int8", oversample: int = 8) -> DataFrame:
-    """``vector_search`` by cosine over codes: ``oversample`` times ``k`` candidates of each query by its own code (``int8`` components, or signs
-    for ``binary``), then rescored on the original vectors. What the codes rank too low is missed; the tests measure the recall."""
-    if kind == "int8":
-        coded = quantize_int8(vectors).select("item_id", F.transform("code", lambda x: x.cast("float")).alias("v"))
-    elif kind == "binary":
-        # 64 signs a long; the product of two sign vectors is the size less twice the Hamming distance
-        signs = F.flatten(F.transform("bits", lambda b: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(F.getbit(b, i) == 1, 1.0).otherwise(-1.0).cast("float"))))
-        coded = quantize_binary(vectors).select("item_id", F.slice(signs, F.lit(1), F.size("v")).alias("v"))
-    else:
-        raise ValueError(f"no code named {kind}")
-    rough = vector_search(queries, coded, k * oversample, "cosine").select("query_id", "item_id")
-    exact = rough.join(vectors.select("item_id", "v"), "item_id").join(queries.select("query_id", "q").dropDuplicates(["query_id"]), "query_id")
-    norm = F.sqrt(_dot("q", "q")) * F.sqrt(_dot("v", "v"))
-    return top_k(exact.select("query_id", "item_id", (_dot("q", "v") / F.greatest(norm, F.lit(1e-30))).alias("score")), k)
-
-
 def retrieve_vectors(table: DataFrame, ids: DataFrame, key: str = "item_id") -> DataFrame:
     """The rows of the ids, once each; unknown ids give none."""
     return table.join(ids.select(key).distinct(), key, "left_semi")
@@ -577,16 +583,6 @@ def v13(spark, d):
     return q.select("item_id", F.size("code").alias("n"), near.alias("close"))
 
 
-@query("V13_int8_search", f"SELECT q.vec_id AS query_id, c.vec_id AS item_id, round({_COS}, 6) AS score FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, c.vec_id) <= 10")
-def v13_search(spark, d):
-    return quantized_search(_emb_queries(spark, d), _emb(spark, d)).select("query_id", "item_id", F.round("score", 6).alias("score"))
-
-
-@query("V13_binary_search")
-def v13_binary_search(spark, d):
-    return quantized_search(_emb_queries(spark, d), _emb(spark, d), kind="binary", oversample=32).select("query_id", "item_id", "score")
-
-
 @query("V13_binary", "SELECT vec_id AS item_id, CAST(list_sum(list_transform(embedding, lambda x, i: CASE WHEN x > 0 AND i <= 32 THEN (1::BIGINT << (i - 1)) ELSE 0 END)) AS BIGINT) AS low FROM embeddings")
 def v13_binary(spark, d):
     return quantize_binary(_emb(spark, d)).select("item_id", F.col("bits")[0].bitwiseAND(F.lit((1 << 32) - 1)).alias("low"))

@@ -282,18 +282,6 @@ def test_recipes(spark, name):
         assert "entity3" in [r.item_id for r in by[1]]
 
 
-@pytest.mark.parametrize(("kind", "oversample"), [("int8", 4), ("binary", 32)])
-def test_quantized_search_recall(spark, kind, oversample):
-    rng = np.random.default_rng(5)
-    v = rng.normal(size=(1500, 96))
-    items = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "item_id long, v array<float>")
-    asked = spark.createDataFrame([(i, (v[i] + rng.normal(size=96) * 0.3).tolist()) for i in range(0, 1500, 50)], "query_id long, q array<float>")
-    pairs = lambda df: {(r.query_id, r.item_id) for r in df.collect()}
-    want = pairs(se.vector_search(asked, items, 10))
-    got = pairs(se.quantized_search(asked, items, 10, kind, oversample))
-    assert len(got) == len(want) == 300 and len(got & want) >= 0.9 * len(want)
-
-
 def test_lsh_recall(spark):
     rng = random.Random(6)
     names = ["".join(rng.choices("abcdef", k=14)) for _ in range(150)]
