@@ -51,12 +51,20 @@ def scope_communities(membership: DataFrame, node_ids: DataFrame) -> DataFrame:
 
 def bfs_expand(seeds: DataFrame, edges: DataFrame, names: DataFrame, depth: int = 2, limit: int = 50, where=None) -> DataFrame:
     """Nodes within ``depth`` directed hops of each query's seeds ``(query_id, node_id)``: least hop, up to three types of
-    last edges, score 1 / (1 + hop); the first ``limit`` by (hop, name, id). Seeds aren't marked as reached."""
+    last edges, score 1 / (1 + hop); the first ``limit`` by (hop, name, id). Seeds aren't marked as reached.
+
+    A query that has ``limit`` nodes before the last hop leaves that hop out, as its nodes would be listed after these; with ``where`` (a condition on
+    the rows, types included) all hops are made. ``query_id`` may be a struct.
+    """
     work = Scratch(edges.sparkSession, "bfs")
     e = work.write(edges.select(F.col("from").alias("node_id"), F.col("to").alias("next"), "type"), "edges")
+    known = names.select(F.col("id").alias("node_id"), "name", F.col("label").alias("node_label"))
     front = seeds.select("query_id", "node_id").distinct()
     sources, reached = front.withColumn("hop", F.lit(0)), None
     for hop in range(1, depth + 1):
+        if hop == depth > 1 and where is None:
+            full = reached.join(known.select("node_id"), "node_id", "left_semi").groupBy("query_id").count().filter(F.col("count") >= limit)
+            front = front.join(full.select("query_id"), "query_id", "left_anti")
         step = front.join(e, "node_id").select("query_id", F.col("next").alias("node_id")).distinct()
         new = step if reached is None else step.join(reached, ["query_id", "node_id"], "left_anti")
         new = work.write(new.withColumn("hop", F.lit(hop)), f"hop{hop}")
@@ -64,12 +72,16 @@ def bfs_expand(seeds: DataFrame, edges: DataFrame, names: DataFrame, depth: int
         front = new.select("query_id", "node_id")
         if hop < depth:
             sources = sources.unionByName(new)
-    starts = sources.groupBy("query_id", "node_id").agg(F.min("hop").alias("h"))
-    last = starts.join(e, "node_id").select("query_id", F.col("next").alias("node_id"), "type").distinct().groupBy("query_id", "node_id").agg(F.slice(F.array_sort(F.collect_set("type")), 1, 3).alias("types"))
-    rows = reached.join(last, ["query_id", "node_id"]).join(names.select(F.col("id").alias("node_id"), "name", F.col("label").alias("node_label")), "node_id")
-    rows = rows if where is None else rows.filter(where)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("hop", "name", "node_id"))
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= limit).withColumn("score", 1 / (1 + F.col("hop")))
+    listed = lambda rows: rows.withColumn("rank", rank).filter(F.col("rank") <= limit)
+    rows = reached.join(known, "node_id")
+    rows = rows if where is not None else work.write(listed(rows), "listed")
+    starts = sources.groupBy("query_id", "node_id").agg(F.min("hop").alias("h"))
+    last = starts.join(e, "node_id").select("query_id", F.col("next").alias("node_id"), "type").join(rows.select("query_id", "node_id"), ["query_id", "node_id"], "left_semi")
+    last = last.distinct().groupBy("query_id", "node_id").agg(F.slice(F.array_sort(F.collect_set("type")), 1, 3).alias("types"))
+    rows = rows.join(last, ["query_id", "node_id"])
+    rows = rows if where is None else listed(rows.filter(where))
+    return rows.withColumn("score", 1 / (1 + F.col("hop")))
 
 
 def neighbors(ids: DataFrame, edges: DataFrame, depth: int = 1, limit: int = 1000) -> DataFrame:
@@ -89,26 +101,36 @@ def neighbors(ids: DataFrame, edges: DataFrame, depth: int = 1, limit: int = 100
     return reached.filter("hop > 0").withColumn("_r", rank).filter(F.col("_r") <= limit).drop("_r")
 
 
+def _fitting(lines: DataFrame, by: list[str], order: list[str], line: str, max_chars: int) -> DataFrame:
+    """Lines that start within the first ``max_chars`` characters of their group's text, so that gathering a group is bounded."""
+    before = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    return lines.withColumn("_at", F.coalesce(F.sum(F.length(line) + 1).over(before), F.lit(0))).filter(F.col("_at") < max_chars).drop("_at")
+
+
 def community_context(membership: DataFrame, nodes: DataFrame, edges: DataFrame, summaries: DataFrame | None = None, max_chars: int = 8000) -> DataFrame:
     """``(community, context)``: members, the relations inside, and summaries of its own children ``(parent, community, summary)``
-    cut to 500 characters, in the order of ids; cut to ``max_chars``. Members and lines of a community are gathered in a row,
-    so communities should be small (see ``detect_communities``)."""
+    cut to 500 characters, in the order of ids; cut to ``max_chars``. Of a community of any size only the lines that can be in the context are gathered."""
     m = membership.select("node", "community")
     named = m.join(nodes.select(F.col("id").alias("node"), "name", "label"), "node")
-    line = F.concat(F.lit("- "), "name", F.lit(" ["), "label", F.lit("]"))
-    ents = named.groupBy("community").agg(F.count("*").alias("n_e"), F.array_sort(F.collect_list(F.struct("node", line.alias("l")))).alias("ents"))
+    gathered = lambda rows, order: F.transform(F.array_sort(F.collect_list(F.struct(*order, "l"))), lambda x: x["l"])
+    lines = named.select("community", "node", F.concat(F.lit("- "), "name", F.lit(" ["), "label", F.lit("]")).alias("l"))
+    ents = _fitting(lines, ["community"], ["node"], "l", max_chars).groupBy("community").agg(gathered(lines, ["node"]).alias("ents"))
+    ents = named.groupBy("community").agg(F.count("*").alias("n_e")).join(ents, "community")
     a, b = (named.select(F.col("node").alias(end), "community", F.col("name").alias(f"{end}_name")) for end in ("from", "to"))
     inside = edges.join(a, "from").join(b, ["community", "to"])
     fact = F.concat(F.lit("- "), "from_name", F.lit(" --"), "type", F.lit("--> "), "to_name")
-    facts = inside.groupBy("community").agg(F.count("*").alias("n_r"), F.array_sort(F.collect_list(F.struct("from", "to", "type", fact.alias("l")))).alias("facts"))
-    out = ents.join(facts, "community", "left")
-    text = lambda c: F.transform(c, lambda x: x["l"])
-    parts = [F.array(F.concat(F.lit("Entities ("), F.col("n_e"), F.lit("):"))), text("ents"), F.array(F.concat(F.lit("\nRelationships ("), F.coalesce("n_r", F.lit(0)), F.lit("):"))), F.coalesce(text("facts"), F.array().cast("array<string>"))]
+    order = ["from", "to", "type", "l"]
+    lines = inside.select("community", "from", "to", "type", fact.alias("l"))
+    facts = _fitting(lines, ["community"], order, "l", max_chars).groupBy("community").agg(gathered(lines, order[:3]).alias("facts"))
+    out = ents.join(inside.groupBy("community").agg(F.count("*").alias("n_r")).join(facts, "community"), "community", "left")
+    none = F.array().cast("array<string>")
+    parts = [F.array(F.concat(F.lit("Entities ("), F.col("n_e"), F.lit("):"))), F.col("ents"), F.array(F.concat(F.lit("\nRelationships ("), F.coalesce("n_r", F.lit(0)), F.lit("):"))), F.coalesce("facts", none)]
     if summaries is not None:
         child = F.concat(F.lit("["), "community", F.lit("]: "), F.substring("summary", 1, 500))
-        subs = summaries.groupBy(F.col("parent").alias("community")).agg(F.array_sort(F.collect_list(child)).alias("subs"))
+        lines = summaries.select(F.col("parent").alias("community"), child.alias("l"))
+        subs = _fitting(lines, ["community"], ["l"], "l", max_chars).groupBy("community").agg(F.array_sort(F.collect_list("l")).alias("subs"))
         out = out.join(subs, "community", "left")
-        parts.append(F.when(F.size("subs") > 0, F.concat(F.array(F.lit("\nSub-community summaries:")), "subs")).otherwise(F.array().cast("array<string>")))
+        parts.append(F.when(F.size("subs") > 0, F.concat(F.array(F.lit("\nSub-community summaries:")), "subs")).otherwise(none))
     return out.select("community", F.substring(F.array_join(F.flatten(F.array(*parts)), "\n"), 1, max_chars).alias("context"))
 
 
@@ -131,6 +153,41 @@ def community_reports(membership: DataFrame, nodes: DataFrame, edges: DataFrame,
     return out.select("community", "title", F.coalesce("summary", F.lit("")).alias("summary"), rating.alias("rating"), "n_members")
 
 
+REPORT = ["title", "summary", "rating"]
+
+
+def report_tree(membership: DataFrame, nodes: DataFrame, edges: DataFrame, outputs: DataFrame | None = None, max_chars: int = 8000, top: int = 3) -> DataFrame:
+    """``(level, community, parent, title, summary, rating, n_members, context)`` for each community of each level of ``membership(level, node, community,
+    parent)``, the deepest level first, so that a community's context holds the summaries of its own children.
+
+    A report is that of ``community_reports``, or the row of ``outputs(level, community, title, summary, rating)``, a table of a model's answers; of
+    several rows for a community the first in the order of all columns counts, and a null field keeps the extracted one. A
+    community that went on unchanged to the next level (its only child) is not its own child.
+    """
+    work = Scratch(membership.sparkSession, "reports")
+    given = None
+    if outputs is not None:
+        given = outputs.groupBy("level", "community").agg(F.min(F.struct(*REPORT)).alias("given"))
+    out, children = None, None
+    levels = [r.level for r in membership.select("level").distinct().orderBy(F.desc("level")).collect()]  # a row a level
+    for level in levels:
+        own = membership.filter(F.col("level") == level)
+        made = community_reports(own, nodes, edges, top)
+        if given is not None:
+            made = made.join(given.filter(F.col("level") == level).drop("level"), "community", "left").select("community", *(F.coalesce(f"given.{c}", c).alias(c) for c in REPORT), "n_members")
+        context = community_context(own, nodes, edges, children, max_chars)
+        parents = own.groupBy("community").agg(F.min("parent").alias("parent"))
+        made = made.join(context, "community").join(parents, "community").select(F.lit(level).alias("level"), "community", "parent", *REPORT, "n_members", "context")
+        made = work.write(made, f"level{level}")
+        several = made.groupBy("parent").count().filter("count > 1").select("parent")
+        children = made.join(several, "parent", "left_semi").select("parent", "community", "summary")
+        out = made if out is None else out.unionByName(made)
+    if out is None:
+        kind = membership.schema["community"].dataType.simpleString()
+        return membership.sparkSession.createDataFrame([], f"level int, community {kind}, parent {kind}, title string, summary string, rating double, n_members long, context string")
+    return out
+
+
 def finalize_graph(membership: DataFrame, reports: DataFrame, path: str) -> None:
     """Replace the community tables under ``path``."""
     membership.write.mode("overwrite").parquet(f"{path}/communities")
@@ -234,6 +291,37 @@ def g10(spark, d):
     return community_reports(m, tg.nodes(spark, d), tg.edges(spark, d))
 
 
+def _two_levels(spark, d) -> DataFrame:
+    """Regions of nations and customers, and below them the nations."""
+    one = lambda t, p, k, n: tg.table(spark, d, t).select(F.concat(F.lit(p), F.col(k)).alias("node"), F.col(n).alias("n"))
+    m = one("customer", "CUS:", "c_custkey", "c_nationkey").union(one("nation", "NAT:", "n_nationkey", "n_nationkey"))
+    m = m.join(tg.table(spark, d, "nation").select(F.col("n_nationkey").alias("n"), F.concat(F.lit("R"), "n_regionkey").alias("r")), "n").withColumn("n", F.concat(F.lit("N"), "n"))
+    none = F.lit(None).cast("string")
+    return m.select(F.lit(0).alias("level"), "node", F.col("r").alias("community"), none.alias("parent")).union(m.select(F.lit(1), "node", "n", "r"))
+
+
+_TREE = f"""WITH {tg.SQL}, p AS (SELECT 'CUS:'||c_custkey AS node, c_nationkey AS n FROM customer UNION ALL SELECT 'NAT:'||n_nationkey, n_nationkey FROM nation),
+ m AS (SELECT 1 AS level, node, 'N'||n AS community, 'R'||n_regionkey AS parent FROM p JOIN nation ON n = n_nationkey UNION ALL SELECT 0, node, 'R'||n_regionkey, NULL FROM p JOIN nation ON n = n_nationkey),
+ g AS (SELECT id, count(*) AS degree FROM (SELECT "from" AS id FROM edges UNION ALL SELECT "to" FROM edges) GROUP BY 1),
+ n AS (SELECT m.*, name, label, coalesce(degree, 0) AS degree, row_number() OVER (PARTITION BY level, community ORDER BY coalesce(degree, 0) DESC, node) AS r FROM m JOIN nodes ON nodes.id = node LEFT JOIN g ON g.id = node),
+ i AS (SELECT a.level, a.community, a.name AS x, e.type, b.name AS y, row_number() OVER (PARTITION BY a.level, a.community ORDER BY e."from", e."to", e.type) AS r FROM edges e JOIN n a ON a.node = e."from" JOIN n b ON b.node = e."to" AND a.level = b.level AND a.community = b.community),
+ f AS (SELECT level, community, count(*) AS n_in, string_agg(x||' '||type||' '||y, '; ' ORDER BY r) FILTER (r <= 3) AS summary, string_agg('- '||x||' --'||type||'--> '||y, chr(10) ORDER BY r) AS facts FROM i GROUP BY 1, 2),
+ t AS (SELECT level, community, any_value(parent) AS parent, string_agg(name, ', ' ORDER BY r) FILTER (r <= 3) AS title, count(*) AS n_members, sum(degree) AS ends, string_agg('- '||name||' ['||label||']', chr(10) ORDER BY node) AS ents FROM n GROUP BY 1, 2),
+ o AS (SELECT 'N'||n_nationkey AS community, 'About '||n_name AS title, 'model: '||n_name||' and its customers' AS summary FROM nation WHERE n_regionkey >= 2),
+ s AS (SELECT level, t.community, parent, coalesce(o.title, t.title) AS title, coalesce(o.summary, f.summary, '') AS summary, round(coalesce(20.0::DOUBLE * n_in / ends, 0), 4) AS rating, n_members, ents, coalesce(n_in, 0) AS n_in, facts FROM t LEFT JOIN f USING (level, community) LEFT JOIN o ON o.community = t.community),
+ c AS (SELECT parent, string_agg(l, chr(10) ORDER BY l) AS subs FROM (SELECT parent, '['||community||']: '||substr(summary, 1, 500) AS l FROM s WHERE level = 1 AND parent IN (SELECT parent FROM s WHERE level = 1 GROUP BY 1 HAVING count(*) > 1)) GROUP BY 1)
+ SELECT level, community, s.parent, title, summary, rating, n_members, sha256(substr('Entities ('||n_members||'):'||chr(10)||ents||chr(10)||chr(10)||'Relationships ('||n_in||'):'||coalesce(chr(10)||facts, '')||coalesce(chr(10)||chr(10)||'Sub-community summaries:'||chr(10)||subs, ''), 1, 1000000)) AS context FROM s LEFT JOIN c ON c.parent = s.community AND s.level = 0"""
+
+
+@query("G10_report_tree", _TREE)
+def g10_tree(spark, d):
+    """Two levels; a model's table gives title and summary of the nations of some regions, which their regions' contexts then hold."""
+    nation = tg.table(spark, d, "nation").filter("n_regionkey >= 2")
+    given = nation.select(F.lit(1).alias("level"), F.concat(F.lit("N"), "n_nationkey").alias("community"), F.concat(F.lit("About "), "n_name").alias("title"), F.concat(F.lit("model: "), "n_name", F.lit(" and its customers")).alias("summary"), F.lit(None).cast("double").alias("rating"))
+    out = report_tree(_two_levels(spark, d), tg.nodes(spark, d), tg.edges(spark, d), given, max_chars=1_000_000)
+    return out.withColumn("context", F.sha2("context", 256))
+
+
 @query("G11_finalize", "SELECT n_nationkey AS community, 1 + count(c_custkey) AS n_members FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
 def g11(spark, d):
     work = Scratch(spark, "final")

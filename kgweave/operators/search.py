@@ -16,13 +16,12 @@ from pyspark.sql import functions as F
 from kgweave.functions.text import normalize_text
 from kgweave.operators.graph import bfs_expand
 from kgweave.operators.graph_tables import keyset_page
+from kgweave.operators.text_index import bm25_top
 from kgweave.plans import testgraph as tg
 from kgweave.plans.registry import query
 from kgweave.plans.scratch import Scratch
 
 QUERY_BLOCK = 2048
-#: Terms of a query that are scored before its bound is known.
-FIRST_TERMS = 3
 
 
 def top_k(df: DataFrame, k: int, by: str = "query_id", tie: str = "item_id") -> DataFrame:
@@ -147,8 +146,7 @@ def _count_terms(batches):
 
 @dataclass
 class TextIndex:
-    """An inverted index: ``postings(item_id, term, tf, dl)`` and ``terms(term, df, idf, most)`` in the shared folder, and two numbers.
-    ``most`` bounds what an occurrence of the term can add to a score, for one occurrence in the query."""
+    """An inverted index: ``postings(item_id, term, tf, dl)`` and ``terms(term, df, idf)`` in the shared folder, and two numbers."""
 
     postings: DataFrame
     terms: DataFrame
@@ -176,11 +174,10 @@ def inverted_index(docs: DataFrame, key: str = "item_id", text: str = "text", k1
     postings = work.write(words.select("item_id", "w").mapInArrow(_count_terms, f"item_id {kind}, term string, tf long, dl long"), "postings")
     n, avgdl = words.agg(F.count("*"), F.avg(F.size("w"))).first()
     index = TextIndex(postings, postings, n or 0, avgdl or 0.0, k1, b, unicode)
-    df = postings.groupBy("term").agg(F.count("*").alias("df"), F.max(index.weight()).alias("most"))
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = work.write(df.withColumn("idf", F.log(F.lit(float(n or 0)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "frequencies")
     mean = idf.agg(F.avg("idf")).first()[0] or 0.0
-    idf = idf.withColumn("idf", F.when(F.col("idf") < 0, floor * mean).otherwise(F.col("idf")))
-    index.terms = idf.withColumn("most", F.col("most") * F.greatest("idf", F.lit(0.0)))
+    index.terms = idf.withColumn("idf", F.when(F.col("idf") < 0, floor * mean).otherwise(F.col("idf")))
     if keep:
         index.postings = postings.join(docs.select(F.col(key).alias("item_id"), *keep), "item_id")
     return index
@@ -196,38 +193,6 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float =
     return hits.groupBy("query_id", "item_id").agg(F.sum(F.col("qf") * F.col("idf") * index.weight()).alias("score"))
 
 
-def bm25_top(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, unicode: bool = False, digits: int = 9) -> DataFrame:
-    """``top_k`` of ``bm25_scores`` rounded to ``digits``, without scoring what cannot be among the ``k`` best.
-
-    A query's terms are ranked by the most they can add. Its few strongest are scored first, which gives a lower bound of its k-th score.
-    The weak terms whose bounds sum to less than that cannot lift a document by themselves, so candidates are read from the
-    postings of the other terms only; then each candidate's whole score is taken from its own postings.
-    """
-    work = Scratch(queries.sparkSession, "bm25")
-    index = inverted_index(docs, k1=k1, b=b, floor=floor, unicode=unicode)
-    bound = F.col("qf") * F.col("most")
-    strong = W.partitionBy("query_id").orderBy(F.desc("bound"), "term")
-    asked = index.asked(queries).withColumn("bound", bound).withColumn("place", F.row_number().over(strong))
-    # what a term and all weaker ones can add together
-    weak = strong.rowsBetween(W.currentRow, W.unboundedFollowing)
-    asked = work.write(asked.withColumn("rest", F.sum("bound").over(weak)), "asked")
-    score = F.sum(F.col("qf") * F.col("idf") * index.weight())
-    first = asked.filter(F.col("place") <= FIRST_TERMS).join(index.postings, "term").filter("idf >= 0").groupBy("query_id", "item_id").agg(score.alias("score"))
-    kth = top_k(first, k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("kth"))
-    kth = work.write(kth, "kth")
-    needed = asked.join(kth, "query_id", "left").filter(F.col("kth").isNull() | (F.col("rest") >= F.col("kth") - 10.0**-digits))
-    found = needed.select("query_id", "term", "qf", "idf", "bound", "rest", "kth").join(index.postings, "term")
-    # a candidate's score on the terms read, and the most that the terms not read can add
-    part = found.groupBy("query_id", "item_id").agg(score.alias("part"), F.first("kth").alias("kth"))
-    left = asked.groupBy("query_id").agg(F.max("rest").alias("all")).join(needed.groupBy("query_id").agg(F.sum("bound").alias("read")), "query_id").select("query_id", (F.col("all") - F.col("read")).alias("unread"))
-    part = part.join(left, "query_id").filter(F.col("kth").isNull() | (F.col("part") + F.col("unread") >= F.col("kth") - 10.0**-digits))
-    part = work.write(part.select("query_id", "item_id", "part"), "candidates")
-    other = asked.join(needed.select("query_id", "term"), ["query_id", "term"], "left_anti").select("query_id", "term", "qf", "idf")
-    mine = part.join(index.postings, "item_id").join(other, ["query_id", "term"]).groupBy("query_id", "item_id").agg(score.alias("more"))
-    whole = part.join(mine, ["query_id", "item_id"], "left").select("query_id", "item_id", F.round(F.col("part") + F.coalesce("more", F.lit(0.0)), digits).alias("score"))
-    return top_k(whole, k)
-
-
 def hybrid_search(dense: DataFrame, sparse: DataFrame, k: int = 10, alpha: float = 0.5, threshold: float | None = None) -> DataFrame:
     """Both legs scaled to 0..1 per query (min-max; a constant leg counts 1) and summed with weights ``alpha`` and ``1 - alpha``."""
 
@@ -315,18 +280,44 @@ def retrieve(queries: DataFrame, items: DataFrame, kind: str, k: int, threshold:
     return hybrid_search(dense, sparse, k, threshold=threshold).select("query_id", F.lit(kind).alias("kind"), "item_id", F.lit(kind).alias("list"), "rank", "score", F.lit("hybrid").alias("matched_on"))
 
 
-def search(queries: DataFrame, items: DataFrame, recipe: Recipe, graph: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """``(query_id, kind, item_id, score, rank)``: the recipe's legs, graph neighbours of entity hits after each leg's own hits, the recipe's
-    reranker, least score, limit. ``graph`` is (nodes, edges) for the recipes that expand."""
+@dataclass
+class SearchGraph:
+    """What expansion needs: ``nodes(id, name, label)``, ``edges(from, to, type)``, and for the legs whose items are no entities the entities they lead to: both ends of a
+    relation, those that a chunk mentions, the members of a community, each ``(item_id, entity_id)``."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    relation: DataFrame | None = None
+    chunk: DataFrame | None = None
+    community: DataFrame | None = None
+
+
+def expand_legs(legs: DataFrame, graph: SearchGraph, depth: int = 2, limit: int = 50) -> DataFrame:
+    """Graph neighbours of the hits ``legs(query_id, list, item_id, rank)``, for each query and leg by itself: one search from all seeds, at most ``limit`` entities a
+    leg, ranked after the leg's own hits. A leg without a table of entities has no seeds."""
+    seeds = legs.filter(F.col("list") == "entity").select("query_id", "list", F.col("item_id").alias("node_id"))
+    for name in ("relation", "chunk", "community"):
+        links = getattr(graph, name)
+        if links is not None:
+            own = legs.filter(F.col("list") == name).select("query_id", "list", "item_id")
+            seeds = seeds.unionByName(own.join(links.select("item_id", F.col("entity_id").alias("node_id")), "item_id").select("query_id", "list", "node_id"))
+    key = F.struct("query_id", "list").alias("query_id")
+    found = bfs_expand(seeds.select(key, "node_id"), graph.edges, graph.nodes, depth, limit)
+    found = found.select("query_id.query_id", "query_id.list", "node_id", "hop", "rank", "score")
+    after = legs.groupBy("query_id", "list").agg(F.max("rank").alias("_n"))
+    return found.join(after, ["query_id", "list"]).select("query_id", F.lit("entity").alias("kind"), F.col("node_id").alias("item_id"), "list", (F.col("_n") + F.col("rank")).alias("rank"), "score", F.concat(F.lit("hop_"), "hop").alias("matched_on"))
+
+
+def search(queries: DataFrame, items: DataFrame, recipe: Recipe, graph: SearchGraph | tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """``(query_id, kind, item_id, score, rank)``: the recipe's legs, graph neighbours of each leg's seeds after its own hits, the recipe's
+    reranker, least score, limit. ``graph`` serves the recipes that expand; (nodes, edges) alone expands entity hits."""
     legs = None
     for m in recipe.methods:
         leg = retrieve(queries, items, m, recipe.top[m])
-        if recipe.bfs and graph is not None and m == "entity":
-            found = bfs_expand(leg.select("query_id", F.col("item_id").alias("node_id")), graph[1], graph[0], recipe.bfs_depth)
-            after = leg.groupBy("query_id").agg(F.max("rank").alias("_n"))
-            more = found.join(after, "query_id").select("query_id", F.lit(m).alias("kind"), F.col("node_id").alias("item_id"), F.lit(m).alias("list"), (F.col("_n") + F.col("rank")).alias("rank"), "score", F.concat(F.lit("hop_"), "hop").alias("matched_on"))
-            leg = leg.unionByName(more)
         legs = leg if legs is None else legs.unionByName(leg)
+    if recipe.bfs and graph is not None:
+        legs = Scratch(queries.sparkSession, "legs").write(legs, "hits")
+        legs = legs.unionByName(expand_legs(legs, graph if isinstance(graph, SearchGraph) else SearchGraph(*graph), recipe.bfs_depth))
     keyed = legs.groupBy("query_id", "kind", "item_id").agg(F.max_by(F.struct("score", "matched_on"), F.struct("score", "matched_on")).alias("s")).select("query_id", "kind", "item_id", "s.*")
     texts = items.select("kind", "item_id", F.col("text").alias("_text"), "v")
     if recipe.reranker == "rrf":
@@ -363,7 +354,10 @@ SECTIONS = (("entity", "Entities"), ("relation", "Facts"), ("chunk", "Passages")
 
 def pack_context(hits: DataFrame, max_chars: int = 2500) -> DataFrame:
     """``hits(query_id, kind, rank, line)`` -> ``(query_id, context)``: per kind a heading and its lines, as many from the front as fit the budget; a
-    later section goes on with what is left, and no heading stands alone. ``hits`` should hold a bounded list per query."""
+    later section goes on with what is left, and no heading stands alone."""
+    # a line that starts beyond the budget of its own section never fits, so no list grows with its query
+    before = W.partitionBy("query_id", "kind").orderBy("rank", "line").rowsBetween(W.unboundedPreceding, -1)
+    hits = hits.withColumn("_at", F.coalesce(F.sum(F.length("line") + 3).over(before), F.lit(0))).filter(F.col("_at") <= max_chars)
     lists = hits.groupBy("query_id").agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("rank", "line")))), lambda x: F.concat(F.lit("- "), x["line"])).alias(k) for k, _ in SECTIONS])
     lists = lists.withColumn("_out", F.array().cast("array<string>")).withColumn("_n", F.lit(0))
 
@@ -547,18 +541,46 @@ def v9(spark, d):
     return search(q, items, RECIPES["hybrid_rrf"])
 
 
+def _search_graph(spark, d) -> SearchGraph:
+    """Ends of the relation items (a supplier and its nation), customers that documents mention (of the same number), suppliers of a nation."""
+    sup = _t(spark, d, "supplier").select(F.concat(F.lit("SUP:"), "s_suppkey").alias("s"), F.concat(F.lit("NAT:"), "s_nationkey").alias("n"))
+    docs = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("item_id"), F.concat(F.lit("CUS:"), F.col("doc_id") + 1).alias("entity_id"))
+    ends = sup.select(F.col("s").alias("item_id"), F.col("s").alias("entity_id")).union(sup.select("s", "n"))
+    return SearchGraph(tg.nodes(spark, d), tg.edges(spark, d), ends, docs, sup.select(F.col("n").alias("item_id"), F.col("s").alias("entity_id")))
+
+
 @query("V4_entity_bfs")
 def v4(spark, d):
     q, items = corpus_items(spark, d)
     return search(q, items, RECIPES["bfs_expand"], (tg.nodes(spark, d), tg.edges(spark, d)))
 
 
+@query("V9_search_expanded")
+def v9_expanded(spark, d):
+    """All four legs, each with the neighbours of its own seeds."""
+    q, items = corpus_items(spark, d)
+    return search(q, items, Recipe(ALL, "node_distance", True), _search_graph(spark, d))
+
+
+@query("V4_seeds_by_kind", f"""WITH {tg.SQL}, s AS (SELECT s_suppkey AS query_id, 'entity' AS list, 'SUP:'||s_suppkey AS node FROM supplier UNION SELECT s_suppkey, 'relation', 'SUP:'||s_suppkey FROM supplier UNION SELECT s_suppkey, 'relation', 'NAT:'||s_nationkey FROM supplier
+ UNION SELECT s_suppkey, 'chunk', 'CUS:'||(doc_id + 1) FROM supplier JOIN documents ON doc_id = s_suppkey UNION SELECT a.s_suppkey, 'community', 'SUP:'||b.s_suppkey FROM supplier a JOIN supplier b USING (s_nationkey)),
+ one AS (SELECT DISTINCT query_id, list, "to" AS n FROM s JOIN edges ON "from" = s.node), two AS (SELECT DISTINCT query_id, list, "to" AS n FROM one JOIN edges ON "from" = one.n),
+ r AS (SELECT query_id, list, n, min(h) AS hop FROM (SELECT *, 1 AS h FROM one UNION ALL SELECT *, 2 FROM two) GROUP BY 1, 2, 3)
+ SELECT query_id, list, n AS item_id, 'hop_'||hop AS matched_on, 1 + row_number() OVER (PARTITION BY query_id, list ORDER BY hop, name, n) AS rank, 1.0::DOUBLE / (1 + hop) AS score FROM r JOIN nodes ON nodes.id = n QUALIFY rank <= 51""")
+def v4_seeds(spark, d):
+    """Each supplier is a query with one hit a leg: itself, its relation to its nation, the document of its number, its nation's community."""
+    sup = _t(spark, d, "supplier").join(_t(spark, d, "documents").select("doc_id"), F.col("doc_id") == F.col("s_suppkey"), "left")
+    hit = lambda name, item: sup.select(F.col("s_suppkey").alias("query_id"), F.lit(name).alias("list"), item.cast("string").alias("item_id"), F.lit(1).alias("rank"))
+    own = F.concat(F.lit("SUP:"), "s_suppkey")
+    legs = hit("entity", own).union(hit("relation", own)).union(hit("chunk", F.col("doc_id"))).union(hit("community", F.concat(F.lit("NAT:"), "s_nationkey")))
+    return expand_legs(legs, _search_graph(spark, d)).drop("kind")
+
+
 @query("V10_federated", f"WITH {_BM}, h AS (SELECT query_id, source, item_id, score FROM bm JOIN documents ON doc_id = item_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY round(score, 9) DESC, item_id) AS r FROM h), z AS (SELECT query_id, source AS source_graph_id, item_id, round(1.0::DOUBLE / (60 + r), 9) AS score FROM r WHERE r <= 20) SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source_graph_id, item_id) <= 20")
 def v10(spark, d):
-    src = _t(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.col("source").alias("graph_id"))
-    h = _bm(spark, d).join(src, "item_id")
-    rank = F.row_number().over(W.partitionBy("query_id", "graph_id").orderBy(F.desc("score"), "item_id"))
-    h = h.withColumn("rank", rank).filter(F.col("rank") <= 20).withColumn("kind", F.lit("chunk"))
+    q = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.col("source").alias("graph_id"), "text")
+    h = bm25_top(q, docs, 20, group="graph_id").withColumn("kind", F.lit("chunk"))
     return federated_search(h, 20).select("query_id", "source_graph_id", "item_id", F.round("score", 9).alias("score"))
 
 
