@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgweave.functions.ids import content_key, duck_uuid5, identity_id, relation_id
+from kgweave.functions.text import normalize_text, singularize
 from kgweave.operators.chunks import CHUNKS_SQL, LEXICON_SQL, SCHEMA_SQL, TAGS_SQL, allowed_relations, embed, embed_missing, fixed_chunks, lexicon, propose_relations, tag_entities
+from kgweave.operators.components import connected_components
 from kgweave.operators.graph_tables import edges_to_relations, filter_valid_edges, nodes_to_entities
 from kgweave.operators.merge import merge_edges, merge_nodes
 from kgweave.plans import testgraph as tg
 from kgweave.plans.registry import query
 from kgweave.plans.scratch import Scratch
+from kgweave.streaming.merged import Runs, join_components
 
 
 def skip_done(items: DataFrame, ledger: DataFrame, extraction_key: str, key: str = "chunk_id", text: str | None = None) -> DataFrame:
@@ -104,6 +107,26 @@ class Tables:
         last = self.read("documents").groupBy("doc_id").agg(F.max("batch").alias("batch"))
         return self.read(name).join(last, ["doc_id", "batch"], "left_semi").drop("batch")
 
+    def one(self, name: str, batch: int) -> DataFrame:
+        """The rows of a batch, complete or not."""
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}/batch={batch}")
+
+    def entities(self) -> Runs:
+        """By name and label: largest score, number of chunks, vector of the name."""
+        return Runs(self.spark, f"{self.path}/merged-entities", "name string, label string, score double, vector array<float>, n_chunks long", ENTITY, ["score", "vector"], ["n_chunks"])
+
+    def relations(self) -> Runs:
+        return Runs(self.spark, f"{self.path}/merged-relations", ", ".join(f"{c} string" for c in FACT) + ", score double, n_chunks long", FACT, ["score"], ["n_chunks"])
+
+    def names(self) -> Runs:
+        """The partition of names into entities: ``node`` is a name or a normal form with its label, ``root`` stands for its part."""
+        return Runs(self.spark, f"{self.path}/merged-names", "node string, root string", ["node"], ["root"], [])
+
+    def fold(self) -> None:
+        done = self.batches()
+        for runs in (self.entities(), self.relations(), self.names()):
+            runs.fold(done)
+
     def write(self, name: str, df: DataFrame, batch: int) -> DataFrame:
         path = f"{self.path}/{name}/batch={batch}"
         df.write.mode("overwrite").parquet(path)
@@ -111,14 +134,36 @@ class Tables:
 
 
 MODEL = "hashed-64"
+ENTITY, FACT = ["name", "label"], ["head_name", "head_label", "type", "tail_name", "tail_label"]
+
+
+def _added(tables: Tables, source: str, keys: list[str], batch: int, again: DataFrame | None) -> DataFrame:
+    """What a batch adds to each key, and all that there is for the keys of documents that come again."""
+    totals = lambda df: df.groupBy(*keys).agg(F.max("score").alias("score"), F.count_distinct("chunk_id").alias("n_chunks"))
+    own = tables.one(source, batch)
+    added = totals(own).withColumn("absolute", F.lit(False))
+    if again is None:
+        return added
+    touched = tables.current(source).join(again, "doc_id", "left_semi").select(*keys).distinct()
+    rest = tables.current(source).join(again, "doc_id", "left_anti").unionByName(own)
+    now = touched.join(totals(rest.join(touched, keys, "left_semi")), keys, "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
+    return added.join(touched, keys, "left_anti").unionByName(now.withColumn("absolute", F.lit(True)))
 
 
-def ingest_batch(docs: DataFrame, tables: Tables, names: DataFrame, allowed: DataFrame, batch: int, chunker: Callable[[DataFrame], DataFrame] = fixed_chunks) -> None:
+def same_normal_form(names: DataFrame) -> DataFrame:
+    """Pairs of ``(name, label)`` with the name's normal singular: names that agree in it are one entity."""
+    node = lambda x: F.concat_ws("\0", x, "label")
+    form = singularize(normalize_text("name", True))
+    return names.select(node("name").alias("a"), node(F.concat(F.lit("\x01"), form)).alias("b"))
+
+
+def ingest_batch(docs: DataFrame, tables: Tables, names: DataFrame, allowed: DataFrame, batch: int, chunker: Callable[[DataFrame], DataFrame] = fixed_chunks, pairs: Callable[[DataFrame], DataFrame] = same_normal_form) -> None:
     """One batch of ``(doc_id, text)``: chunks, tagged entities, relations between them, and vectors of chunk texts and names that no earlier
-    batch has. Equal texts are tagged and embedded once. A batch that is complete is skipped, one that was lost half-way is
-    written anew, so running it again changes nothing."""
+    batch has; what it adds to entities and relations, and what ``pairs`` of its names that are new join in the partition of names. Equal texts are
+    tagged and embedded once. A batch that is complete is skipped, one that was lost half-way is written anew, so running it again
+    changes nothing. A document that comes again replaces what it said before; names stay joined."""
     if batch in tables.batches():
-        return
+        return tables.fold()  # if that was lost
     cache = tables.read("vectors").select("key", "vector")
     chunks = tables.write("chunks", chunker(docs), batch)
     found = extract_distinct(chunks.select("chunk_id", "text"), lambda c: tag_entities(c, names)).join(chunks.select("chunk_id", "doc_id"), "chunk_id")
@@ -126,22 +171,46 @@ def ingest_batch(docs: DataFrame, tables: Tables, names: DataFrame, allowed: Dat
     facts = propose_relations(mentions.select("chunk_id", "name", "label", "first"), allowed)
     tables.write("facts", facts.join(chunks.select("chunk_id", "doc_id"), "chunk_id").select("chunk_id", "doc_id", "head_name", "head_label", "type", "tail_name", "tail_label", "score"), batch)
     texts = chunks.select("text").union(mentions.select(F.col("name").alias("text"))).distinct()
-    tables.write("vectors", embed_missing(texts, cache, MODEL)[1], batch)
-    tables.write("documents", docs.select(F.col("doc_id").cast("string").alias("doc_id")).distinct(), batch)
+    fresh = tables.write("vectors", embed_missing(texts, cache, MODEL)[1], batch)
+    ids = docs.select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
+    again = tables.read("documents").select("doc_id").join(ids, "doc_id", "left_semi").distinct()
+    again = None if again.isEmpty() else again
+    vectors = fresh.select("key", "vector").union(cache).groupBy("key").agg(F.max("vector").alias("vector"))
+    added = _added(tables, "mentions", ENTITY, batch, again).withColumn("key", content_key("name", F.lit(MODEL))).join(vectors, "key", "left")
+    tables.entities().write(added.select(*ENTITY, "score", "vector", "n_chunks", "absolute"), 0, batch, batch)
+    tables.relations().write(_added(tables, "facts", FACT, batch, again), 0, batch, batch)
+    known = tables.names().current(tables.batches()).select("node", "root")
+    new = mentions.select(*ENTITY).distinct().withColumn("node", F.concat_ws("\0", *ENTITY)).join(known.select("node"), "node", "left_anti")
+    tables.names().write(join_components(known, pairs(new.select(*ENTITY)), connected_components).withColumn("absolute", F.lit(True)), 0, batch, batch)
+    tables.write("documents", ids, batch)
+    tables.fold()
 
 
 def ingested_graph(tables: Tables) -> tuple[DataFrame, DataFrame]:
     """What all batches add up to: entities ``(id, name, label, score, n_chunks, vector)``, one per name and label, and relations ``(id, head_id, tail_id, type, score,
-    n_chunks)``. The chunks of each stay in ``mentions`` and ``facts``; no row gathers them, so a name in every chunk is one small row."""
-    key = content_key("name", F.lit(MODEL))
-    e = tables.current("mentions").groupBy("name", "label").agg(F.max("score").alias("score"), F.count_distinct("chunk_id").alias("n_chunks")).withColumn("key", key)
-    vectors = tables.read("vectors").groupBy("key").agg(F.first("vector").alias("vector"))
-    entities = e.join(vectors, "key", "left").select(identity_id("Entity", "name", "label").alias("id"), "name", "label", "score", "n_chunks", "vector")
+    n_chunks)``, merged from a few runs for any number of batches. The chunks of each stay in ``mentions`` and ``facts``; no row gathers them, so a name
+    in every chunk is one small row."""
+    done = tables.batches()
+    e = tables.entities().current(done).filter("n_chunks > 0")
+    entities = e.select(identity_id("Entity", "name", "label").alias("id"), "name", "label", "score", "n_chunks", "vector")
     ends = [identity_id("Entity", f"{x}_name", f"{x}_label").alias(f"{x}_id") for x in ("head", "tail")]
-    r = tables.current("facts").select("chunk_id", *ends, "type", "score").groupBy("head_id", "tail_id", "type").agg(F.max("score").alias("score"), F.count_distinct("chunk_id").alias("n_chunks"))
+    r = tables.relations().current(done).filter("n_chunks > 0").select(*ends, "type", "score", "n_chunks").groupBy("head_id", "tail_id", "type").agg(F.max("score").alias("score"), F.sum("n_chunks").alias("n_chunks"))
     return entities, r.select(relation_id("head_id", "type", "tail_id").alias("id"), "head_id", "tail_id", "type", "score", "n_chunks")
 
 
+def resolved_graph(tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """``ingested_graph`` with the names of a part as one entity, under its name of most chunks (the smallest of several): entities ``(id, name, label, score, mentions,
+    n_names)``, where a chunk counts for each of the names it has, and relations between them."""
+    entities, relations = ingested_graph(tables)
+    roots = tables.names().current(tables.batches()).select("node", "root")
+    e = entities.withColumn("node", F.concat_ws("\0", "name", "label")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    one = e.groupBy("root").agg(F.min(F.struct((-F.col("n_chunks")).alias("n"), "name", "label", "id")).alias("b"), F.max("score").alias("score"), F.sum("n_chunks").alias("mentions"), F.count("*").alias("n_names"))
+    to = e.select(F.col("id").alias("old"), "root").join(one.select("root", F.col("b.id").alias("new")), "root").select("old", "new")
+    end = lambda df, c: df.join(to, F.col(c) == F.col("old")).drop(c, "old").withColumnRenamed("new", c)
+    r = end(end(relations, "head_id"), "tail_id").groupBy("head_id", "tail_id", "type").agg(F.max("score").alias("score"), F.sum("n_chunks").alias("n_chunks"))
+    return one.select("b.id", "b.name", "b.label", "score", "mentions", "n_names"), r.select(relation_id("head_id", "type", "tail_id").alias("id"), "head_id", "tail_id", "type", "score", "n_chunks")
+
+
 def ingest_stream(spark: SparkSession, source: str, schema, target: str, names: DataFrame, allowed: DataFrame, files_per_batch: int = 1) -> Tables:
     """Ingest every file of the folder ``source`` not yet ingested, then stop; progress is kept below ``target``, so a lost run goes on where it was."""
     tables = Tables(spark, f"{target}/tables")
@@ -183,6 +252,12 @@ def i1_relations(spark, d):
     return relations.join(end("head"), "head_id").join(end("tail"), "tail_id").select("head", "type", "tail", F.round("score", 9).alias("score"), "n_chunks")
 
 
+@query("I1_resolved", _SEEN + " SELECT t.name, t.label, max(lex.score)::DOUBLE AS score, count(DISTINCT chunk_id) AS mentions, 1 AS n_names FROM t JOIN lex USING (name, label) GROUP BY 1, 2")
+def i1_resolved(spark, d):
+    """The stream's graph after resolution; no two of the lexicon's names have one normal form."""
+    return resolved_graph(_stream(spark, d))[0].drop("id")
+
+
 @query("I1_ingest_batch", _ENTITY_SQL)
 def i1_batch(spark, d):
     tables = Tables(spark, Scratch(spark, "ingest").path)
