@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from kgweave.llm.tokens import WORD_BPE, WordEncoder, slices
 from kgweave.plans.scratch import Scratch
@@ -203,10 +204,18 @@ def deal(coded: DataFrame, shards: int, cost: int, work: Scratch) -> DataFrame:
     # the large signatures are fewer than two a shard; as a written table, Spark knows their size and broadcasts them only below its threshold
     large = coded.groupBy("sig").agg(F.sum(weight).alias("w")).filter(F.col("w") > cost / 2).select("sig", F.ceil(F.col("w") * 2 / cost).alias("m"))
     large = work.write(large.coalesce(8), "large")
-    # equal rows without an id are told apart by their place alone
-    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("doc_id", "ids"))
-    salt = F.coalesce(F.pmod("_own", "m"), F.lit(0))
-    return coded.withColumn("_own", own).join(large, "sig", "left").select(F.pmod(F.xxhash64("sig", salt), F.lit(shards)).alias("shard"), "sig", "doc_id", "ids")
+    # rows of a large signature are dealt by their hash and their number among their equals, counted in slices as one row may be most of them
+    rows = coded.withColumn("_own", F.xxhash64("doc_id", "ids")).withColumn("_slice", F.spark_partition_id()).join(large, "sig", "left")
+    big, small = rows.filter("m is not null"), rows.filter("m is null")
+    per = big.groupBy("_own", "_slice").agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(W.partitionBy("_own").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    per = work.write(per.select("_own", "_slice", before.alias("_before")).filter("_before > 0"), "equals")
+    place = F.row_number().over(W.partitionBy("_own", "_slice").orderBy("sig"))
+    number = F.coalesce("_before", F.lit(0)) + F.col("_place")
+    big = big.withColumn("_place", place).join(per, ["_own", "_slice"], "left").withColumn("_salt", F.pmod(F.xxhash64("_own", number), "m"))
+    shard = lambda salt: F.pmod(F.xxhash64("sig", salt), F.lit(shards)).alias("shard")
+    cols = ["sig", "doc_id", "ids"]
+    return big.select(shard(F.col("_salt")), *cols).union(small.select(shard(F.lit(0).cast("long")), *cols))
 
 
 def pack_documents(
@@ -217,7 +226,7 @@ def pack_documents(
     A document is its tokens and then ``eos`` (a null text is empty: ``eos`` alone). Every row of ``docs`` is packed
     once, equal rows too; null ids are kept. Each id is in exactly one piece; a sequence's pieces lie side
     by side from offset 0. Sequences hold ``window`` ids, or a power of two below that. Other columns are ignored.
-    Runs agree, but for large groups of rows with equal text and no id, which no rule could tell apart.
+    Runs agree: rows that are equal in id and text are exchangeable, and are dealt by their number among their equals.
     """
     spark = docs.sparkSession
     work = Scratch(spark, "packing")

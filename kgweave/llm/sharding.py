@@ -92,7 +92,7 @@ def write_shards(sharded: DataFrame, path: str) -> DataFrame:
 
 
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
     out = write_shards(shard_rows(docs, "doc_id"), Scratch(spark, "written").path)
     # bytes and CRC of the UTF-8 text; a null text counts as empty
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8

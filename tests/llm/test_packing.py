@@ -1,7 +1,9 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
+import pytest
 
 from kgweave.llm import packing as p
 
@@ -66,6 +68,13 @@ def test_many_shards_do_not_depend_on_partitions(spark, whole):  # noqa: F811
     assert len(shards) > 5
     copies = {r.sequence_id >> 32 for r in one if r.doc_id and r.doc_id >= 1000}
     assert len(copies) > 1
-    # rows without an id lie beside documents that have one, so those alone are compared without them
-    clean = df.filter("doc_id is not null")
-    assert ordered(pack(clean.repartition(7, "text"))) == ordered(pack(clean.repartition(1)))
+    assert ordered(pack(df.repartition(7, "text"))) == ordered(one)
+
+
+@pytest.mark.parametrize("doc_id", [5, None])
+def test_a_row_repeated_very_often_fills_no_shard(spark, whole, doc_id):  # noqa: F811
+    rows = [(doc_id, "the same words again")] * 20_000 + [(100 + i, f"text {i}") for i in range(200)]
+    out = p.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), shard_tokens=4000).collect()
+    check_packing(out, rows, whole)
+    sizes = Counter(r.sequence_id >> 32 for r in out)
+    assert max(sizes.values()) <= 3 * sorted(sizes.values())[len(sizes) // 2]
