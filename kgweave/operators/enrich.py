@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgweave.plans import testgraph as tg
@@ -46,13 +47,25 @@ def hydrate(hits: DataFrame, rows: DataFrame, key: str = "item_id") -> DataFrame
     return hits.join(rows.withColumnRenamed("id", key), key, "left")
 
 
-def chunk_context(ids: DataFrame, chunks: DataFrame, mentions: DataFrame, relations: DataFrame, membership: DataFrame) -> DataFrame:
-    """For chunks ``ids(chunk_id)``: entities mentioned, relations out of them, next and previous chunk, communities.
-    Each side is gathered before the joins, so sides don't multiply."""
-    of = mentions.join(ids, "chunk_id", "left_semi")
-    ents = of.groupBy("chunk_id").agg(F.array_sort(F.collect_set("entity_id")).alias("entities"))
-    rels = of.join(relations, of.entity_id == relations.head_id).groupBy("chunk_id").agg(F.array_sort(F.collect_set("id")).alias("relations"))
-    comms = of.join(membership.withColumnRenamed("node_id", "entity_id"), "entity_id").groupBy("chunk_id").agg(F.array_sort(F.collect_set("community_id")).alias("communities"))
+def _gathered(pairs: DataFrame, links: DataFrame, key: str, value: str, name: str, limit: int | None) -> DataFrame:
+    """``(chunk_id, name)``: the sorted ``value`` of ``links(key, value)`` over the entities of each chunk. They are gathered once for each entity and then joined, so
+    an entity in many chunks isn't multiplied by what it is linked with; with ``limit`` no array holds more than an entity's and a chunk's first."""
+    links = links.select(F.col(key).alias("entity_id"), F.col(value).alias("_v")).filter("_v is not null").distinct()
+    if limit is not None:
+        links = links.withColumn("_r", F.row_number().over(W.partitionBy("entity_id").orderBy("_v"))).filter(F.col("_r") <= limit)
+    per = links.groupBy("entity_id").agg(F.collect_list("_v").alias("_all"))
+    out = F.array_sort(F.array_distinct(F.flatten(F.collect_list("_all"))))
+    return pairs.join(per, "entity_id").groupBy("chunk_id").agg((out if limit is None else F.slice(out, 1, limit)).alias(name))
+
+
+def chunk_context(ids: DataFrame, chunks: DataFrame, mentions: DataFrame, relations: DataFrame, membership: DataFrame, limit: int | None = None) -> DataFrame:
+    """For chunks ``ids(chunk_id)``: entities mentioned, relations out of them, next and previous chunk, communities; of each list the
+    first ``limit``, else all. Each side is gathered before the joins, so sides don't multiply."""
+    of = mentions.join(ids, "chunk_id", "left_semi").select("chunk_id", "entity_id").distinct()
+    own = of if limit is None else of.withColumn("_r", F.row_number().over(W.partitionBy("chunk_id").orderBy("entity_id"))).filter(F.col("_r") <= limit)
+    ents = own.groupBy("chunk_id").agg(F.array_sort(F.collect_set("entity_id")).alias("entities"))
+    rels = _gathered(of, relations, "head_id", "id", "relations", limit)
+    comms = _gathered(of, membership, "node_id", "community_id", "communities", limit)
     out = ids.join(chunks.select("chunk_id", "next_id", "prev_id"), "chunk_id", "left")
     for side in (ents, rels, comms):
         out = out.join(side, "chunk_id", "left")
@@ -129,8 +142,6 @@ SELECT chunk_id, next_id, prev_id, (SELECT string_agg(DISTINCT entity_id, ';' OR
  (SELECT string_agg(DISTINCT r.id, ';' ORDER BY r.id) FROM m JOIN r ON head_id = entity_id WHERE m.chunk_id = c.chunk_id) AS relations,
  (SELECT string_agg(DISTINCT community_id, ';' ORDER BY community_id) FROM m JOIN b ON node_id = entity_id WHERE m.chunk_id = c.chunk_id) AS communities FROM c""")
 def e8(spark, d):
-    from pyspark.sql import Window as W
-
     items, w = _t(spark, d, "lineitem"), W.partitionBy("o_custkey").orderBy("o_orderkey")
     part = F.concat(F.lit("PRT:"), F.col("l_partkey"))
     chunks = _t(spark, d, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.lead("o_orderkey").over(w).alias("next_id"), F.lag("o_orderkey").over(w).alias("prev_id"))

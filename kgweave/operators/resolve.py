@@ -222,6 +222,14 @@ def r3(spark, d):
     return balanced_clusters(_vectors(spark, d), 128)
 
 
+@query("R3_invariants", "SELECT count(*) AS items, count(DISTINCT vec_id) AS ids, 0 AS too_large, 0 AS leftovers_too_large FROM embeddings")
+def r3_invariants(spark, d):
+    """Items and ids, each once; clusters above the size; rests that would have made a cluster."""
+    out = Scratch(spark, "balanced").write(balanced_clusters(_vectors(spark, d), 128), "clusters")
+    sizes = out.groupBy("cluster").agg(F.count("*").alias("n")).agg(F.count_if((F.col("cluster") >= 0) & (F.col("n") > 128)).alias("too_large"), F.count_if((F.col("cluster") < 0) & (F.col("n") >= 128)).alias("leftovers_too_large"))
+    return out.agg(F.count("*").alias("items"), F.count_distinct("idx").alias("ids")).join(sizes, F.lit(True))
+
+
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 

@@ -25,6 +25,7 @@ ACTIONS = (
     "NEGATIVE_MODULATOR", "OPENER", "OTHER", "PARTIAL_AGONIST", "POSITIVE_ALLOSTERIC_MODULATOR", "POSITIVE_MODULATOR", "PROTEOLYTIC_ENZYME", "RELEASING_AGENT",
     "RNAI_INHIBITOR", "STABILISER", "SUBSTRATE", "VACCINE_ANTIGEN",
 )
+#: Labels of namespaces, roles of target files and kinds of use (fixed values).
 NAMESPACES = {"biological_process": "BPO", "cellular_component": "CCO", "molecular_function": "MFN"}
 ROLES = {"carrier": "CARRIER", "enzyme": "ENZYME", "target": "TARGET", "transporter": "TRANSPORTER"}
 USES = {"indication": "INDICATION", "contraindication": "CONTRAINDICATION", "off-label use": "OFF_LABEL_USE"}

@@ -207,9 +207,9 @@ def s11(spark, d):
     return _flat(co.pubmed_case_reports(raw), "journal", "publication_date")
 
 
-@query("S12_statpearls", f"SELECT 'statpearls' AS source, 'article-'||doc_id||'_'||(doc_id % 9) AS external_id, CASE WHEN doc_id % 2 = 0 THEN 'T -- A -- '||lang ELSE 'T' END AS title, length(text) AS n, doc_id::VARCHAR AS article_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'Unknown' END AS section_type, (doc_id % 9)::VARCHAR AS chunk_index FROM documents WHERE text <> '' AND lang IS NOT NULL")
+@query("S12_statpearls", f"SELECT 'statpearls' AS source, 'article-'||doc_id||'_'||(doc_id % 9) AS external_id, CASE WHEN doc_id % 2 = 0 THEN 'T -- A -- '||coalesce(lang, 'none') ELSE 'T' END AS title, length(text) AS n, doc_id::VARCHAR AS article_id, CASE WHEN doc_id % 2 = 0 THEN coalesce(lang, 'none') ELSE 'Unknown' END AS section_type, (doc_id % 9)::VARCHAR AS chunk_index FROM documents WHERE text <> ''")
 def s12(spark, d):
-    raw = _t(spark, d, "documents").filter("lang is not null").selectExpr("'article-' || doc_id || '_' || (doc_id % 9) AS id", "CASE WHEN doc_id % 2 = 0 THEN 'T -- A -- ' || lang ELSE 'T' END AS title", "text AS content")
+    raw = _t(spark, d, "documents").selectExpr("'article-' || doc_id || '_' || (doc_id % 9) AS id", "CASE WHEN doc_id % 2 = 0 THEN 'T -- A -- ' || coalesce(lang, 'none') ELSE 'T' END AS title", "text AS content")
     return _flat(co.statpearls(raw), "article_id", "section_type", "chunk_index")
 
 

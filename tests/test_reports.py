@@ -59,3 +59,19 @@ def test_lists_longer_than_the_budget(spark):
     hits = spark.createDataFrame([(1, k, i, f"line {k} {i}") for k in ("entity", "chunk") for i in range(3000)], "query_id long, kind string, rank int, line string")
     (r,) = se.pack_context(hits, 100).collect()
     assert r.context == "## Entities\n" + "\n".join(f"- line entity {i}" for i in range(5)) and len(r.context) <= 100
+
+
+def test_chunk_context_of_hubs(spark):
+    """An entity that every chunk mentions, with many relations: lists are whole, or their first by id."""
+    from kgweave.operators import enrich as en
+
+    ids = spark.range(40).selectExpr("id AS chunk_id")
+    chunks = ids.selectExpr("chunk_id", "chunk_id + 1 AS next_id", "chunk_id - 1 AS prev_id")
+    mentions = ids.selectExpr("chunk_id", "'hub' AS entity_id").union(ids.selectExpr("chunk_id", "'e' || chunk_id")).union(ids.selectExpr("chunk_id", "'hub'"))
+    relations = spark.range(500).selectExpr("'hub' AS head_id", "format_string('r%03d', id) AS id").union(spark.createDataFrame([("e3", "a"), ("e3", "r001")], "head_id string, id string"))
+    member = spark.createDataFrame([("hub", "c1"), ("e3", "c0")], "node_id string, community_id string")
+    every = {r.chunk_id: r for r in en.chunk_context(ids, chunks, mentions, relations, member).collect()}
+    hub = [f"r{i:03}" for i in range(500)]
+    assert every[0].relations == hub and every[3].relations == ["a", *hub] and every[3].communities == ["c0", "c1"] and every[3].entities == ["e3", "hub"]
+    few = {r.chunk_id: r for r in en.chunk_context(ids, chunks, mentions, relations, member, limit=2).collect()}
+    assert few[3].relations == ["a", "r000"] and few[5].relations == ["r000", "r001"] and few[3].entities == ["e3", "hub"] and len(few) == 40
