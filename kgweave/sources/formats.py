@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kgweave.sources.archives import read_pg_dump_table, read_zip_csv  # noqa: F401
+
 OBO = "http://purl.obolibrary.org/obo/"
 NAMESPACE = "http://www.geneontology.org/formats/oboInOwl#hasOBONamespace"
 _VAL = "struct<val:string>"
@@ -65,36 +63,6 @@ def read_drug_interactions_xml(spark: SparkSession, path: str) -> DataFrame:
     return one_per(p.select(F.least("a", "b").alias("head"), F.greatest("a", "b").alias("tail"), "description"), "head", "tail")
 
 
-def read_zip_csv(spark: SparkSession, path: str, member: str, columns: list[str]) -> DataFrame:
-    """A CSV member of one or many zip files, read in parallel over the files; ``columns`` as strings."""
-
-    def run(frames):
-        for f in frames:
-            for content in f["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(member) as m:
-                    for part in pd.read_csv(m, dtype=str, usecols=columns, chunksize=50_000, keep_default_na=False, na_values=[""]):
-                        yield part[columns].astype(object).where(part[columns].notna(), None)
-
-    raw = spark.read.format("binaryFile").load(path).select("content")
-    return raw.mapInPandas(run, ", ".join(f"`{c}` string" for c in columns))
-
-
-def read_pg_dump_table(spark: SparkSession, path: str, table: str, columns: list[str]) -> DataFrame:
-    """Rows of one COPY block of a PostgreSQL dump. ``columns`` names those wanted; the block's header gives their places.
-
-    Lines keep the order of the file (a compressed dump is one split; of a plain one keep the split above its size)."""
-    lines = spark.read.option("wholetext", False).text(path).select("value", F.monotonically_increasing_id().alias("n"), F.input_file_name().alias("f"))
-    head = rf"^COPY (?:\w+\.)?{table} \(([^)]*)\) FROM stdin;"
-    # marks are few: the headers of this table and all block ends
-    marks = lines.filter(F.col("value").rlike(head) | (F.col("value") == "\\."))
-    block = marks.withColumn("end", F.lead("n").over(W.partitionBy("f").orderBy("n"))).filter(F.col("value").rlike(head)).select("f", F.col("n").alias("a"), "end", F.transform(F.split(F.regexp_extract("value", head, 1), ","), lambda c: F.trim(c)).alias("names"))
-    rows = lines.join(block, "f").filter((F.col("n") > F.col("a")) & (F.col("n") < F.col("end"))).select("names", F.split("value", "\t").alias("v"))
-    cell = lambda c: F.get("v", F.array_position("names", F.lit(c)).cast("int") - 1)
-    # backslash escapes; a doubled backslash is set aside first
-    plain = lambda x: F.replace(F.replace(F.replace(F.replace(F.replace(x, F.lit("\\\\"), F.lit("\0")), F.lit("\\t"), F.lit("\t")), F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")), F.lit("\0"), F.lit("\\"))
-    return rows.select(*[F.when(cell(c) == "\\N", None).otherwise(plain(cell(c))).alias(c) for c in columns])
-
-
 def read_csv(spark: SparkSession, path: str, sep: str = ",", comment: str | None = None, names: list[str] | None = None) -> DataFrame:
     r = spark.read.option("sep", sep).option("header", names is None).option("quote", '"').option("escape", '"')
     df = (r.option("comment", comment) if comment else r).csv(path)
