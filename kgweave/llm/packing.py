@@ -204,18 +204,21 @@ def deal(coded: DataFrame, shards: int, cost: int, work: Scratch) -> DataFrame:
     # the large signatures are fewer than two a shard; as a written table, Spark knows their size and broadcasts them only below its threshold
     large = coded.groupBy("sig").agg(F.sum(weight).alias("w")).filter(F.col("w") > cost / 2).select("sig", F.ceil(F.col("w") * 2 / cost).alias("m"))
     large = work.write(large.coalesce(8), "large")
-    # rows of a large signature are dealt by their hash and their number among their equals, counted in slices as one row may be most of them
-    rows = coded.withColumn("_own", F.xxhash64("doc_id", "ids")).withColumn("_slice", F.spark_partition_id()).join(large, "sig", "left")
-    big, small = rows.filter("m is not null"), rows.filter("m is null")
-    per = big.groupBy("_own", "_slice").agg(F.count("*").alias("c"))
+    # rows of a large signature are dealt by their hash; equal rows that cost more than half a shard, fewer than two a shard again, by their
+    # number among their equals too, counted in slices as one row may be most of them
+    rows = coded.withColumn("_own", F.xxhash64("doc_id", "ids")).withColumn("_slice", F.spark_partition_id())
+    hot = rows.groupBy("_own").agg(F.sum(weight).alias("w")).filter(F.col("w") > cost / 2).select("_own", F.lit(True).alias("_hot"))
+    hot = work.write(hot.coalesce(8), "hot")
+    rows = rows.join(large, "sig", "left").join(hot, "_own", "left")
+    twins, rest = rows.filter("_hot"), rows.filter("_hot is null")
+    per = twins.groupBy("_own", "_slice").agg(F.count("*").alias("c"))
     before = F.coalesce(F.sum("c").over(W.partitionBy("_own").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    per = work.write(per.select("_own", "_slice", before.alias("_before")).filter("_before > 0"), "equals")
+    per = work.write(per.select("_own", "_slice", before.alias("_before")), "equals")
     place = F.row_number().over(W.partitionBy("_own", "_slice").orderBy("sig"))
-    number = F.coalesce("_before", F.lit(0)) + F.col("_place")
-    big = big.withColumn("_place", place).join(per, ["_own", "_slice"], "left").withColumn("_salt", F.pmod(F.xxhash64("_own", number), "m"))
-    shard = lambda salt: F.pmod(F.xxhash64("sig", salt), F.lit(shards)).alias("shard")
+    twins = twins.withColumn("_place", place).join(per, ["_own", "_slice"])
+    shard = lambda salt: F.pmod(F.xxhash64("sig", F.coalesce(salt, F.lit(0))), F.lit(shards)).alias("shard")
     cols = ["sig", "doc_id", "ids"]
-    return big.select(shard(F.col("_salt")), *cols).union(small.select(shard(F.lit(0).cast("long")), *cols))
+    return twins.select(shard(F.pmod(F.xxhash64("_own", F.col("_before") + F.col("_place")), "m")), *cols).union(rest.select(shard(F.pmod("_own", "m")), *cols))
 
 
 def pack_documents(
