@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.feature import HashingTF, MinHashLSH
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kgweave.functions.ids import relation_id
 from kgweave.functions.text import normalize_text, singularize
+from kgweave.operators import clusters
 from kgweave.operators.chunks import embed
 from kgweave.operators.components import connected_components
 from kgweave.operators.search import bm25_scores
@@ -18,7 +17,7 @@ from kgweave.plans import testgraph as tg
 from kgweave.plans.registry import query
 from kgweave.plans.scratch import Scratch
 
-GROUP_CLUSTERS, CODE_BITS = 64, 12
+GROUP_CLUSTERS = 64  # of a group of items that one task holds
 ACCEPT = 3.0  # of the registered query
 
 
@@ -70,69 +69,13 @@ def dedupe_near(aliases: DataFrame, threshold: float = 0.95, exact: bool = True)
     return rows.groupBy("alias").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("members")))).alias("members"))
 
 
-def _axes(dims: int, bits: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).normal(size=(dims, bits))
-
-
-def _cluster_group(size: int, max_iter: int, seed: int):
-    """Items of a group ``(grp, idx, v)`` -> ``(idx, cluster)``: k-means, then the greedy assignment under the capacity."""
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("idx").reset_index(drop=True)
-        x, group, n = np.stack(f["v"].to_numpy()).astype(np.float64), int(f["grp"].iat[0]), len(f)
-        k = max(1, n // size)
-        centre = x[np.sort(np.random.default_rng(seed + group).choice(n, k, replace=False))]
-        near = lambda c: (c * c).sum(1)[None, :] - 2 * x @ c.T
-        label = None
-        for _ in range(max_iter):
-            new = near(centre).argmin(1)
-            if label is not None and (new == label).all():
-                break
-            label, count = new, np.bincount(new, minlength=k)
-            sums = np.stack([np.bincount(new, x[:, j], k) for j in range(x.shape[1])], 1)
-            centre = np.where(count[:, None] > 0, sums / np.maximum(1, count)[:, None], centre)
-        order, room, out = np.argsort(near(centre), 1, kind="stable"), np.full(k, size), np.full(n, -1)
-        for turn in range(k):
-            left = np.flatnonzero(out < 0)
-            if not len(left):
-                break
-            want = order[left, turn]
-            by = np.argsort(want, kind="stable")
-            place = np.arange(len(by)) - np.searchsorted(want[by], want[by])
-            got = by[place < room[want[by]]]
-            out[left[got]] = want[got]
-            room -= np.bincount(want[got], minlength=k)
-        return pd.DataFrame({"idx": f["idx"], "cluster": np.where(out < 0, -1 - group, group * (2 * GROUP_CLUSTERS) + out)})
-
-    return run
-
-
 def balanced_clusters(items: DataFrame, size: int = 128, max_iter: int = 20, seed: int = 1) -> DataFrame:
-    """``(idx, cluster)`` for ``items(idx, v)``: k-means with n // size clusters, then each item, in the order of its index, goes to its
-    nearest cluster with room; those that find none share a cluster of their own, which has a negative name and less than ``size`` items.
+    """``(idx, cluster)`` for ``items(idx, v)``: n // size clusters by k-means, at least one; in order of rank, then of index, each item goes to
+    its nearest cluster with room; those that find none, less than ``size``, share a cluster of their own, which has a negative name.
 
-    This runs in groups of about ``GROUP_CLUSTERS * size`` items; few items are one group. Groups are runs of an order by random
-    projection codes, so items of a group are alike, and items of one code are dealt over the groups it covers by a hash: no
-    group grows with the data or with a hot code. The table of codes is bounded by ``2 ** CODE_BITS`` rows.
+    Room is counted over all items and centres are met across the borders of groups (``clusters.balanced``).
     """
-    rows = items.select("idx", F.col("v").cast("array<double>").alias("v"))
-
-    @F.pandas_udf("int")
-    def code(v: pd.Series) -> pd.Series:
-        x = np.stack(v.to_numpy())
-        return pd.Series(((x @ _axes(x.shape[1], CODE_BITS, seed) > 0) @ (1 << np.arange(CODE_BITS)[::-1])).astype(np.int32))
-
-    work = Scratch(items.sparkSession, "clusters")
-    coded = work.write(rows.withColumn("code", code("v")), "coded")
-    counts = coded.groupBy("code").agg(F.count("*").alias("m"))
-    before = F.coalesce(F.sum("m").over(W.orderBy("code").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    counts = work.write(counts.withColumn("before", before), "counts")
-    place = F.col("before") + F.pmod(F.xxhash64("idx"), F.col("m"))
-    n = counts.agg(F.sum("m")).first()[0] or 0
-    groups = max(1, -(-n // (GROUP_CLUSTERS * size)))
-    grouped = coded.join(F.broadcast(counts), "code").select(F.floor(place * groups / max(1, n)).cast("int").alias("grp"), "idx", "v")
-    kind = items.schema["idx"].dataType.simpleString()
-    return grouped.groupBy("grp").applyInPandas(_cluster_group(size, max_iter, seed), f"idx {kind}, cluster int")
+    return clusters.balanced(items, size, GROUP_CLUSTERS, max_iter, seed)
 
 
 def resolve_candidates(items: DataFrame, k: int = 16, w_text: float = 0.5, w_vector: float = 0.5) -> DataFrame:
