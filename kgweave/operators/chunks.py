@@ -157,11 +157,14 @@ def flatten_model_output(responses: DataFrame, labels: list[str], types: list[st
     return e, rel, bad
 
 
-def extract_graph(chunks: DataFrame, lexicon: DataFrame, allowed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tag, propose, merge per chunk, link the ends: entities and relations of all chunks."""
+def extract_graph(chunks: DataFrame, lexicon: DataFrame, allowed: DataFrame, others: list[tuple[DataFrame, DataFrame]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Tag, propose, merge per chunk, link the ends: entities and relations of all chunks. ``others`` are raw entities and relations of
+    further extractors (``models.extract_with``), which are merged with those of the lexicon."""
     tagged = tag_entities(chunks, lexicon)
     ents = tagged.select("chunk_id", F.col("first").alias("ord"), F.lit("lexicon").alias("extractor"), "name", "label", "score")
     rels = propose_relations(tagged, allowed).select("chunk_id", "ord", F.lit("lexicon").alias("extractor"), "head_name", "tail_name", "type", "score")
+    for e, r in others or []:
+        ents, rels = ents.unionByName(e), rels.unionByName(r)
     ents, rels = normalize_extractions(ents, combine_extractions(rels, ["chunk_id", "head_name", "tail_name", "type"]), unicode=False)
     nodes = ents.select(identity_id("Entity", "name", "label").alias("id"), "name", "label").distinct()
     return nodes, link_endpoints(nodes, rels, unicode=False)

@@ -29,4 +29,4 @@ def load() -> None:
         importlib.import_module(f"kgweave.{name}")
 
 
-MODULES = ("operators.graph_tables", "operators.merge", "operators.enrich", "operators.chunks", "operators.graph", "operators.search", "operators.vector_index", "operators.resolve", "operators.evaluation", "sources.corpora", "sources.benchmarks", "sources.derived", "sources.derived_samples", "streaming.ingest", "functions.queries")
+MODULES = ("operators.graph_tables", "operators.merge", "operators.enrich", "operators.chunks", "operators.models", "operators.graph", "operators.search", "operators.vector_index", "operators.resolve", "operators.evaluation", "sources.corpora", "sources.benchmarks", "sources.derived", "sources.derived_samples", "streaming.ingest", "functions.queries")
