@@ -16,7 +16,8 @@ this range of words occurs again, the same symbol occurs again. These are the co
 
 Steps 2 and 3 run on groups of documents dealt by a hash of the id. Keys are packed into byte strings, many to a
 row, and cut to what a bucket needs; a key that repeats within a batch of documents leaves the batch once. So
-neither a text held by a third of all documents nor a very common passage makes a large row or task.
+neither a text held by a third of all documents nor a very common passage makes a large row or task. All that is
+dealt is compressed before: texts in blocks of a group, keys in ascending order as differences, by planes of bytes.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,7 @@ from kgweave.plans.scratch import Scratch
 
 WINDOW, ROUNDS, LONGEST = 13, 3, 6
 GROUP_BYTES, LEAST_GROUPS, BATCH_WORDS = 8 << 20, 128, 400_000
+SLICE_BYTES, HELD_BYTES, BLOCK_BYTES = BATCH_WORDS * 6, 32 << 20, 256 << 10  # of text: looked at, sorted into blocks, in a block
 U = np.uint64
 B1, B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd multipliers, fixed values
 LAST = (1 << 63) - 1  # stands for a null id: after all others
@@ -136,26 +139,87 @@ class Batch:
         return self.ranges(at, at + self.window), (Ranges(mix(self.h + U(7)), B2)(at, at + self.window) >> U(32)).astype(np.uint32)
 
 
-def _texts(batches, size: int = BATCH_WORDS * 6):
+def _slices(b, size: int):
+    """Rows of a batch in slices of about ``size`` bytes of text, one row at least."""
+    lengths = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).cumsum()
+    at = 0
+    while at < b.num_rows:
+        to = max(at + 1, int(np.searchsorted(lengths, (lengths[at - 1] if at else 0) + size, "right")))
+        yield b.slice(at, to - at)
+        at = to
+
+
+def _texts(batches, size: int = SLICE_BYTES):
     """Rows of the batches in slices of about ``size`` bytes of text."""
     cache_of("substrings")
     for b in batches:
-        lengths = np.cumsum([len(x) if x is not None else 0 for x in b.column("text").to_pylist()]) if b.num_rows else []
-        at = 0
-        while at < b.num_rows:
-            base = lengths[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(lengths, base + size, "right")))
-            yield b.slice(at, to - at)
-            at = to
+        yield from _slices(b, size)
     trim()
 
 
-def _ids(b) -> np.ndarray:
-    return b.column("doc_id").fill_null(LAST).to_numpy(zero_copy_only=False)
+def _size(b: pa.RecordBatch) -> int:
+    return pc.sum(pc.binary_length(b.column("text"))).as_py() or 0
+
+
+def _join(batches: list) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
+def _shrink(raw) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _grow(blob: bytes) -> pa.Buffer:
+    return pa.decompress(memoryview(blob)[8:], int.from_bytes(blob[:8], "little"), "zstd")
+
+
+def _squeeze(first: np.ndarray, *others: np.ndarray) -> bytes:
+    """Columns of one length; the first ascends and is kept as differences, all by planes of bytes."""
+    cols = [np.diff(first, prepend=first.dtype.type(0)), *others]
+    return _shrink(b"".join(c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in cols)) if len(first) else b""
+
+
+def _spread(blobs: list[bytes], *forms: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """What ``_squeeze`` made of each blob: how many rows it has, and the columns of all."""
+    sizes = np.cumsum([0, *(np.dtype(f).itemsize for f in forms)])
+    count, parts = np.zeros(len(blobs), np.int64), [[np.zeros(0, f)] for f in forms]
+    for i, blob in enumerate(blobs):
+        if blob:
+            planes = np.frombuffer(_grow(blob), np.uint8).reshape(int(sizes[-1]), -1)
+            count[i] = planes.shape[1]
+            cols = [np.ascontiguousarray(planes[a:z].T).view(f)[:, 0] for f, a, z in zip(forms, sizes, sizes[1:])]
+            for p, c in zip(parts, [np.cumsum(cols[0], dtype=forms[0]), *cols[1:]]):
+                p.append(c)
+    return count, [np.concatenate(p) for p in parts]
+
+
+def _blocks(schema: pa.Schema):
+    """Documents -> (g, payload): texts of a group side by side, compressed."""
+
+    def blocks(held):
+        b = _join(held)
+        b = b.take(pa.array(np.argsort(b.column("g").to_numpy(), kind="stable")))
+        g, rows = b.column("g").to_numpy(), b.select(schema.names).cast(schema)
+        cut = _cuts(g)
+        out = [(g[a], _shrink(x.serialize())) for a, z in zip(cut, cut[1:]) for x in _slices(rows.slice(a, z - a), BLOCK_BYTES)]
+        return pa.RecordBatch.from_arrays([pa.array([h for h, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["g", "payload"])
+
+    def run(batches):
+        held, n = [], 0
+        for b in _texts(batches):
+            held.append(b)
+            n += _size(b)
+            if n >= HELD_BYTES:
+                yield blocks(held)
+                held, n = [], 0
+        if held:
+            yield blocks(held)
+
+    return run
 
 
-def _bytes(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x).tobytes()
+def _ids(b) -> np.ndarray:
+    return b.column("doc_id").fill_null(LAST).to_numpy(zero_copy_only=False)
 
 
 def _cuts(sorted_: np.ndarray) -> np.ndarray:
@@ -167,15 +231,16 @@ def _bucket(key: np.ndarray, groups: int) -> np.ndarray:
 
 
 def _reveal(groups: int):
-    """Documents -> (bucket, keys, groups, known keys, known groups), packed."""
+    """Documents -> (bucket, keys and their groups, keys known to be shared of the group numbered as the bucket), packed."""
     none = groups  # of a key that several documents of the batch hold
 
     def run(batches):
         for b in _texts(batches):
             x = Batch(b.column("text").to_pylist())
             g = b.column("g").to_numpy()[x.key_doc].astype(np.uint32)
-            order = np.lexsort((x.key_doc, x.key))
-            key, doc, g = x.key[order], x.key_doc[order], g[order]
+            key = _pack(x.key, groups)
+            order = np.lexsort((x.key_doc, key))
+            key, doc, g = key[order], x.key_doc[order], g[order]
             new = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])] if len(key) else np.zeros(0, bool)
             key, g = key[new], g[new]
             cut = _cuts(key)
@@ -185,17 +250,17 @@ def _reveal(groups: int):
             head[cut[:-1]] = True
             key1, g1 = key[head], np.where(many[head], none, g[head]).astype(np.uint32)
             key2, g2 = key[many], g[many]
-            at1, at2 = _bucket(key1, groups).astype(np.int64), g2.astype(np.int64)
-            low1 = (key1 & U(0xFFFFFFFF)).astype(np.uint32)
+            at1, at2 = (key1 >> U(32)).astype(np.int64), g2.astype(np.int64)
+            low1 = key1.astype(np.uint32)
             o2 = np.lexsort((key2, at2))
-            key2, g2, at2 = key2[o2], g2[o2], at2[o2]
-            twice = np.r_[False, (key2[1:] == key2[:-1]) & (g2[1:] == g2[:-1])] if len(key2) else np.zeros(0, bool)
-            key2, g2, at2 = key2[~twice], g2[~twice], at2[~twice]
+            key2, at2 = key2[o2], at2[o2]
+            twice = np.r_[False, (key2[1:] == key2[:-1]) & (at2[1:] == at2[:-1])] if len(key2) else np.zeros(0, bool)
+            key2, at2 = key2[~twice], at2[~twice]
             # one row for each bucket that has keys or known groups
             has = np.union1d(at1, at2)
-            spans = [(np.searchsorted(at, has, "left"), np.searchsorted(at, has, "right")) for at in (at1, at1, at2)]
-            cols = [[_bytes(v[a:z]) for a, z in zip(*e)] for v, e in zip((low1, g1, _pack(key2, groups)), spans)]
-            yield pa.RecordBatch.from_arrays([pa.array(has.astype(np.int32)), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "keys", "gs", "known"])
+            spans = [zip(np.searchsorted(at, has, "left"), np.searchsorted(at, has, "right")) for at in (at1, at2)]
+            cols = [[_squeeze(low1[a:z], g1[a:z]) for a, z in spans[0]], [_squeeze(key2[a:z]) for a, z in spans[1]]]
+            yield pa.RecordBatch.from_arrays([pa.array(has.astype(np.int32)), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "keys", "known"])
 
     return run
 
@@ -224,44 +289,59 @@ def _share(groups: int):
     """Packed keys of a bucket -> (g, keys): for each group the shared keys it holds."""
 
     def run(batches):
-        for bucket, (keys, gs, known) in _by(batches, "bucket", ["keys", "gs", "known"]):
-            key, g = np.frombuffer(b"".join(keys), np.uint32), np.frombuffer(b"".join(gs), np.uint32)
+        for bucket, (keys, known) in _by(batches, "bucket", ["keys", "known"]):
+            _, (key, g) = _spread(keys, "<u4", "<u4")
             order = np.argsort(key, kind="stable")
             key, g = key[order], g[order]
             n = np.diff(_cuts(key))
             many = np.repeat(n > 1, n) & (g != groups)
             key, g = key[many].astype(U) | (U(bucket) << U(32)), g[many]
             # what batches knew of the group numbered as this bucket comes along
-            told = np.frombuffer(b"".join(known), U)
+            _, (told,) = _spread(known, "<u8")
             key, g = np.concatenate([key, told]), np.concatenate([g, np.full(len(told), bucket, np.uint32)])
             order = np.lexsort((key, g))
             key, g = key[order], g[order]
             cut = _cuts(g)
             if len(g):
-                yield pa.RecordBatch.from_arrays([pa.array(g[cut[:-1]].astype(np.int32)), pa.array([_bytes(np.unique(key[a:z])) for a, z in zip(cut, cut[1:])], pa.binary())], ["g", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array(g[cut[:-1]].astype(np.int32)), pa.array([_squeeze(np.unique(key[a:z])) for a, z in zip(cut, cut[1:])], pa.binary())], ["g", "payload"])
 
     return run
 
 
-def _with_payload(batches, form):
-    """Rows sorted by (g, kind): yields (g, the payloads of kind 0 as one sorted array of ``form``, a slice of texts)."""
-    g, got = None, None
-    for b in _texts(batches):
-        gs, kind = b.column("g").to_numpy(), b.column("kind").to_numpy()
-        cut = np.flatnonzero(np.r_[True, (gs[1:] != gs[:-1]) | (kind[1:] != kind[:-1]), True])
-        for a, z in zip(cut, cut[1:]):
-            if gs[a] != g:
-                g, got = gs[a], []
-            if kind[a] == 0:
-                got += b.column("payload").slice(a, z - a).to_pylist()
-            else:
-                if isinstance(got, list):
-                    got = np.unique(np.frombuffer(b"".join(got), form))
-                yield g, got, b.slice(a, z - a)
+TEXTS = pa.schema([("doc_id", pa.int64()), ("text", pa.binary())])
+WHOLE = TEXTS.append(pa.field("rest", pa.string()))
+FULL = "<u8", "<u4", "<i8", "u1"  # both hashes of a window, smallest document of the batch that holds it, whether others do
 
 
-LEAST = np.dtype([("key", "<u8"), ("low", "<u4"), ("doc", "<i8")])
-FULL = np.dtype([("key", "<u8"), ("low", "<u4"), ("doc", "<i8"), ("many", "u1")])
+def _with_payload(batches, forms: tuple, schema: pa.Schema, size: int):
+    """Rows sorted by (g, kind): yields (g, the columns of all payloads of kind 0 in order, a slice of texts)."""
+    cache_of("substrings")
+    g, told, cols, held, n = None, [], None, [], 0
+
+    def slices():
+        for t in _slices(_join(held), size) if held else ():
+            yield g, cols, t
+
+    for b in batches:
+        for h, kind, x in zip(*(b.column(c).to_pylist() for c in ("g", "kind", "payload"))):
+            if h != g:
+                yield from slices()
+                g, told, cols, held, n = h, [], None, [], 0
+            if kind == 0:
+                told.append(x)
+                continue
+            if cols is None:
+                _, cols = _spread(told, *forms)
+                order = np.lexsort(cols[::-1])
+                told, cols = [], [c[order] for c in cols]
+            block = pa.ipc.read_record_batch(_grow(x), schema)
+            if held and n + _size(block) > size:
+                yield from slices()
+                held, n = [], 0
+            held.append(block)
+            n += _size(block)
+    yield from slices()
+    trim()
 
 
 def _in(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -271,11 +351,11 @@ def _in(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_[np.minimum(at, len(sorted_) - 1)] == x
 
 
-def _verify(groups: int):
+def _verify(groups: int, size: int):
     """Texts of a group after its shared keys -> (bucket, g, windows): candidate windows, each once for a batch."""
 
     def run(batches):
-        for g, shared, b in _with_payload(batches, U):
+        for g, (shared,), b in _with_payload(batches, ("<u8",), TEXTS, size):
             if not len(shared):
                 continue
             x = Batch(b.column("text").to_pylist())
@@ -286,13 +366,13 @@ def _verify(groups: int):
             key, low, doc = key[order], low[order], doc[order]
             new = np.r_[True, (key[1:] != key[:-1]) | (low[1:] != low[:-1])] if len(key) else np.zeros(0, bool)
             head = np.flatnonzero(new)
-            out = np.empty(len(head), FULL)
-            out["key"], out["low"], out["doc"] = key[head], low[head], doc[head]
-            out["many"] = doc[np.r_[head[1:] - 1, len(doc) - 1]] != doc[head] if len(head) else 0
-            bucket = _bucket(out["key"], groups).astype(np.int32)
-            cut = _cuts(bucket)
             if len(head):
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]]), pa.array(np.full(len(cut) - 1, g, np.int32)), pa.array([_bytes(out[a:z]) for a, z in zip(cut, cut[1:])], pa.binary())], ["bucket", "g", "windows"])
+                many = doc[np.r_[head[1:] - 1, len(doc) - 1]] != doc[head]
+                key, low, doc = key[head], low[head], doc[head]
+                bucket = _bucket(key, groups).astype(np.int32)
+                cut = _cuts(bucket)
+                packed = [_squeeze(key[a:z], low[a:z], doc[a:z], many[a:z]) for a, z in zip(cut, cut[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]]), pa.array(np.full(len(packed), g, np.int32)), pa.array(packed, pa.binary())], ["bucket", "g", "windows"])
 
     return run
 
@@ -301,66 +381,70 @@ def _answer(batches):
     """Windows of a bucket -> (g, payload): (both hashes, smallest document that holds it) of each window that a document of
     the group's batch must give up. A group has several batches, so only the document itself tells whose window stays."""
     for _, (gs, packed) in _by(batches, "bucket", ["g", "windows"]):
-        rows = np.frombuffer(b"".join(packed), FULL)
-        g = np.repeat(np.array(gs, np.int32), [len(p) // FULL.itemsize for p in packed])
-        order = np.lexsort((rows["doc"], rows["low"], rows["key"]))
-        rows, g = rows[order], g[order]
-        new = np.r_[True, (rows["key"][1:] != rows["key"][:-1]) | (rows["low"][1:] != rows["low"][:-1])]
-        least = rows["doc"][np.flatnonzero(new)][np.cumsum(new) - 1]
-        pick = (least < rows["doc"]) | (rows["many"] == 1)
-        at, out = g[pick], np.rec.fromarrays([rows["key"][pick], rows["low"][pick], least[pick]], LEAST)
-        order = np.argsort(at, kind="stable")
-        at, out = at[order], out[order]
-        cut = _cuts(at)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at[cut[:-1]]), pa.array([_bytes(out[a:z]) for a, z in zip(cut, cut[1:])], pa.binary())], ["g", "payload"])
-
-
-def _remove(batches):
+        count, (key, low, doc, many) = _spread(packed, *FULL)
+        g = np.repeat(np.array(gs, np.int32), count)
+        order = np.lexsort((doc, low, key))
+        key, low, doc, many, g = key[order], low[order], doc[order], many[order], g[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (low[1:] != low[:-1])]
+        least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+        pick = np.flatnonzero((least < doc) | (many == 1))
+        pick = pick[np.argsort(g[pick], kind="stable")]
+        key, low, least, g = key[pick], low[pick], least[pick], g[pick]
+        cut = _cuts(g)
+        if len(g):
+            packed = [_squeeze(key[a:z], low[a:z], least[a:z]) for a, z in zip(cut, cut[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(g[cut[:-1]]), pa.array(packed, pa.binary())], ["g", "payload"])
+
+
+def _remove(size: int):
     """Texts of a group after its answers -> kept words of each document."""
-    for _, least, b in _with_payload(batches, LEAST):
-        texts, ids = b.column("text").to_pylist(), _ids(b)
-        lists = [t.split() if t else [] for t in texts]
-        if len(least):
-            x = Batch.__new__(Batch)
-            x.h, x.start = word_hashes(texts)
-            doc = np.repeat(np.arange(len(texts)), np.diff(x.start))
-            at = np.flatnonzero(np.arange(len(x.h)) + WINDOW <= x.start[1:][doc]) if len(doc) else np.zeros(0, np.int64)
-            x.ranges, x.window = Ranges(x.h, B1), WINDOW
-            key = x.ranges(at, at + WINDOW)
-            maybe = _in(least["key"], key)
-            at, key = at[maybe], key[maybe]
-            _, low = x.window_hash(at)
-            i = first = np.searchsorted(least["key"], key)
-            # keys that differ in ``low`` alone stand side by side
-            for step in range(1, int(np.diff(_cuts(least["key"])).max())):
-                j = np.minimum(first + step, len(least) - 1)
-                i = np.where((least["key"][j] == key) & (least["low"][j] == low), j, i)
-            gone = (least["low"][i] == low) & (ids[doc[at]] > least["doc"][i])
-            step = np.zeros(len(x.h) + WINDOW + 1, np.int64)
-            np.add.at(step, at[gone], 1)
-            np.add.at(step, at[gone] + WINDOW, -1)
-            covered = np.cumsum(step)[: len(x.h)] > 0
-        else:
-            x, covered = None, None
-        out = []
-        for i, (t, ws) in enumerate(zip(texts, lists)):
-            c = covered[x.start[i] : x.start[i + 1]] if covered is not None else None
-            hit = int(c.sum()) if c is not None else 0
-            kept = b" ".join(w for w, off in zip(ws, c) if not off) if hit else b" ".join(ws)
-            out.append((len(ws), hit, kept if hit else t, hashlib.sha256(kept).hexdigest()))
-        cols = list(zip(*out))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3]), b.column("rest")], ["doc_id", "n_words", "n_removed", "kept", "kept_sha256", "rest"])
-
-
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rest=None) -> DataFrame:
+
+    def run(batches):
+        for _, (known, low_of, least), b in _with_payload(batches, FULL[:3], WHOLE, size):
+            texts, ids = b.column("text").to_pylist(), _ids(b)
+            lists = [t.split() if t else [] for t in texts]
+            if len(known):
+                x = Batch.__new__(Batch)
+                x.h, x.start = word_hashes(texts)
+                doc = np.repeat(np.arange(len(texts)), np.diff(x.start))
+                at = np.flatnonzero(np.arange(len(x.h)) + WINDOW <= x.start[1:][doc]) if len(doc) else np.zeros(0, np.int64)
+                x.ranges, x.window = Ranges(x.h, B1), WINDOW
+                key = x.ranges(at, at + WINDOW)
+                maybe = _in(known, key)
+                at, key = at[maybe], key[maybe]
+                _, low = x.window_hash(at)
+                i = first = np.searchsorted(known, key)
+                # keys that differ in ``low`` alone stand side by side
+                for step in range(1, int(np.diff(_cuts(known)).max())):
+                    j = np.minimum(first + step, len(known) - 1)
+                    i = np.where((known[j] == key) & (low_of[j] == low), j, i)
+                gone = (low_of[i] == low) & (ids[doc[at]] > least[i])
+                step = np.zeros(len(x.h) + WINDOW + 1, np.int64)
+                np.add.at(step, at[gone], 1)
+                np.add.at(step, at[gone] + WINDOW, -1)
+                covered = np.cumsum(step)[: len(x.h)] > 0
+            else:
+                x, covered = None, None
+            out = []
+            for i, (t, ws) in enumerate(zip(texts, lists)):
+                c = covered[x.start[i] : x.start[i + 1]] if covered is not None else None
+                hit = int(c.sum()) if c is not None else 0
+                kept = b" ".join(w for w, off in zip(ws, c) if not off) if hit else b" ".join(ws)
+                out.append((len(ws), hit, kept if hit else t, hashlib.sha256(kept).hexdigest()))
+            cols = list(zip(*out))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3]), b.column("rest")], ["doc_id", "n_words", "n_removed", "kept", "kept_sha256", "rest"])
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rest=None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept, kept_sha256, rest)``, one row per row of ``docs``.
 
     A word goes if some window of 13 words that covers it also starts in a document with a smaller id. ``kept``
     is the whole text where nothing goes (null stays null), else the words left, joined by blanks;
     ``kept_sha256`` is of the words left joined by blanks. A null text has no words. A null id counts as larger
     than all others. Rows of one id count as one document, and none removes words of another. ``rest`` is a string column
-    that comes along.
+    that comes along. Texts of a group are looked at in slices of about ``slice_bytes``.
     """
     spark = docs.sparkSession
     work = Scratch(spark, "substrings")
@@ -373,22 +457,21 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         (rest if rest is not None else F.lit(None)).cast("string").alias("rest"),
     )
     tasks = max(groups, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keys = base.select("g", "text").mapInArrow(_reveal(groups), "bucket int, keys binary, gs binary, known binary")
+    keys = base.select("g", "text").mapInArrow(_reveal(groups), "bucket int, keys binary, known binary")
     shared = keys.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_share(groups), "g int, payload binary")
     shared = work.write(shared, "shared")
 
-    def beside(payload: DataFrame, texts: DataFrame) -> DataFrame:
+    def beside(payload: DataFrame, schema: pa.Schema) -> DataFrame:
         """Texts of each group after what was found for the group, in one partition, sorted."""
-        told = payload.select("g", F.lit(0).alias("kind"), "payload", *[F.lit(None).cast(t).alias(c) for c, t in texts.dtypes if c != "g"])
-        rows = texts.select("g", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("payload"), *[c for c in texts.columns if c != "g"])
-        return told.unionByName(rows).repartition(tasks, "g").sortWithinPartitions("g", "kind")
+        told = payload.select("g", F.lit(0).alias("kind"), "payload")
+        rows = base.select("g", *schema.names).mapInArrow(_blocks(schema), "g int, payload binary")
+        return told.union(rows.select("g", F.lit(1).alias("kind"), "payload")).repartition(tasks, "g").sortWithinPartitions("g", "kind")
 
-    seen = beside(shared, base.select("g", "doc_id", "text"))
-    windows = seen.mapInArrow(_verify(groups), "bucket int, g int, windows binary")
+    windows = beside(shared, TEXTS).mapInArrow(_verify(groups, slice_bytes), "bucket int, g int, windows binary")
     answers = windows.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "g int, payload binary")
     answers = work.write(answers, "answers")
     work.drop("shared")
-    return beside(answers, base).mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept binary, kept_sha256 string, rest string")
+    return beside(answers, WHOLE).mapInArrow(_remove(slice_bytes), "doc_id long, n_words long, n_removed long, kept binary, kept_sha256 string, rest string")
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

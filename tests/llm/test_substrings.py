@@ -41,6 +41,38 @@ def test_several_slices_of_a_group(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
 
 
+def test_texts_of_a_group_in_slices_of_one(spark):
+    """Blocks of a group are cut again: each document is looked at alone."""
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(3000)]
+    passages = [" ".join(rng.choices(vocab, k=20)) for _ in range(4)]
+    rows = [(d, " ".join([*rng.choices(vocab, k=3), rng.choice(passages)])) for d in range(400)] + [(None, passages[0]), (7, None), (8, "")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = s.remove_repeats(df, slice_bytes=1).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert ordered(got) == ordered(brute.substrings(rows))
+
+
+def test_what_is_shuffled(spark, sf):
+    """All bytes dealt over all steps, against the bytes of text."""
+    rng = random.Random(6)
+    vocab = ["".join(rng.choices("etaoinshr", k=rng.randrange(2, 9))) for _ in range(3000)]
+    passages = [" ".join(rng.choices(vocab, k=60)) for _ in range(300)]
+    texts = [" ".join([*rng.choices(vocab, k=600), *rng.choices(passages, k=d % 5 == 0)]) for d in range(4000)]
+    folder = sf(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2))
+    sc = spark.sparkContext._jsc.sc()
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        all_ = sc.statusStore().stageList(None, False, False, none, None)
+        return {all_.apply(i).stageId(): all_.apply(i).shuffleWriteBytes() for i in range(all_.size())}
+
+    before = stages()
+    assert s.op9_substrings(spark, folder).filter("n_removed > 0").count() > 500
+    assert 0 < sum(n for i, n in stages().items() if i > max(before)) < 1.5 * sum(map(len, texts))
+
+
 def test_odd_rows(spark, odd, nothing, sf):
     rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
     assert ordered(s.op9_substrings(spark, sf(odd)).collect()) == ordered(brute.substrings(rows))
