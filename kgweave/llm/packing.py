@@ -42,9 +42,10 @@ def _encode(tokenizer: str, eos: int):
             all_ids = np.full(end[-1], eos, enc.dtype)
             all_ids[np.delete(np.arange(end[-1]), end - 1)] = ids
             start = end - n - 1
-            after = np.r_[key[all_ids[1:]], np.uint64(0)]
+            keys = key[all_ids]
+            after = np.r_[keys[1:], np.uint64(0)]
             after[end - 1] = 0  # a text's last token has no other after it
-            pairs = key[all_ids] * np.uint64(3) + after
+            pairs = keys * np.uint64(3) + after
             pairs = (pairs ^ (pairs >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             sig = (np.minimum.reduceat(pairs, start) >> np.uint64(1)).astype(np.int64)
             seen, df = np.zeros((64, enc.size), bool), np.zeros(enc.size, np.int64)

@@ -1,8 +1,9 @@
 """Token ids of whole texts, for tokenizers that drop white space, and token counts by section.
 
 ``encode`` gives the ids that the tokenizer gives for the whole text. As its pieces never reach across white
-space, every distinct word of a slice is looked at once, and every distinct piece of a word (a run of letters, a
-digit, a run of other signs) is encoded once and remembered by the worker, up to ``MEMO`` pieces.
+space, every distinct word of a slice is looked up once among the words the worker remembers. Words it doesn't know
+are cut into pieces (a run of letters, a digit, a run of other signs), and every distinct piece is encoded once and
+remembered too. Beyond ``MEMO`` words those of the slice at hand stay; beyond ``MEMO`` pieces all go.
 
 ``count_tokens`` encodes each whole document once with a byte-level tokenizer. Token lengths give each token's
 span in the text; a merge of these spans with the (sorted) sections of the document attributes each token, and
@@ -12,6 +13,7 @@ a stated rule decides for tokens that cross a boundary.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 from collections.abc import Callable
@@ -32,6 +34,8 @@ MEMO, SLICE_BYTES = 400_000, 4 << 20
 SIMPLE = "^[\x01-\x7fÀ-ÖØ-öø-ÿ]*$"
 #: The pieces of simple words (lower case) that the tokenizer's pattern gives; "\n" ends a word here.
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^\na-z0-9ß-öø-ÿ]+")
+#: The signs by which byte-level tokenizers write bytes, where these don't stand for themselves.
+SIGNS = dict(zip([*range(33), *range(127, 161), 173], range(256, 512)))
 END, WHOLE = -2, -3  # places of the end of a word, and of a word that stands whole
 
 
@@ -67,7 +71,12 @@ class WordEncoder:
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         # special tokens stand for themselves wherever they occur; all begin alike
         self.mark = os.path.commonprefix([t.content for t in self.tokenizer.get_added_tokens_decoder().values()]) or None
+        # a pattern, then the bytes as signs
+        steps = json.loads(self.tokenizer.pre_tokenizer.__getstate__()).get("pretokenizers", []) if self.tokenizer.pre_tokenizer else []
+        self.byte_level = [x["type"] for x in steps] == ["Split", "ByteLevel"] and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
         self.dtype = np.uint16 if self.size <= 1 << 16 else np.uint32
+        self.words = None  # the words known, with where their ids begin and how many they are
+        self.word_ids, self.word_start, self.word_count = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.clear()
 
     @classmethod
@@ -84,11 +93,21 @@ class WordEncoder:
     def _learn(self, new: list[str], simple: int) -> None:
         """Encode new pieces; the first ``simple`` ones give tokens of which only the last ends a word. Words that
         stand whole are marked by a NUL in front."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new[:simple])], add_special_tokens=False)[0].ids, self.dtype)
-        cut = np.flatnonzero(self.ends[ids]) + 1
-        if len(cut) != simple:
-            simple, ids, cut = 0, ids[:0], cut[:0]
-        parts, sizes = [ids], np.diff(np.r_[0, cut])
+        if self.byte_level:
+            # these need neither normal form nor pattern, so the model gets them at once
+            tokenize, ids, sizes = self.tokenizer.model.tokenize, [], []
+            for p in new[:simple]:
+                got = tokenize(p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(SIGNS))
+                ids += [x.id for x in got]
+                sizes.append(len(got))
+            ids, sizes = np.array(ids, self.dtype), np.array(sizes, np.int64)
+        else:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new[:simple])], add_special_tokens=False)[0].ids, self.dtype)
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) != simple:
+                simple, ids, cut = 0, ids[:0], cut[:0]
+            sizes = np.diff(np.r_[0, cut])
+        parts = [ids]
         if simple < len(new):
             got = [x.ids for x in self.tokenizer.encode_batch([p.removeprefix("\0") for p in new[simple:]], add_special_tokens=False)]
             parts += [np.array(x, self.dtype) for x in got]
@@ -108,14 +127,10 @@ class WordEncoder:
             place[miss] = np.fromiter((self.at[pieces[i]] for i in miss), np.int64, len(miss))
         return place
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a string array, one text after another, and how many each text has (a null one: 0)."""
+    def _spell(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some words, one after another, and how many each has."""
         if len(self.at) > MEMO:
             self.clear()
-        words = pc.ascii_split_whitespace(texts)
-        per_text = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
-        coded = words.flatten().dictionary_encode()
-        distinct, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
         simple = pc.match_substring_regex(distinct, SIMPLE)
         if self.mark:
             simple = pc.and_(simple, pc.invert(pc.match_substring(distinct, self.mark)))
@@ -127,10 +142,38 @@ class WordEncoder:
         is_end = place == END
         size = np.where(is_end, 0, self.count[np.maximum(place, 0)]) if len(self.count) else np.zeros(len(place), np.int64)
         ids = gather(self.flat, self.start[place[~is_end]], size[~is_end])
-        size = np.diff(np.r_[0, np.cumsum(size)[is_end]])
-        start = np.cumsum(size) - size
-        per_word = np.r_[0, np.cumsum(size[codes])]
-        return gather(ids, start[codes], size[codes]), np.diff(per_word[np.r_[0, np.cumsum(per_text)]])
+        return ids, np.diff(np.r_[0, np.cumsum(size)[is_end]])
+
+    def _word_places(self, distinct: pa.Array) -> np.ndarray:
+        """Places of distinct words in ``word_start`` and ``word_count``; new ones are added."""
+        known = distinct.slice(0, 0) if self.words is None else self.words
+        place = pc.fill_null(pc.index_in(distinct, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        miss = np.flatnonzero(place < 0)
+        if len(miss) and len(known) + len(miss) > MEMO:
+            hit = np.flatnonzero(place >= 0)
+            at, known = place[hit], distinct.take(pa.array(hit))
+            self.word_ids, self.word_count = gather(self.word_ids, self.word_start[at], self.word_count[at]), self.word_count[at]
+            self.word_start = np.cumsum(self.word_count) - self.word_count
+            place[hit] = np.arange(len(hit))
+        if len(miss):
+            new = distinct.take(pa.array(miss))
+            ids, size = self._spell(new)
+            place[miss] = len(known) + np.arange(len(miss))
+            self.word_start = np.r_[self.word_start, len(self.word_ids) + np.cumsum(size) - size].astype(np.int64)
+            self.word_ids, self.word_count = np.r_[self.word_ids, ids], np.r_[self.word_count, size]
+            known = pa.concat_arrays([known, new])
+        self.words = known
+        return place
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a string array, one text after another, and how many each text has (a null one: 0)."""
+        words = pc.ascii_split_whitespace(texts)
+        per_text = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+        coded = words.flatten().dictionary_encode()
+        place = self._word_places(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+        size = self.word_count[place]
+        per_word = np.r_[0, np.cumsum(size)]
+        return gather(self.word_ids, self.word_start[place], size), np.diff(per_word[np.r_[0, np.cumsum(per_text)]])
 
 
 def slices(batches, column: str, size: int = SLICE_BYTES):

@@ -30,6 +30,34 @@ def test_encoder_gives_whole_text_ids(whole):
     assert t.WordEncoder.of(t.WORD_BPE).encode(pa.array([], pa.string()))[0].size == 0
 
 
+def test_known_words_are_not_cut_again(monkeypatch):
+    class Counting:
+        def __init__(self, pattern):
+            self.pattern, self.words = pattern, 0
+
+        def findall(self, text):
+            self.words += text.count("\n")
+            return self.pattern.findall(text)
+
+    cut = Counting(t.PIECES)
+    monkeypatch.setattr(t, "PIECES", cut)
+    encoder = t.WordEncoder(t.WORD_BPE)
+    first = encoder.encode(pa.array(["some words, some more", "Größe naïve"]))
+    assert cut.words == 5
+    again = encoder.encode(pa.array(["some words, some more", "Größe naïve"]))
+    assert cut.words == 5 and again[0].tolist() == first[0].tolist() and again[1].tolist() == first[1].tolist()
+
+
+@pytest.mark.parametrize("memo", [1, 60])
+def test_ids_when_little_is_remembered(whole, monkeypatch, memo):
+    monkeypatch.setattr(t, "MEMO", memo)
+    encoder, rng = t.WordEncoder(t.WORD_BPE), np.random.default_rng(3)
+    for _ in range(30):
+        texts = [" ".join(f"{'wörd' if x % 2 else 'it\'s'}{x}\x7f" for x in rng.integers(0, 80, 12)), TEXTS[rng.integers(len(TEXTS))]]
+        ids, n = encoder.encode(pa.array(texts, pa.string()))
+        assert [p.tolist() for p in np.split(ids, np.cumsum(n)[:-1])] == [ids_of(whole, x) for x in texts]
+
+
 def brute_attribute(ends, spans, rule):
     out, start = [0.0] * len(spans), 0
     for end in ends:
