@@ -290,3 +290,25 @@ def test_lsh_recall(spark):
     exact = {(r.a, r.b) for r in rs.near_pairs_exact(df, 0.6).collect()}
     got = {(r.a, r.b) for r in rs.near_pairs_lsh(df, 0.6).collect()}
     assert len(exact) >= 80 and got <= exact and len(got) >= 0.9 * len(exact)
+
+
+@pytest.mark.parametrize("remembered", [0, 1 << 20])
+def test_vector_search_keeps_what_may_count(monkeypatch, remembered):
+    """Later blocks of a task give only what reaches the best so far, and of equal vectors the smallest ids; what is kept holds the best of all."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(se, "REMEMBERED", remembered)
+    rng = np.random.default_rng(4)
+    v, q = rng.normal(size=(1200, 8)).astype(np.float32), rng.normal(size=(5, 8)).astype(np.float32)
+    v[600:900] = v[600]
+    cell = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
+    rows = [list(map(float, x)) for x in v]
+    asked = cell([{"query_id": i, "q": list(map(float, x))} for i, x in enumerate(q)], pa.struct([("query_id", pa.int64()), ("q", pa.list_(pa.float32()))]))
+    blocks = [pa.RecordBatch.from_arrays([pa.array([0]), cell(list(range(a, a + 300)), pa.int64()), cell(rows[a : a + 300], pa.list_(pa.float32())), asked], ["block", "ids", "v", "asked"]) for a in (600, 0, 900, 300)]
+    out = [b.to_pylist() for b in se._score_blocks(6, "cosine", None)(iter(blocks))]
+    assert len(out[0]) == 30 and all(r["item_id"] < 606 for r in out[0])
+    assert sum(map(len, out)) < 4 * 30
+    exact = (q.astype(float) @ v.T.astype(float)) / np.linalg.norm(q.astype(float), axis=1)[:, None] / np.linalg.norm(v.astype(float), axis=1)[None, :]
+    for i in range(5):
+        got = sorted((-round(r["score"], 12), r["item_id"]) for b in out for r in b if r["query_id"] == i)[:6]
+        assert got == sorted((-round(s, 12), j) for j, s in enumerate(exact[i].tolist()))[:6]
