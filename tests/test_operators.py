@@ -312,3 +312,32 @@ def test_vector_search_keeps_what_may_count(monkeypatch, remembered):
     for i in range(5):
         got = sorted((-round(r["score"], 12), r["item_id"]) for b in out for r in b if r["query_id"] == i)[:6]
         assert got == sorted((-round(s, 12), j) for j, s in enumerate(exact[i].tolist()))[:6]
+
+
+def _tags(words, names, longest=3):
+    """Matches by comparing every pair."""
+    hits = [(name, label, i, i + n - 1, n) for n in range(1, longest + 1) for i in range(len(words) - n + 1) for name, label in names if " ".join(words[i : i + n]) == name]
+    return sorted((a[0], a[1], a[2], a[3]) for a in hits if not any(b[2] <= a[3] and b[3] >= a[2] and (b[4] > a[4] or b[4] == a[4] and b[2] < a[2]) for b in hits))
+
+
+@pytest.mark.parametrize("longest", [1, 2, 3])
+def test_tags_and_pairs_in_one_pass(spark, tmp_path, longest):
+    """As every pair compared, in a plan that reads the texts once and joins no match with another."""
+    rng = random.Random(longest)
+    names = [("a", "X"), ("a", "Y"), ("a b", "X"), ("b a", "Z"), ("a b c", "X"), ("c", "Z"), ("a  c", "W"), ("", "E"), ("a b c a", "V")]
+    texts = {i: [rng.choice(["a", "b", "c", "--", "d"]) for _ in range(rng.randrange(60))] for i in range(30)}
+    spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()] + [(99, None)], "chunk_id int, text string").write.parquet(f"{tmp_path}/t")
+    lexicon = spark.createDataFrame([(*n, 0.9) for n in names] + [("d", "L", 0.1)], "name string, label string, score double")
+    tagged = ch.tag_entities(spark.read.parquet(f"{tmp_path}/t"), lexicon, longest)
+    plan = tagged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and plan.count("Join ") == 1
+    got = collections.defaultdict(list)
+    for r in tagged.collect():
+        got[r.chunk_id].append((r.name, r.label, r["first"], r["last"]))
+    own = {i: _tags(["" if w == "--" else w for w in words], names, longest) for i, words in texts.items()}
+    assert {i: sorted(v) for i, v in got.items()} == {i: v for i, v in own.items() if v}
+    allowed = spark.createDataFrame([("X", "NEAR", "Z"), ("Z", "BEFORE", "X"), ("X", "SAME", "X")], "head_label string, type string, tail_label string")
+    types = {("X", "Z"): "NEAR", ("Z", "X"): "BEFORE", ("X", "X"): "SAME"}
+    pairs = ch.propose_relations(tagged, allowed, 4)
+    want = sorted((i, a[0], types[a[1], b[1]], b[0], round(1 / (b[2] - a[2]), 9), a[2]) for i, v in own.items() for a in v for b in v if 0 < b[2] - a[2] <= 4 and (a[1], b[1]) in types)
+    assert sorted((r.chunk_id, r.head_name, r.type, r.tail_name, round(r.score, 9), r.ord) for r in pairs.collect()) == want
