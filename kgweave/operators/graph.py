@@ -84,6 +84,41 @@ def bfs_expand(seeds: DataFrame, edges: DataFrame, names: DataFrame, depth: int
     return rows.withColumn("score", 1 / (1 + F.col("hop")))
 
 
+def first_reached(rows: DataFrame, by: str | list[str], limit: int) -> DataFrame:
+    """Of ``rows(by, node_id, name, hop)`` each node at its least hop, the first ``limit`` by (hop, name, id), with ``rank`` from 1."""
+    by = [by] if isinstance(by, str) else by
+    least = rows.groupBy(*by, "node_id", "name").agg(F.min("hop").alias("hop"))
+    rank = F.row_number().over(W.partitionBy(*by).orderBy("hop", "name", "node_id"))
+    return least.withColumn("rank", rank).filter(F.col("rank") <= limit)
+
+
+def bfs_nearest(seeds: DataFrame, edges: DataFrame, names: DataFrame, depth: int = 2, limit: int = 50) -> DataFrame:
+    """``(query_id, node_id, name, hop, rank)``: the rows of ``bfs_expand`` without types, for many queries that share seeds.
+
+    The search is made once for each node, not once for each query: of a node's neighbours only the first ``limit`` of each can be among its own first,
+    as what comes before them comes before for the node too, and so it is for a query and its seeds.
+    """
+    work = Scratch(edges.sparkSession, "nearest")
+    e = work.write(edges.select(F.col("from").alias("at"), F.col("to").alias("node_id")).distinct(), "edges")
+    known = names.select(F.col("id").alias("node_id"), "name").distinct()
+
+    def lists(at: DataFrame, depth: int) -> DataFrame:
+        """``(at, node_id, name, hop)`` for the nodes ``at``."""
+        out = e.join(at, "at", "left_semi")
+        one = first_reached(out.join(known, "node_id").withColumn("hop", F.lit(1)), "at", limit).drop("rank")
+        if depth == 1:
+            return one
+        one = work.write(one, f"one{depth}")
+        full = one.groupBy("at").count().filter(F.col("count") >= limit)
+        step = work.write(out.join(full, "at", "left_anti").select(F.col("at").alias("_at"), F.col("node_id").alias("at")), f"step{depth}")
+        further = step.join(lists(step.select("at").distinct(), depth - 1), "at").select(F.col("_at").alias("at"), "node_id", "name", (F.col("hop") + 1).alias("hop"))
+        return work.write(first_reached(one.unionByName(further), "at", limit).drop("rank"), f"lists{depth}")
+
+    own = seeds.select("query_id", F.col("node_id").alias("at")).distinct()
+    found = lists(own.select("at").distinct(), depth)
+    return first_reached(own.join(found, "at").drop("at"), "query_id", limit)
+
+
 def neighbors(ids: DataFrame, edges: DataFrame, depth: int = 1, limit: int = 1000) -> DataFrame:
     """``(id, node_id, hop)`` within ``depth`` (1 to 3) hops in either direction, without the node itself; the first
     ``limit`` by (hop, id)."""

@@ -341,3 +341,15 @@ def test_tags_and_pairs_in_one_pass(spark, tmp_path, longest):
     pairs = ch.propose_relations(tagged, allowed, 4)
     want = sorted((i, a[0], types[a[1], b[1]], b[0], round(1 / (b[2] - a[2]), 9), a[2]) for i, v in own.items() for a in v for b in v if 0 < b[2] - a[2] <= 4 and (a[1], b[1]) in types)
     assert sorted((r.chunk_id, r.head_name, r.type, r.tail_name, round(r.score, 9), r.ord) for r in pairs.collect()) == want
+
+
+@pytest.mark.parametrize(("depth", "limit"), [(1, 4), (2, 3), (2, 50), (3, 5)])
+def test_nearest_nodes_are_those_of_the_whole_search(spark, depth, limit):
+    """Lists made once for each node and cut there give what the search of every query gives; some nodes have no row, names repeat, there are cycles."""
+    rng = random.Random(depth * 100 + limit)
+    nodes = spark.createDataFrame([(f"n{i}", rng.choice("abc"), "L") for i in range(40) if i % 7], "id string, name string, label string")
+    edges = spark.createDataFrame([(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}", rng.choice("TU")) for _ in range(110)], "`from` string, `to` string, type string")
+    seeds = spark.createDataFrame([(rng.randrange(12), f"n{rng.randrange(40)}") for _ in range(30)], "query_id int, node_id string")
+    want = g.bfs_expand(seeds, edges, nodes, depth, limit)
+    cols = ["query_id", "node_id", "hop", "rank"]
+    assert sorted(map(tuple, g.bfs_nearest(seeds, edges, nodes, depth, limit).select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
