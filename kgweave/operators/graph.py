@@ -28,7 +28,7 @@ def largest_component(edges: DataFrame, src: str = "from", dst: str = "to") -> D
 
 
 def node_degrees(edges: DataFrame, src: str = "from", dst: str = "to") -> DataFrame:
-    return edges.select(F.col(src).alias("id")).union(edges.select(dst)).groupBy("id").agg(F.count("*").alias("degree"))
+    return edges.select(F.explode(F.array(src, dst)).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
 
 
 def modularity(edges: DataFrame, membership: DataFrame, resolution: float = 1.0) -> DataFrame:
@@ -142,20 +142,39 @@ def _fitting(lines: DataFrame, by: list[str], order: list[str], line: str, max_c
     return lines.withColumn("_at", F.coalesce(F.sum(F.length(line) + 1).over(before), F.lit(0))).filter(F.col("_at") < max_chars).drop("_at")
 
 
-def community_context(membership: DataFrame, nodes: DataFrame, edges: DataFrame, summaries: DataFrame | None = None, max_chars: int = 8000) -> DataFrame:
+def inside_edges(membership: DataFrame, nodes: DataFrame, edges: DataFrame, work: Scratch, name: str) -> DataFrame:
+    """``(community, from, to, type)`` of the edges inside each community of ``membership(node, community)``, written once. Edges meet first that end by which
+    fewer of them have a community, so few go on to the other; names are no part of what is moved."""
+    m = membership.select("node", "community").join(nodes.select(F.col("id").alias("node")), "node", "left_semi")
+    m = work.write(m, f"{name}-members")
+    ends = edges.select(F.inline(F.array(*(F.struct(F.col(c).alias("node"), F.lit(c).alias("end")) for c in ("from", "to")))))
+    counted = ends.groupBy("node", "end").agg(F.count("*").alias("n")).join(m, "node").groupBy("end").agg(F.sum("n").alias("n")).collect()  # two rows
+    n = {r.end: r.n for r in counted}
+    first, then = sorted(("from", "to"), key=lambda c: n.get(c, 0))
+    some = edges.select("from", "to", "type").join(m.withColumnRenamed("node", first), first)
+    return work.write(some.join(m.withColumnRenamed("node", then), ["community", then]).select("community", "from", "to", "type"), name)
+
+
+def _with_names(inside: DataFrame, nodes: DataFrame) -> DataFrame:
+    a, b = (nodes.select(F.col("id").alias(end), F.col("name").alias(f"{end}_name")) for end in ("from", "to"))
+    return inside.join(a, "from").join(b, "to")
+
+
+def community_context(membership: DataFrame, nodes: DataFrame, edges: DataFrame, summaries: DataFrame | None = None, max_chars: int = 8000, inside: DataFrame | None = None) -> DataFrame:
     """``(community, context)``: members, the relations inside, and summaries of its own children ``(parent, community, summary)``
-    cut to 500 characters, in the order of ids; cut to ``max_chars``. Of a community of any size only the lines that can be in the context are gathered."""
+    cut to 500 characters, in the order of ids; cut to ``max_chars``. Of a community of any size only the lines that can be in the context are gathered. ``inside``: the
+    rows of ``inside_edges``, where they are at hand."""
     m = membership.select("node", "community")
     named = m.join(nodes.select(F.col("id").alias("node"), "name", "label"), "node")
     gathered = lambda rows, order: F.transform(F.array_sort(F.collect_list(F.struct(*order, "l"))), lambda x: x["l"])
     lines = named.select("community", "node", F.concat(F.lit("- "), "name", F.lit(" ["), "label", F.lit("]")).alias("l"))
     ents = _fitting(lines, ["community"], ["node"], "l", max_chars).groupBy("community").agg(gathered(lines, ["node"]).alias("ents"))
     ents = named.groupBy("community").agg(F.count("*").alias("n_e")).join(ents, "community")
-    a, b = (named.select(F.col("node").alias(end), "community", F.col("name").alias(f"{end}_name")) for end in ("from", "to"))
-    inside = edges.join(a, "from").join(b, ["community", "to"])
+    if inside is None:
+        inside = inside_edges(membership, nodes, edges, Scratch(edges.sparkSession, "context"), "inside")
     fact = F.concat(F.lit("- "), "from_name", F.lit(" --"), "type", F.lit("--> "), "to_name")
     order = ["from", "to", "type", "l"]
-    lines = inside.select("community", "from", "to", "type", fact.alias("l"))
+    lines = _with_names(inside, nodes).select("community", "from", "to", "type", fact.alias("l"))
     facts = _fitting(lines, ["community"], order, "l", max_chars).groupBy("community").agg(gathered(lines, order[:3]).alias("facts"))
     out = ents.join(inside.groupBy("community").agg(F.count("*").alias("n_r")).join(facts, "community"), "community", "left")
     none = F.array().cast("array<string>")
@@ -169,18 +188,22 @@ def community_context(membership: DataFrame, nodes: DataFrame, edges: DataFrame,
     return out.select("community", F.substring(F.array_join(F.flatten(F.array(*parts)), "\n"), 1, max_chars).alias("context"))
 
 
-def community_reports(membership: DataFrame, nodes: DataFrame, edges: DataFrame, top: int = 3) -> DataFrame:
+def community_reports(membership: DataFrame, nodes: DataFrame, edges: DataFrame, top: int = 3, degrees: DataFrame | None = None, inside: DataFrame | None = None) -> DataFrame:
     """Extractive reports ``(community, title, summary, rating, n_members)``: names of the members of highest degree, the first
-    facts inside, and the share of the members' edges that stay inside, times 10."""
+    facts inside, and the share of the members' edges that stay inside, times 10. ``degrees`` and ``inside``: the rows of ``node_degrees`` and
+    ``inside_edges``, where they are at hand; else edges are written once for both."""
     m = membership.select("node", "community")
-    deg = node_degrees(edges).withColumnRenamed("id", "node")
+    if degrees is None or inside is None:
+        work = Scratch(edges.sparkSession, "report")
+        edges = work.write(edges.select("from", "to", "type"), "edges")
+        degrees = work.write(node_degrees(edges), "degrees") if degrees is None else degrees
+        inside = inside_edges(m, nodes, edges, work, "inside") if inside is None else inside
+    deg = degrees.withColumnRenamed("id", "node")
     named = m.join(nodes.select(F.col("id").alias("node"), "name"), "node").join(deg, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     rank = F.row_number().over(W.partitionBy("community").orderBy(F.desc("degree"), "node"))
     best = named.withColumn("r", rank).filter(F.col("r") <= top).groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "name"))), lambda x: x["name"]), ", ").alias("title"))
-    a, b = (named.select(F.col("node").alias(end), "community", F.col("name").alias(f"{end}_name")) for end in ("from", "to"))
-    inside = edges.join(a, "from").join(b, ["community", "to"])
     order = F.row_number().over(W.partitionBy("community").orderBy("from", "to", "type"))
-    facts = inside.withColumn("r", order).filter(F.col("r") <= top).groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", F.concat_ws(" ", "from_name", "type", "to_name").alias("l")))), lambda x: x["l"]), "; ").alias("summary"))
+    facts = _with_names(inside.withColumn("r", order).filter(F.col("r") <= top), nodes).groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", F.concat_ws(" ", "from_name", "type", "to_name").alias("l")))), lambda x: x["l"]), "; ").alias("summary"))
     sizes = named.groupBy("community").agg(F.count("*").alias("n_members"), F.sum("degree").alias("ends"))
     n_in = inside.groupBy("community").agg(F.count("*").alias("n_in"))
     out = sizes.join(best, "community").join(facts, "community", "left").join(n_in, "community", "left")
@@ -203,14 +226,17 @@ def report_tree(membership: DataFrame, nodes: DataFrame, edges: DataFrame, outpu
     given = None
     if outputs is not None:
         given = outputs.groupBy("level", "community").agg(F.min(F.struct(*REPORT)).alias("given"))
+    edges = work.write(edges.select("from", "to", "type"), "edges")
+    degrees = work.write(node_degrees(edges), "degrees")
     out, children = None, None
     levels = [r.level for r in membership.select("level").distinct().orderBy(F.desc("level")).collect()]  # a row a level
     for level in levels:
         own = membership.filter(F.col("level") == level)
-        made = community_reports(own, nodes, edges, top)
+        inside = inside_edges(own, nodes, edges, work, f"inside{level}")
+        made = community_reports(own, nodes, edges, top, degrees, inside)
         if given is not None:
             made = made.join(given.filter(F.col("level") == level).drop("level"), "community", "left").select("community", *(F.coalesce(f"given.{c}", c).alias(c) for c in REPORT), "n_members")
-        context = community_context(own, nodes, edges, children, max_chars)
+        context = community_context(own, nodes, edges, children, max_chars, inside)
         parents = own.groupBy("community").agg(F.min("parent").alias("parent"))
         made = made.join(context, "community").join(parents, "community").select(F.lit(level).alias("level"), "community", "parent", *REPORT, "n_members", "context")
         made = work.write(made, f"level{level}")
@@ -362,7 +388,7 @@ def g11(spark, d):
     work = Scratch(spark, "final")
     one = lambda t, p, k, n: tg.table(spark, d, t).select(F.concat(F.lit(p), F.col(k)).alias("node"), F.col(n).alias("community"))
     m = one("customer", "CUS:", "c_custkey", "c_nationkey").union(one("nation", "NAT:", "n_nationkey", "n_nationkey"))
-    reports = community_reports(m, tg.nodes(spark, d), tg.edges(spark, d))
+    reports = work.write(community_reports(m, tg.nodes(spark, d), tg.edges(spark, d)), "made")
     for _ in range(2):  # the second run replaces the first
         finalize_graph(m, reports, work.path)
     return spark.read.parquet(f"{work.path}/reports").select("community", "n_members")

@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from kgweave.operators import graph as g
 from kgweave.operators import search as se
+from kgweave.plans.scratch import Scratch
 
 
 @pytest.fixture(scope="module")
@@ -75,3 +78,22 @@ def test_chunk_context_of_hubs(spark):
     assert every[0].relations == hub and every[3].relations == ["a", *hub] and every[3].communities == ["c0", "c1"] and every[3].entities == ["e3", "hub"]
     few = {r.chunk_id: r for r in en.chunk_context(ids, chunks, mentions, relations, member, limit=2).collect()}
     assert few[3].relations == ["a", "r000"] and few[5].relations == ["r000", "r001"] and few[3].entities == ["e3", "hub"] and len(few) == 40
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_edges_are_made_once_and_meet_the_rarer_end(spark, tmp_path, turned):
+    """Reports read what was written of the edges, not the edges again; the edges inside are the same whichever end comes first."""
+    rng = random.Random(3)
+    m = {f"n{i}": c for i in range(30) for c in {i % 4}}
+    rows = [(f"n{rng.randrange(30)}", f"n{rng.randrange(90)}", "T") for _ in range(400)]
+    rows = [(b, a, t) if turned else (a, b, t) for a, b, t in rows]
+    spark.createDataFrame(rows, "`from` string, `to` string, type string").write.parquet(f"{tmp_path}/edges")
+    edges = spark.read.parquet(f"{tmp_path}/edges")
+    membership = spark.createDataFrame(list(m.items()), "node string, community int")
+    nodes = spark.createDataFrame([(f"n{i}", f"name{i}", "L") for i in range(80) if i != 7], "id string, name string, label string")
+    inside = g.inside_edges(membership, nodes, edges, Scratch(spark, "t"), "x")
+    want = sorted((m[a], a, b, t) for a, b, t in rows if a in m and b in m and m[a] == m[b] and "n7" not in (a, b))
+    assert sorted(map(tuple, inside.collect())) == want
+    made = g.community_reports(membership, nodes, edges)
+    assert not [f for f in made.inputFiles() if f"{tmp_path}/edges" in f]
+    assert {r.community: r.n_members for r in made.collect()} == {c: sum(x == c for n, x in m.items() if n != "n7") for c in range(4)}
