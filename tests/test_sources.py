@@ -205,3 +205,18 @@ def test_titles_match_sql_where_a_reference_is_cut(spark, tmp_path):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     got = registry.QUERIES["S14_page_titles"](spark, str(tmp_path)).collect()
     assert sorted(tuple(r) for r in got) == sorted(con.execute(registry.ORACLES["S14_page_titles"]).fetchall())
+
+
+def test_onsides_joins_a_vocabulary_row_once(spark, tmp_path):
+    """Every archive holds the whole vocabularies: pairs aren't multiplied by the archives before they are merged."""
+    for k in range(4):
+        with zipfile.ZipFile(tmp_path / f"{k}.zip", "w") as z:
+            z.writestr("csv/high_confidence.csv", "ingredient_id,effect_meddra_id\n" + f"{k},7\n")
+            z.writestr("csv/vocab_rxnorm_ingredient.csv", "rxnorm_id,rxnorm_name\n" + "".join(f"{i},drug {i}\n" for i in range(4)))
+            z.writestr("csv/vocab_meddra_adverse_effect.csv", "meddra_id,meddra_name\n7,rash\n")
+    nodes, edges = b.onsides(spark, str(tmp_path))
+    assert sorted((r["from"], r["to"]) for r in edges.collect()) == [(f"RXNORM:{i}", "meddra:7") for i in range(4)]
+    assert {r.name for r in nodes.collect()} == {"rash", *(f"drug {i}" for i in range(4))}
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    for side in ("rxnorm_id", "meddra_id"):
+        assert any(x.strip(" :+-").startswith("Aggregate") and f"[{side}#" in x for x in plan.split("\n"))
