@@ -353,3 +353,16 @@ def test_nearest_nodes_are_those_of_the_whole_search(spark, depth, limit):
     want = g.bfs_expand(seeds, edges, nodes, depth, limit)
     cols = ["query_id", "node_id", "hop", "rank"]
     assert sorted(map(tuple, g.bfs_nearest(seeds, edges, nodes, depth, limit).select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.95, 1.0])
+def test_near_pairs_of_short_and_long_names(spark, threshold):
+    """Names of too few grams to be near any other set meet by all their grams, and share no candidates by one gram."""
+    rng = random.Random(6)
+    names = sorted({"id" + "".join(rng.choice("01") for _ in range(rng.choice([3, 9, 12]))) for _ in range(150)} | {"a long name of many words " + x for x in ("one", "ones", "two")} | {"x" * i for i in range(1, 6)})
+    grams = {x: {f" {x} "[i : i + 3] for i in range(max(1, len(x)))} for x in names}
+    jaccard = lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b])
+    df = rs.near_pairs_exact(spark.createDataFrame([(x,) for x in names], "name string"), threshold)
+    want = {(a, b): round(jaccard(a, b), 9) for i, a in enumerate(names) for b in names[i + 1 :] if jaccard(a, b) >= threshold}
+    assert {(r.a, r.b): round(r.similarity, 9) for r in df.collect()} == want and want
+    assert "Union" in df._jdf.queryExecution().optimizedPlan().toString() or threshold == 0.5
